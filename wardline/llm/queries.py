@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 
@@ -11,11 +12,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
     return ngram_join(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, num=9, den=10)
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_jaccard_join,)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~_held_out())
+    return score_toxicity(docs, fit_toxicity(docs, labels)).select("doc_id", _held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op5_ngram_jaccard_join)}
 ORACLES = {k: v for k, v in vars(oracles).items() if k.startswith("op") and isinstance(v, str)}
