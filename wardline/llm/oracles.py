@@ -3,6 +3,30 @@
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
+op3_mixing = rf"""
+WITH base AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS size,
+    greatest(0.05::DOUBLE, coalesce(length(regexp_replace(text, '[^A-Za-zÀ-ÿ]+', '', 'g'))::DOUBLE / nullif(length(text), 0), 0)) AS q
+  FROM documents
+), keyed AS (
+  SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size || ':1'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE) / q AS k FROM base
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::DOUBLE AS lim, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM keyed GROUP BY source
+), levels AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(lim) OVER (ORDER BY lim / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY lim / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY lim / w, source) AS place FROM sources
+), plan AS (
+  SELECT source, source_size, least(lim, w * coalesce((SELECT arg_min(level, place) FROM levels WHERE level * w <= lim), 0)) AS target FROM levels
+), cut AS (
+  SELECT *, floor(target + 0.5)::BIGINT AS words, CASE WHEN source_size > 0 THEN floor(floor(target + 0.5) / source_size)::BIGINT ELSE 0 END AS whole FROM plan
+), ordered AS (
+  SELECT k.doc_id, k.size, c.source_size, c.target, c.whole, c.words - c.whole * c.source_size
+    - coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining
+  FROM keyed k JOIN cut c ON k.source IS NOT DISTINCT FROM c.source
+)
+SELECT doc_id, size, source_size, target, (whole * size + least(greatest(remaining, 0), size))::BIGINT AS taken FROM ordered
+"""
+
 op5_ngram_jaccard_join = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM documents
