@@ -62,9 +62,9 @@ def _in_order(docs: DataFrame) -> DataFrame:
     # a bucket's first row, nulls last; the next bucket of the last is the first
     first = docs.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"))).alias("first"))
     last = Window.partitionBy(F.lit(1)).orderBy("bucket")
-    first = first.select("bucket", F.col("first.doc_id").alias("fid"), F.col("first.h").alias("fh"), F.coalesce(F.lag("bucket").over(last), F.max("bucket").over(Window.partitionBy(F.lit(1)))).alias("previous"))
+    first = first.select(F.col("bucket").alias("fb"), F.col("first.doc_id").alias("fid"), F.col("first.h").alias("fh"), F.coalesce(F.lag("bucket").over(last), F.max("bucket").over(Window.partitionBy(F.lit(1)))).alias("previous"))
     # at most as many rows as buckets
-    tagged = docs.join(F.broadcast(first), (docs["bucket"] == first["bucket"]) & docs["doc_id"].eqNullSafe(first["fid"]) & (F.xxhash64("text") == first["fh"]), "left").select("doc_id", "text", docs["bucket"], "previous")
+    tagged = docs.join(F.broadcast(first), (F.col("bucket") == F.col("fb")) & F.col("doc_id").eqNullSafe(F.col("fid")) & (F.xxhash64("text") == F.col("fh")), "left").select("doc_id", "text", "bucket", "previous")
     none = F.array().cast("array<struct<bucket:int,ghost:int>>")
     both = F.concat(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost"))), F.when(F.col("previous").isNotNull(), F.array(F.struct(F.col("previous").alias("bucket"), F.lit(1).alias("ghost")))).otherwise(none))
     return tagged.select("doc_id", "text", F.explode(both).alias("x")).select("x.bucket", "x.ghost", "doc_id", "text").repartition(n, "bucket")
