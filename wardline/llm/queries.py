@@ -48,5 +48,21 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_mixing, op5_ngram_jaccard_join, op6_fingerprints)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit_language, identify_language
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify_language(docs, fit_language(docs.filter(~_held_out())))
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_mixing, op5_ngram_jaccard_join, op6_fingerprints, op9_packing, op10_language)}
 ORACLES = {k: v for k, v in vars(oracles).items() if k.startswith("op") and isinstance(v, str)}
