@@ -47,3 +47,19 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles,
   (SELECT count(*) FROM links WHERE x = d.doc_id) AS n_links
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
+
+op7_substring_dedup = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents
+), windows AS (
+  SELECT doc_id, i AS pos, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words)
+), twice AS (
+  SELECT doc_id, pos FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS i FROM twice
+), kept AS (
+  SELECT doc_id, len(w) AS n, w, coalesce((SELECT list(i) FROM gone g WHERE g.doc_id = words.doc_id), []) AS g FROM words
+)
+SELECT doc_id, n::BIGINT AS n_words, len(g)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(g, i)), ' ')) AS kept_sha256 FROM kept
+"""

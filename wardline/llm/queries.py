@@ -48,6 +48,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_substrings
+
+    return dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import nearest_neighbours
 
@@ -71,5 +77,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_mixing, op5_ngram_jaccard_join, op6_fingerprints, op8_nearest_neighbours, op9_packing, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_mixing, op5_ngram_jaccard_join, op6_fingerprints, op7_substring_dedup, op8_nearest_neighbours, op9_packing, op10_language)}
 ORACLES = {k: v for k, v in vars(oracles).items() if k.startswith("op") and isinstance(v, str)}
