@@ -27,6 +27,26 @@ WITH base AS (
 SELECT doc_id, size, source_size, target, (whole * size + least(greatest(remaining, 0), size))::BIGINT AS taken FROM ordered
 """
 
+op4_lm_scores = rf"""
+WITH words AS (
+  SELECT doc_id, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS b, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS c
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents))
+), counted AS (
+  SELECT doc_id, i, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n,
+    count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY a, doc_id) AS c1,
+    CASE WHEN b IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY b, doc_id) END AS c2,
+    CASE WHEN c IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY c, doc_id) END AS c3
+  FROM words
+), scored AS (
+  SELECT doc_id, CASE WHEN c3 > 0 THEN c3::DOUBLE / lag(c2) OVER place WHEN c2 > 0 THEN 0.4::DOUBLE * c2 / lag(c1) OVER place
+    ELSE 0.4::DOUBLE * 0.4::DOUBLE * (c1 + 1) / (n + 1) END AS s, (c3 > 0)::INT AS seen
+  FROM counted WINDOW place AS (PARTITION BY doc_id ORDER BY i)
+), means AS (
+  SELECT doc_id, count(*) AS n_words, sum(seen)::BIGINT AS n_top, round(avg(ln(s)), 6) AS lm_score FROM scored GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_top, 0) AS n_top, lm_score FROM documents d LEFT JOIN means USING (doc_id)
+"""
+
 op5_ngram_jaccard_join = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM documents

@@ -22,6 +22,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    scores = score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scores.select("doc_id", "n_words", "n_top", F.round("lm_score", 6).alias("lm_score"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
@@ -77,5 +84,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_mixing, op5_ngram_jaccard_join, op6_fingerprints, op7_substring_dedup, op8_nearest_neighbours, op9_packing, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_mixing, op4_lm_scores, op5_ngram_jaccard_join, op6_fingerprints, op7_substring_dedup, op8_nearest_neighbours, op9_packing, op10_language)}
 ORACLES = {k: v for k, v in vars(oracles).items() if k.startswith("op") and isinstance(v, str)}
