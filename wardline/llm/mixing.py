@@ -49,18 +49,19 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], epochs: int) ->
     return s.withColumn("target", F.least("limit", F.col("level") * F.col("w"))).drop("w", "limit", "level", "at")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, quality: Column | None = None, seed: int = 1) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, quality: Column | None = None, seed: int = 1, keep_hash: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies) of every row of ``docs`` (doc_id, source, text).
 
     size counts words, a null text's being 0; taken are the words that the mix takes, repeats counted, so each
     source's sum is its target rounded.  copies says how often the whole row goes into a mix of whole rows: a
     row that the budget cuts counts as taken.  Rows that agree in id and size may stand for one another.
-    Reruns agree.  Null sources form one source; an empty table gives an empty one.
+    keep_hash adds row_hash, of source and text.  Reruns agree.  Null sources form one source; an empty table gives an empty one.
     """
     quality = text_quality(F.col("text")) if quality is None else quality
+    extra = [F.xxhash64("source", "text").alias("row_hash")] if keep_hash else []
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = -F.ln(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), seed=seed)) / F.col("q")
-    base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), quality.alias("q")).withColumn("key", key).drop("q"))
+    base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), quality.alias("q"), *extra).withColumn("key", key).drop("q"))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     plan = source_targets(sizes, tuple(weights), epochs)
     words, whole = F.floor(F.col("target") + 0.5).cast("long"), F.coalesce(F.floor(F.try_divide(F.floor(F.col("target") + 0.5).cast("double"), F.col("source_size").cast("double"))), F.lit(0)).cast("long")
@@ -74,4 +75,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs:
     here = Window.partitionBy("none", "name", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("prefix", F.coalesce(F.sum("size").over(here), F.lit(0))).join(totals, ["none", "name", "range"])
     left = F.greatest(F.lit(0), F.col("rest") - F.col("prefix") - F.col("words_before"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.least(left, F.col("size"))).alias("taken"), (F.col("whole") + F.when((left > 0), 1).otherwise(0)).alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.least(left, F.col("size"))).alias("taken"), (F.col("whole") + F.when((left > 0), 1).otherwise(0)).alias("copies"), *(["row_hash"] if keep_hash else []))
