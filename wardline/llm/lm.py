@@ -99,14 +99,15 @@ def _explode(order: int, buckets: int):
                 )
 
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
+            blocks, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("block", "text"))
+            blocks = blocks.to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]])) if len(blocks) else [0]
             for x, y in zip(edge, edge[1:]):
                 if blocks[x] != key:
                     if held:
                         yield from done()
                     key, held = int(blocks[x]), []
-                held.append(batch.column(1).slice(x, y - x).fill_null(""))
+                held.append(texts.slice(x, y - x).fill_null(""))
         if held:
             yield from done()
 
@@ -207,6 +208,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -
     buckets = max(1, -(-words * order // BUCKET_GRAMS))
     n = partitions_for(docs)
     blocks = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks_n))).repartition(n, "block")
-    sent = blocks.sortWithinPartitions("block").select("block", "text").mapInArrow(_explode(order, buckets), "n long, bucket long, block long, keys binary, counts binary")
+    # all columns, as below: one exchange of the texts serves both
+    sent = blocks.sortWithinPartitions("block").mapInArrow(_explode(order, buckets), "n long, bucket long, block long, keys binary, counts binary")
     totals = sent.repartition(n, "n", "bucket").sortWithinPartitions("n", "bucket").mapInArrow(_total, "block long, n long, bucket long, totals binary")
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(order, buckets, backoff, words), "doc_id long, n_words long, n_top long, log_score double, lm_score double")
