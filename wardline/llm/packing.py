@@ -24,36 +24,54 @@ from .common import small_batches
 LIMIT = 2048
 #: Costs in tokens of padding: a window, a cut at a sentence's end, a cut elsewhere in a document.
 WINDOW_COST, SENTENCE_COST, TRUNCATION_COST = 8, 4, 64
+#: Shorter windows of a power of two are tried at the end of a partition alone.
+LEAST_POWER = 64
 #: Tokens that are packed at a time; what may still change goes with the next ones.
 BUFFER = 1 << 18
-#: Words whose ids a worker keeps.
-KNOWN_WORDS = 400_000
+#: Pieces of texts whose ids a worker keeps.
+KNOWN_PIECES = 1_200_000
 
 
 def word_encoder(path: str, end_id: int):
     """text -> ids as little-endian uint32 bytes, ``end_id`` last; and a mask of ids that end a sentence.
 
-    The tokenizer drops white space and never joins tokens over it, so words between ASCII spaces are encoded
-    once and kept.
+    The tokenizer drops white space and never joins tokens over it, nor over the pieces that its own pattern
+    cuts a text into, so each piece is encoded once and kept.  Texts of ASCII and Latin letters are cut here;
+    others go to it by words.
     """
+    import re
+
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
+    pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+").findall
+    simple = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
+
+    merged, letters = tok.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     class Known(dict):
-        def __missing__(self, word: str) -> bytes:
-            if len(self) > KNOWN_WORDS:
+        def __init__(self, ids):
+            self.ids = ids
+
+        def __missing__(self, piece: str) -> bytes:
+            if len(self) > KNOWN_PIECES:
                 self.clear()
-            ids = self[word] = np.array(tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
+            ids = self[piece] = np.array(self.ids(piece), "<u4").tobytes() if piece else b""
             return ids
 
-    known, last = Known(), np.array([end_id], "<u4").tobytes()
-    table = str.maketrans("\t\n\r", "   ")
+    known = Known(lambda piece: [t.id for t in merged(piece if piece.isascii() else letters(piece)[0][0])])
+    words = Known(lambda word: tok.encode(word, add_special_tokens=False).ids)
+    last = np.array([end_id], "<u4").tobytes()
 
     def encode(text: str | None) -> bytes:
-        return b"".join(map(known.__getitem__, (text or "").translate(table).split(" "))) + last if text else last
+        if not text:
+            return last
+        if simple(text) and "<|" not in text:
+            return b"".join(map(known.__getitem__, pieces(text.lower()))) + last
+        return b"".join(map(words.__getitem__, text.split(" "))) + last
 
     vocabulary = tok.get_vocab()
     ends = np.zeros(max(max(vocabulary.values()), end_id) + 1, bool)
@@ -61,12 +79,15 @@ def word_encoder(path: str, end_id: int):
     return encode, ends
 
 
-def cuts(places: list[int], costs: list[float], limit: int, total: int, window_cost: float = WINDOW_COST) -> list[int]:
-    """The window ends of least cost among ``places`` (ascending, each at most ``limit`` after another, the last ``total``)."""
+def cuts(places: list[int], costs: list[float], limit: int, total: int, window_cost: float = WINDOW_COST, least: int = 1) -> list[int]:
+    """The window ends of least cost among ``places`` (ascending, each at most ``limit`` after another, the last ``total``).
+
+    Windows of a power of two from ``least`` on count as full.
+    """
     place, best, back = [0, *places], [0.0], [0]
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    at = {0: 0}
-    powers = [1 << k for k in range(limit.bit_length()) if 1 << k <= limit]
+    at = [-1] * limit + [0] + [-1] * total  # node at each place, from -limit on
+    powers = [limit - (1 << k) for k in range(limit.bit_length()) if least <= 1 << k < limit or 1 << k == limit]
     for i in range(1, len(place)):
         x = place[i]
         while place[queue[0][1]] < x - limit:
@@ -74,13 +95,13 @@ def cuts(places: list[int], costs: list[float], limit: int, total: int, window_c
         low, j = queue[0]
         low += limit - x
         for p in powers:
-            y = at.get(x - p)
-            if y is not None and best[y] < low:
+            y = at[x + p]
+            if y >= 0 and best[y] < low:
                 low, j = best[y], y
         f = low + costs[i - 1] + window_cost
         best.append(f)
         back.append(j)
-        at[x] = i
+        at[limit + x] = i
         key = f + x
         while queue and queue[-1][0] >= key:
             queue.pop()
@@ -136,7 +157,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limit: int = LIMIT, with_i
             ids = np.frombuffer(b"".join(parts), "<u4")
             size = np.array([t - s for _, s, t in names])
             stop = np.cumsum(size)
-            windows = cuts(*candidates(ids, stop, ends, limit, last), limit, len(ids))
+            windows = cuts(*candidates(ids, stop, ends, limit, last), limit, len(ids), least=1 if last else LEAST_POWER)
             if not last:  # the windows near the end may still change
                 windows = [w for w in windows if w <= len(ids) - 4 * limit]
             done = windows[-1] if windows else 0
@@ -156,7 +177,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limit: int = LIMIT, with_i
                 pa.array(begin - opened[window], pa.int64()),
             ]
             if with_ids:
-                columns.append(pa.array([ids[a:b].astype(np.int32) for a, b in zip(edge, edge[1:])], pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids[:done].astype(np.int32))))
             sequence += len(windows)
             first = int(np.searchsorted(stop, done, "right"))
             names = [(i, s + max(0, done - int(e - z)), t) for (i, s, t), e, z in zip(names[first:], stop[first:], size[first:])]
