@@ -6,6 +6,7 @@ the dot exclude the line feed alone, as in the engines the catalogs come from.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,9 +20,14 @@ SPACE = "[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x
 EPSILON = 1e-6
 
 
+def shared(pattern: str) -> str:
+    """A catalog pattern with code points written as Java and RE2 both read them."""
+    return re.sub(r"(?<!\\)\\u([0-9A-Fa-f]{4})", r"\\x{\1}", pattern)
+
+
 def java(pattern: str) -> str:
     """A catalog pattern in Java's dialect."""
-    return "(?d)" + pattern.replace(r"\b", _BOUNDARY)
+    return "(?d)" + shared(pattern).replace(r"\b", _BOUNDARY)
 
 
 def count(text: Column, pattern: str) -> Column:

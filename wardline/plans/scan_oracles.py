@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..catalog import lexicon as L
+from ..functions.text import shared
 from ..operators.scanners import BIAS, CARD, CODE_PATTERNS, IPV4, SENSITIVE, TOPICS, URL
 from .scan_queries import BANNED, COMPETITORS, RULES
 from .seeds import PHRASES, seeded_sql
@@ -13,7 +14,7 @@ def q(s: str) -> str:
 
 
 def n_of(pattern: str, t: str = "text") -> str:
-    return f"len(regexp_extract_all({t}, {q(pattern)}))"
+    return f"len(regexp_extract_all({t}, {q(shared(pattern))}))"
 
 
 def hits(phrases, t: str = "low") -> str:
