@@ -36,12 +36,15 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     return F.shiftleft(((log_a + 400.0) * float(1 << 34)).cast("long"), 16).bitwiseOR(name)
 
 
-def fingerprint_terms(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``terms`` (keys..., term long or null) -> (keys..., fingerprint): 4 hex digits a sample, empty without terms."""
-    counted = terms.groupBy(*keys, "term").agg(F.ln(F.count("*").cast("double")).alias("lw"))
-    lows = counted.groupBy(*keys).agg(*(F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("lw"), k))).alias(f"m{k}") for k in range(samples)))
-    hexes = [F.lpad(F.hex(F.col(f"m{k}").bitwiseAND(F.lit(0xFFFF))), 4, "0") for k in range(samples)]
-    return lows.select(*keys, F.lower(F.concat_ws("", *hexes)).alias("fingerprint"))
+def fingerprint_terms(counted: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES) -> DataFrame:
+    """``counted`` (keys..., term long or null, weight columns) -> keys and a fingerprint for each of ``weights`` (name: column).
+
+    4 hex digits a sample, empty without terms.  What depends on the term alone is computed once for all weights.
+    """
+    # a null logarithm makes a null sample, which no minimum takes; a condition around it would hide the shared parts
+    logs = counted.select(*keys, "term", *(F.when(F.col("term").isNotNull(), F.ln(F.col(w).cast("double"))).alias(n) for n, w in weights.items()))
+    lows = logs.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col(n), k)).alias(f"{n}{k}") for k in range(samples) for n in weights))
+    return lows.select(*keys, *(F.lower(F.concat_ws("", *(F.lpad(F.hex(F.col(f"{n}{k}").bitwiseAND(F.lit(0xFFFF))), 4, "0") for k in range(samples)))).alias(n) for n in weights))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -84,11 +87,17 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     rows = rows.select("bucket", "ghost", "doc_id", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next"))
     edited = F.concat(F.substring("text", F.lit(1), n - m), F.substring(F.coalesce("next", "text"), F.lit(1), m))
     about = rows.filter("ghost = 0").select("bucket", "rn", "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
-    texts = rows.select("bucket", "rn", F.explode(F.when(F.col("ghost") == 0, F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), edited.alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t"))))).alias("x"))
-    words = texts.select("bucket", "rn", F.col("x.which").alias("which"), F.explode_outer(F.split(F.col("x.t"), SPACE)).alias("word"))
-    terms = words.select("bucket", "rn", "which", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
-    prints = fingerprint_terms(terms, ["bucket", "rn", "which"], samples)
-    pair = prints.groupBy("bucket", "rn").agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    # the words of both forms: those before the last space ahead of the cut, and either's rest
+    stem = F.regexp_extract(F.substring("text", F.lit(1), n - m), r"(?s)^(.*[\x20\x09-\x0D])", 1)
+    split = rows.select("bucket", "rn", "ghost", "text", edited.alias("edited"), F.when(F.col("ghost") == 0, stem).otherwise("").alias("stem"))
+    part = lambda i, c: F.struct(F.lit(i).alias("part"), c.alias("t"))
+    after = F.length("stem") + 1
+    own = part(1, F.substring("text", after, F.length("text")))
+    parts = F.when(F.col("ghost") == 0, F.array(part(0, F.col("stem")), own, part(2, F.substring("edited", after, F.length("edited"))))).otherwise(F.array(own))
+    words = split.select("bucket", "rn", F.explode(parts).alias("x")).select("bucket", "rn", F.col("x.part").alias("part"), F.explode_outer(F.split(F.col("x.t"), SPACE)).alias("word"))
+    terms = words.select("bucket", "rn", "part", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
+    counted = terms.groupBy("bucket", "rn", "term").agg(F.count(F.when(F.col("part") != 2, 1)).alias("w0"), F.count(F.when(F.col("part") != 1, 1)).alias("w1"))
+    pair = fingerprint_terms(counted, ["bucket", "rn"], {"fingerprint": "w0", "edited_fingerprint": "w1"}, samples)
     pair = pair.withColumn("after", F.coalesce(F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("rn")), "fingerprint"))
     return about.join(pair, ["bucket", "rn"]).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
