@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog import lexicon
 from ..catalog import patterns as P
 from ..functions.text import RISK_BANDS, count
-from ..operators import detectors, metrics, scanners, spans
+from ..operators import detectors, metrics, scanners, spans, text_agents
 from ..operators.pipeline import Guard, allow_block, apply_policy, combine, result, short_circuit
 from ..sources import lines
 from . import detect_queries, scan_oracles
@@ -116,6 +117,24 @@ def detect_pii(spark, sf_dir):
     return found.select("doc_id", F.size("spans").cast("long").alias("n"), R(spans.spans_risk(F.col("spans"))).alias("risk_score"))
 
 
+def detect_toxicity(spark, sf_dir):
+    found = _docs(spark, sf_dir, "toxicity").withColumn("spans", text_agents.toxic_spans(F.col("text")))
+    return found.select("doc_id", F.size("spans").cast("long").alias("n"), R(spans.spans_risk(F.col("spans"))).alias("risk_score"))
+
+
+def scan_ban_code(spark, sf_dir):
+    c = text_agents.code_risk(F.col("text"))
+    return _docs(spark, sf_dir, "code").select("doc_id", c["n"].cast("long").alias("n"), R(c["risk_score"]).alias("risk_score"))
+
+
+def sql_functions(spark, sf_dir):
+    from ..functions.sql import register
+
+    register(spark)
+    _docs(spark, sf_dir, "toxicity").createOrReplaceTempView("wardline_documents")
+    return spark.sql("SELECT doc_id, guard_tokens(text) AS tokens, guard_insults(text) AS insults, guard_words(text) AS words FROM wardline_documents")
+
+
 def source_lines(spark, sf_dir):
     found = lines.scan_lines(_docs(spark, sf_dir, "secrets").select(F.col("doc_id").cast("string").alias("file"), "text"))
     return found.groupBy("category", "type", "severity").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"), F.max("line").cast("long").alias("last_line"))
@@ -246,7 +265,7 @@ def pipe_short_circuit(spark, sf_dir):
 
 
 _NAMES = """pipe_policy pipe_allow_block pipe_prompt_output pipe_combine pipe_short_circuit report_lang_risk report_category_severity report_accuracy
-anon_mask_columns anon_placeholders anon_roundtrip anon_regex_counts detect_pii source_lines metric_1min metric_sliding_rate metric_session metric_index_percentiles
+anon_mask_columns anon_placeholders anon_roundtrip anon_regex_counts detect_pii detect_toxicity scan_ban_code sql_functions source_lines metric_1min metric_sliding_rate metric_session metric_index_percentiles
 metric_alert_eval metric_retention metric_quota_calendar metric_quota_anchored metric_token_bucket metric_concurrency metric_scanner_stats detect_behaviour ml_softmax
 ml_sigmoid_violations cache_dedupe decision_events vault_live_sessions vault_cleanup point_lookup""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -304,6 +323,7 @@ ORACLES = {
     "pipe_prompt_output": f"WITH a AS ({_turn_secrets}), b AS ({_turn_invisible}), c AS ({_turn_sensitive}) SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, greatest(a.risk_score, b.risk_score) AS prompt_risk, a.risk_score < 0.5 AND b.is_valid AS prompt_valid, c.risk_score AS output_risk, c.is_valid AS output_valid FROM a JOIN b USING (doc_id) JOIN c USING (doc_id)",
     "report_category_severity": f"WITH {docs('secrets')}, c AS (SELECT * FROM ({_sets}) WHERE n > 0) SELECT category, severity, sum(n)::BIGINT AS n FROM c GROUP BY GROUPING SETS ((category, severity), (category), (severity), ())",
     "report_accuracy": "WITH s AS (" + _S["scan_toxicity_unseeded"] + "), c AS (SELECT count(*) FILTER (toxic = 1 AND NOT is_valid) AS tp, count(*) FILTER (toxic <> 1 AND NOT is_valid) AS fp, count(*) FILTER (toxic <> 1 AND is_valid) AS tn, count(*) FILTER (toxic = 1 AND is_valid) AS fn FROM labels JOIN s USING (doc_id) WHERE toxic IS NOT NULL), r AS (SELECT *, coalesce((tp + tn)::DOUBLE / nullif(tp + fp + tn + fn, 0), 0) AS a, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS k FROM c) SELECT tp, fp, tn, fn, round(a, 6) AS accuracy, round(p, 6) AS precision, round(k, 6) AS recall, round(coalesce(2 * p * k / nullif(p + k, 0), 0), 6) AS f1 FROM r",
+    "sql_functions": f"WITH {docs('toxicity')} SELECT doc_id, ceil(strlen(text) / 4.0)::BIGINT AS tokens, {scan_oracles.hits(lexicon.TOXICITY_INSULTS)} AS insults, len({scan_oracles.WORDS}) AS words FROM d",
     "anon_mask_columns": f"WITH {docs('secrets')} SELECT doc_id, {' + '.join(n_of(r[-1]) for r in SIMPLE)} AS n, sha256({_mask}) AS redacted_hash FROM d",
     "anon_roundtrip": "SELECT doc_id, true AS equal FROM documents",
     "anon_regex_counts": f"WITH {docs('pii')} SELECT doc_id, {', '.join(f'{n_of(r.pattern)} AS n_{r.kind.lower()}' for r in spans.ENTITIES if r.valid is None)}, {scan_oracles.IPS} AS n_ip_address FROM d",
