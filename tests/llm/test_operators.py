@@ -1,0 +1,353 @@
+"""The training-data operators against brute force, and on nulls, empty tables, ties, repeats and clashing columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from wardline.llm import fingerprints, language, lm, mixing, neighbours, ngram_join, packing, pii, substrings, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TOKENS = public_tokenizers.path("word_bpe_49k.json")
+VOCABULARY = [f"w{i}" for i in range(40)]
+
+
+def corpus(seed=1, n=60, extra=True):
+    """Random texts with copies, near copies, shared passages, repeats, and odd rows."""
+    rng = random.Random(seed)
+    passage = [rng.choice(VOCABULARY) for _ in range(60)]
+    texts = []
+    for _ in range(n):
+        words = [rng.choice(VOCABULARY) for _ in range(rng.randrange(1, 120))]
+        kind = rng.random()
+        if kind < 0.2 and texts:
+            words = WORD.findall(rng.choice(texts))
+        elif kind < 0.4 and texts:
+            words = WORD.findall(rng.choice(texts))
+            words[rng.randrange(len(words))] = "new"
+        elif kind < 0.5:
+            at = rng.randrange(len(words))
+            words[at:at] = passage
+        elif kind < 0.55:
+            words = ["again"] * rng.randrange(30, 60) + words
+        texts.append(rng.choice([" ", "\n", "  "]).join(words))
+    if extra:
+        texts += ["", None, " \t ", "one", "one two", "é ß 中", "one two"]
+    return list(enumerate(texts))
+
+
+def frame(spark, rows):
+    """With columns whose names clash with those that operators make."""
+    return spark.createDataFrame([(i, t, "s", 1, 2.0, "c") for i, t in rows], "doc_id long, text string, sig string, n int, taken double, component string")
+
+
+def same(got, want):
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5), (2, 1, 2)])
+def test_ngram_join(spark, monkeypatch, k, num, den):
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 8)  # groups are tiled
+    rows = corpus(2) + [(None, "one two three four")]
+    sets = {i: {tuple(w)} if 0 < len(w) < k else set(zip(*[w[j:] for j in range(k)])) for i, t in rows for w in [WORD.findall((t or "").lower())]}
+    ids = [i for i in sets if i is not None]
+    links = {i: [j for j in ids if j != i and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])] for i in ids}
+
+    def least(i):
+        seen, edge = {i}, [i]
+        while edge:
+            edge = [j for x in edge for j in links[x] if j not in seen and not seen.add(j)]
+        return min(seen)
+
+    got = ngram_join.ngram_join(frame(spark, rows), k, num, den).collect()
+    want = [(i, len(sets[i]), least(i) if i is not None else None, len(links[i]) if i is not None else 0) for i, _ in rows]
+    same([tuple(r) for r in got], want)
+
+
+def test_ngram_join_hot_blocks(spark, monkeypatch):
+    """Blocks with more sets than are taken pair by pair, in several segments."""
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    monkeypatch.setattr(ngram_join, "SEGMENT", 4)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[: i % 40], f"x{i}", *base[i % 40 + 1 :]])) for i in range(60)]
+    got = ngram_join.ngram_join(frame(spark, rows), 1, 4, 5)
+    assert {r.component_id for r in got.collect()} == {0}
+
+
+@pytest.mark.parametrize("window", [5, 35])
+def test_substrings(spark, monkeypatch, window):
+    rows = corpus(3)
+    count = collections.Counter(tuple(w[i : i + window]) for _, t in rows for w in [WORD.findall(t or "")] for i in range(len(w) - window + 1))
+
+    def want():
+        for i, t in rows:
+            w = WORD.findall(t or "")
+            gone = {j for a in range(len(w) - window + 1) if count[tuple(w[a : a + window])] > 1 for j in range(a, a + window)}
+            kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+            yield i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()
+
+    for few in (3000, 0):  # with automata, and with counted windows
+        monkeypatch.setattr(substrings, "SHARD_RUNS", few)
+        same([tuple(r) for r in substrings.dedup_substrings(frame(spark, rows), window, 3).collect()], list(want()))
+
+
+def test_suffix_automaton():
+    rng = random.Random(4)
+    for _ in range(100):
+        runs = [np.array([rng.randrange(3) for _ in range(rng.randrange(5, 25))], np.uint32) for _ in range(rng.randrange(1, 5))]
+        times = [rng.choice([1, 1, 2]) for _ in runs]
+        count = collections.Counter()
+        for r, t in zip(runs, times):
+            for i in range(len(r) - 4):
+                count[tuple(r[i : i + 5])] += t
+        assert [x.tolist() for x in substrings.repeated(runs, times, 5)] == [[count[tuple(r[i : i + 5])] > 1 for i in range(len(r) - 4)] for r in runs]
+
+
+def test_lm_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(lm, "BUCKET_GRAMS", 500)
+    rows = corpus(5)
+    words = {i: WORD.findall(t or "") for i, t in rows}
+    grams = {n: {i: collections.Counter(zip(*[w[j:] for j in range(n)])) for i, w in words.items()} for n in (1, 2, 3)}
+    total = {n: sum(grams[n].values(), collections.Counter()) for n in grams}
+    n_words = sum(map(len, words.values()))
+
+    def score(i):
+        c = lambda g: total[len(g)][g] - grams[len(g)][i][g]
+        w, out = words[i], []
+        for j in range(len(w)):
+            for n in (3, 2):
+                g = tuple(w[j - n + 1 : j + 1])
+                if j >= n - 1 and c(g) > 0:
+                    out.append(0.4 ** (3 - n) * c(g) / c(g[:-1]))
+                    break
+            else:
+                out.append(0.16 * (c((w[j],)) + 1) / (n_words - len(w) + 1))
+        return sum(map(math.log, out)) / len(out) if out else None
+
+    for r in lm.score_texts(frame(spark, rows)).collect():
+        want = score(r.doc_id)
+        assert r.n_words == len(words[r.doc_id]) and (r.lm_score is None if want is None else abs(r.lm_score - want) < 1e-9)
+
+
+def test_pii_base_spans():
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    valid = {"email": lambda v, d: True, "ip": lambda v, d: all(int(x) <= 255 for x in v.split(".")), "card": lambda v, d: 12 <= len(d) <= 19 and pii.luhn(d), "phone": lambda v, d: 9 <= len(d) <= 15}
+    rng = random.Random(6)
+    for n in range(20000):
+        text = "".join(rng.choice("a@@..-_1 +5(0é25\n" if n % 2 else "4111 1-.+()2") for _ in range(rng.randrange(60)))
+        want = [(m.start(), m.end(), k) for k, p in patterns.items() for m in re.finditer(p, text) if valid[k](m.group(), re.sub("[^0-9]", "", m.group()))]
+        want.sort(key=lambda s: (s[0], pii.KINDS.index(s[2])))
+        assert pii.base_spans(text) == want, text
+
+
+def test_pii_terms(spark):
+    rows = [(i, f"x{chr(98 + i) * 4} we met zanzibrook friend at ann@x.org number{i} w{chr(97 + i) * 3} today") for i in range(6)]
+    rows += [(10, "nothing but Zanzibrook here"), (11, None), (12, ""), (13, "we met a friend today"), (14, "we met today with a friend who met"), (15, "met him")]
+    got = {r.doc_id: r for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got[10].spans == "term:12:22" and got[0].n_email == 1 and got[11].spans == "" and got[12].n_term == 0
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert clean[10] == "nothing but [TERM] here" and "[EMAIL]" in clean[0] and clean[11] is None and clean[12] == ""
+    assert pii.sanitise(frame(spark, rows)).columns == frame(spark, rows).columns
+
+
+def test_mixing(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "a", "a", "a", "b", "c", None]), " ".join(["w"] * rng.randrange(30))) for i in range(400)] + [(None, "z", None), (401, "z", ""), (5, "a", "w w"), (5, "a", "w w")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("whole", F.lit(1))
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    size, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in got:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    names = ["a", "b", "c", "z", None]
+    weight = dict(zip(names, [1, 2, 3, 1, 2]))
+    left, share = set(names), {}
+    while True:  # shares above their limit stop there, the rest is shared anew
+        rest = sum(size.values()) - sum(share.values())
+        over = [s for s in left if rest * weight[s] / sum(weight[x] for x in left) > 3 * size[s]]
+        if not over:
+            break
+        share |= {s: 3 * size[s] for s in over}
+        left -= set(over)
+    share |= {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+    for s in names:
+        assert abs(target[s] - share[s]) < 1e-6 and abs(taken[s] - target[s]) <= 0.5
+    assert sorted(map(repr, mixing.mix_sources(df.repartition(7)).collect())) == sorted(map(repr, got))
+
+
+def test_fingerprints(spark):
+    rows = corpus(8, 40)
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(frame(spark, rows), 64).collect()}
+    bag = lambda t: collections.Counter(WORD.findall(t))
+    alike = lambda a, b: sum((bag(a) & bag(b)).values()) / sum((bag(a) | bag(b)).values()) if bag(a) | bag(b) else 1.0
+    errors, seen = [], {}
+    for i, (k, t) in enumerate(rows):
+        t, after = t or "", rows[(i + 1) % len(rows)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        r = got[k]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert seen.setdefault(t, r.fingerprint) == r.fingerprint
+        errors += [r.near_edited - alike(t, edited), r.near_next - alike(t, after)]
+    assert abs(np.mean(errors)) < 0.03 and np.abs(errors).max() < 0.3
+
+
+@pytest.mark.parametrize("copies", [1, 30])
+def test_neighbours(spark, copies):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(300 // copies * 2, 16)), copies, 0).astype(np.float32)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [None] * 16), (None, [1.0] * 16), (9005, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit("x"))
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest_neighbours(df, df.filter("vec_id % 20 = 0"), k=10, shard_rows=200).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hit = 0
+    wide = x.astype(np.float64)
+    for i in range(0, len(x), 20):
+        s = (wide * wide[i]).sum(1)
+        order = [j for j in np.lexsort((np.arange(len(x)), -s)) if j != i][:10]
+        assert len(got[i]) == 10 and all(abs(s[j] - v) < 1e-9 for j, v in got[i])
+        hit += len({j for j, _ in got[i]} & set(order))
+    assert hit / (10 * len(range(0, len(x), 20))) >= 0.9
+
+
+def test_cuts_are_the_cheapest():
+    rng = random.Random(10)
+    for _ in range(200):
+        limit, n = rng.choice([8, 12, 16]), rng.randrange(1, 60)
+        places = sorted({n, *(p for p in range(1, n) if rng.random() < 0.6 or p % limit == 0)})
+        costs = [rng.choice([0, 4, 64]) for _ in places]
+        pad = lambda k: 0 if k & (k - 1) == 0 else limit - k
+        best = {0: 0.0}
+        for p, c in zip(places, costs):
+            best[p] = min(f + pad(p - q) + c + packing.WINDOW_COST for q, f in best.items() if p - q <= limit)
+        got = packing.cuts(places, costs, limit, n)
+        assert sum(pad(b - a) + costs[places.index(b)] + packing.WINDOW_COST for a, b in zip([0, *got], got)) == pytest.approx(best[n])
+
+
+def test_packing(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "BUFFER", 3000)
+    tok = Tokenizer.from_file(TOKENS)
+    rows = corpus(11, 80) + [(90, "Straße it's 'S <|endoftext|> naïve!! 12.5 ²½"), (91, "x" * 5000), (92, "a. " * 4000)]
+    ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in rows}
+    got = packing.pack(frame(spark, rows).repartition(2), TOKENS, with_ids=True).collect()
+    at, sequences = collections.Counter(), collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.start == at[r.doc_id] and r.ids == piece.tolist() and r.ids_crc32 == zlib.crc32(piece.tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        at[r.doc_id] += r.length
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert at == {i: len(v) for i, v in ids.items()}
+    padding = 0
+    for pieces in sequences.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end and length > 0
+            end += length
+        assert end <= 2048
+        padding += 0 if end & (end - 1) == 0 else 2048 - end
+    assert padding < 0.02 * sum(map(len, ids.values()))
+
+
+def test_toxicity(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["the", "on", "er", "ing", "re", "at", "id", "or", "st", "lo"]) for _ in range(rng.randrange(1, 4)))
+    rows, labels = [], []
+    for i in range(300):
+        text, bad = " ".join(word() for _ in range(30)), i % 4 == 0
+        rows.append((i, text + (" idiot loser" * 2 if bad else "")))
+        labels.append((i, int(bad)))
+    rows += [(900, "the on 1d10t er l0$er at"), (901, "on i d i o t at l o s e r"), (902, "the iiiidiot looooser"), (903, "on at the er ing"), (904, None), (905, "")]
+    docs = frame(spark, rows)
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([*labels, (None, 1), (1, None)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(got[i] >= 0.7 for i in (900, 901, 902)) and all(got[i] < 0.3 for i in (903, 904, 905))
+    assert all((got[i] >= 0.7) == bool(y) for i, y in labels)
+    none = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert max(r.toxicity for r in toxicity.score_toxicity(docs, none).collect()) < 0.7
+
+
+def test_decoder():
+    model = np.log(np.full((28, 28, 28), 1 / 28))
+    for word in ("idiot", "loser"):
+        codes = [0, 0, *(ord(c) - 96 for c in word), 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            model[a, b, c] = -0.1
+    d = toxicity.Decoder(model)
+    assert [d.restore(x) for x in ("1d10t", "!d!0t,", "l0$er", "looooser", "i.d.i.o.t", "hello", "12345", "and&&&")] == ["idiot", "idiot", "loser", "loser", "idiot", "hello", "12345", "and"]
+    assert toxicity.spaced_words("a i d i o t b".split(), d)
+
+
+def test_language(spark):
+    rng = random.Random(13)
+    syllables = {"en": ["the", "ing", "wh", "er"], "fr": ["é", "que", "eau", "oi"], "de": ["ü", "sch", "ung", "ß"]}
+    text = lambda k, n: " ".join("".join(rng.choices(syllables[k], k=2)) for _ in range(n))
+    rows = [(i, text(k, rng.randrange(5, 80)), k) for i in range(240) for k in [rng.choice(list(syllables))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.fit_language(docs.filter("doc_id < 160"))
+    held = docs.filter("doc_id >= 160").unionByName(spark.createDataFrame([(900, None, None), (901, "", None), (902, "12 34!", None)], docs.schema))
+    got = {r.doc_id: r for r in language.identify_language(held, net).collect()}
+    assert sum(got[i].lang_pred == k for i, _, k in rows[160:]) >= 0.95 * 80
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902)) and all(0 <= r.score <= 1 for r in got.values())
+    assert language.fit_language(docs.filter("false")) is None
+    assert {r.lang_pred for r in language.identify_language(docs, None).collect()} == {"und"}
+
+
+def test_gradients():
+    """Backpropagation through time against finite differences."""
+    rng = np.random.default_rng(14)
+    k, codes = language.UNITS, rng.integers(0, 256, (6, 3))
+    x, u = rng.normal(size=(256, 3 * k)) * 0.3, rng.normal(size=(k, 3 * k)) * 0.3
+    weight = rng.normal(size=(6, 3, k))
+    loss = lambda x, u: sum((h * w).sum() for h, w in zip(language._steps(x, u, codes, np.zeros((3, k))), weight))
+    kept = []
+    list(language._steps(x, u, codes, np.zeros((3, k)), kept))
+    gx, gu = language._gradient(x.shape, u, kept, list(weight))
+    for m, g in ((x, gx), (u, gu)):
+        for _ in range(10):
+            at = (codes[0, 0], rng.integers(3 * k)) if m is x else (rng.integers(k), rng.integers(3 * k))
+            a, b = m.copy(), m.copy()
+            a[at] += 1e-5
+            b[at] -= 1e-5
+            slope = (loss(a, u) - loss(b, u) if m is x else loss(x, a) - loss(x, b)) / 2e-5
+            assert abs(slope - g[at]) < 1e-3 * max(1, abs(slope))
+
+
+EMPTY = "doc_id long, text string, source string, lang string"
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        ngram_join.ngram_join,
+        substrings.dedup_substrings,
+        lm.score_texts,
+        pii.find_pii,
+        pii.sanitise,
+        mixing.mix_sources,
+        fingerprints.fingerprint_documents,
+        lambda d: packing.pack(d, TOKENS),
+        lambda d: language.identify_language(d, None),
+        lambda d: toxicity.score_toxicity(d, toxicity.fit_toxicity(d, d.selectExpr("doc_id", "1 AS toxic"))),
+        lambda d: neighbours.nearest_neighbours(*[d.selectExpr("doc_id AS vec_id", "CAST(NULL AS array<float>) AS embedding")] * 2),
+    ],
+)
+def test_empty_tables(spark, run):
+    assert run(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_null_rows(spark):
+    docs = spark.createDataFrame([(None, None, None, None), (None, None, None, None), (1, None, None, None)], EMPTY)
+    for run in (ngram_join.ngram_join, substrings.dedup_substrings, lm.score_texts, pii.find_pii, mixing.mix_sources, fingerprints.fingerprint_documents, lambda d: packing.pack(d, TOKENS)):
+        assert run(docs).count() == 3

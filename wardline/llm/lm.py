@@ -55,8 +55,11 @@ def _unpack_counts(data: bytes) -> np.ndarray:
 class Block:
     """The n-grams of a block of texts: hash and document of each, by order, and the distinct ones by bucket."""
 
-    def __init__(self, texts: pa.Array, order: int, buckets: int):
-        data, offsets = string_buffer(texts)
+    def __init__(self, packed: list[bytes], order: int, buckets: int):
+        import zstandard
+
+        texts = [zstandard.ZstdDecompressor().decompress(p) if p else b"" for p in packed]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         parts = [Words(data, offsets[x : y + 1], fold=False) for x, y in slices(offsets)]
         rows = np.cumsum([0, *(len(p.offsets) - 1 for p in parts)])
         self.hash = np.concatenate([p.hash for p in parts]) if parts else np.zeros(0, np.uint64)
@@ -87,7 +90,7 @@ def _explode(order: int, buckets: int):
         key, held = None, []
 
         def done():
-            block = Block(pa.concat_arrays(held), order, buckets)
+            block = Block(held, order, buckets)
             for n in range(1, order + 1):
                 b, k, place = block.sorted(block.ngrams(n)[0])
                 count = np.bincount(place, minlength=len(b))
@@ -107,7 +110,7 @@ def _explode(order: int, buckets: int):
                     if held:
                         yield from done()
                     key, held = int(blocks[x]), []
-                held.append(texts.slice(x, y - x).fill_null(""))
+                held += texts.slice(x, y - x).to_pylist()
         if held:
             yield from done()
 
@@ -151,9 +154,7 @@ def _own(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def _score(order: int, buckets: int, backoff: float, words: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column("text").combine_chunks()
-        texts = (pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts).fill_null("")
-        block = Block(texts, order, buckets)
+        block = Block(left.column("text").to_pylist(), order, buckets)
         by = {(r["n"], r["bucket"]): r["totals"] for r in right.to_pylist()}
         m, rows = len(block.hash), left.num_rows
         counts = []  # by order, at each word: the n-gram that ends there, without its own document's
@@ -176,13 +177,23 @@ def _score(order: int, buckets: int, backoff: float, words: int):
             level[yes] = n - 1
         for n in range(order):
             seen[n] = np.bincount(block.doc[level == n], minlength=rows)
-        total = np.bincount(block.doc, np.log(value), minlength=rows)
+        total = np.bincount(block.doc, np.log(value), minlength=rows).astype(np.float64)
         score = np.divide(total, size, out=np.zeros(rows), where=size > 0)
         return pa.table({"doc_id": left.column("doc_id"), "n_words": size.astype(np.int64), "n_top": seen[-1], "log_score": pa.array(total, mask=size == 0), "lm_score": pa.array(score, mask=size == 0)})
 
     return run
 
 
+def _shrink(batches):
+    """Texts compressed, null and empty as nothing: half of what the exchange would write."""
+    import zstandard
+
+    zip_ = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [zip_(t.encode("utf-8", "surrogatepass")) if t else b"" for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "block", "text"])
+
+
 def _sizes(batches):
     nbytes = words = 0
     for batch in batches:
@@ -207,7 +218,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -
     blocks_n, words = max(1, -(-(said["b"] or 0) // BLOCK_BYTES)), said["w"] or 0
     buckets = max(1, -(-words * order // BUCKET_GRAMS))
     n = partitions_for(docs)
-    blocks = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks_n))).repartition(n, "block")
+    keyed = base.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks_n)).alias("block"), "text")
+    blocks = keyed.mapInArrow(_shrink, "doc_id long, block long, text binary").repartition(n, "block")
     # all columns, as below: one exchange of the texts serves both
     sent = blocks.sortWithinPartitions("block").mapInArrow(_explode(order, buckets), "n long, bucket long, block long, keys binary, counts binary")
     totals = sent.repartition(n, "n", "bucket").sortWithinPartitions("n", "bucket").mapInArrow(_total, "block long, n long, bucket long, totals binary")
