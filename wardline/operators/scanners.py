@@ -1,7 +1,7 @@
 """Scanners: pure functions from a text column to named verdict columns.
 
 Each returns a dict with ``risk_score`` (0 to 1) and ``is_valid`` among its columns, and what it measured.  A
-null text gives null columns.  Lists and weights are in :mod:`wardline.catalog.lexicon`.
+null text has no risk: it is valid, or null where a scanner measures it.  Lists and weights are in :mod:`wardline.catalog.lexicon`.
 """
 
 from __future__ import annotations

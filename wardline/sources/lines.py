@@ -25,7 +25,7 @@ INJECTION_LINES = [
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(file, text) of the files below a path that Spark can read, subfolders too."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def read_events(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:
