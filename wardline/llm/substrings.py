@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _R, _RINV, Words, _power, forget, grams, materialize, mix, partitions_for, slices, small_batches, string_buffer
+from .common import _R, _RINV, Words, _power, bytes_buffer, compressed, expanded, forget, grams, materialize, mix, partitions_for, slices, small_batches, string_buffer
 
 WINDOW, GRAM = 35, 12
 #: Runs of one hash that wait for one unlike them; more go on as if there were one.
@@ -210,7 +210,7 @@ def _contents(window: int):
 
     def run(batches):
         for batch in batches:
-            data, offsets = string_buffer(batch.column(1))
+            data, offsets = bytes_buffer(expanded(batch.column(1).to_pylist()))
             chosen = batch.column(0).to_pylist()
             for x, y in slices(offsets):
                 w = Words(data, offsets[x : y + 1], fold=False)
@@ -263,7 +263,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     several = sifted.filter("not like")
     kinds = several.groupBy("m", "h").agg(F.count("*").alias("c"), F.min(F.struct("u1", "u2", "start", "n")).alias("one"))
     chosen = kinds.select("one.u1", "one.u2", F.struct("m", "h", "c", "one.start", "one.n").alias("r")).groupBy("u1", "u2").agg(F.collect_list("r").alias("runs"))
-    texts = docs.select("u1", "u2", "text")
+    texts = compressed(docs.select("u1", "u2", "text"))
     contents = chosen.join(texts, ["u1", "u2"]).select("runs", "text").mapInArrow(_contents(window), "m long, h long, c long, words binary").groupBy("m", "h").agg(F.max("c").alias("c"), F.first("words").alias("words"))
     judged = contents.select("m", "h", "c", "words").repartition(n, "m").sortWithinPartitions("m", "h").mapInArrow(_judge(window), "m long, h long, at long, k long")
     found = several.join(judged, ["m", "h"]).select("u1", "u2", (F.col("start") + F.col("at")).alias("at"), "k")
@@ -274,8 +274,8 @@ def _remove(window: int, with_text: bool):
     def run(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
+            for text, spans in zip(expanded(batch.column(1).to_pylist()), batch.column(2).to_pylist()):
+                words = text.split()
                 n, kept = len(words), words
                 if spans:
                     edge = np.zeros(n + 1, np.int64)
@@ -308,4 +308,4 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wi
     found = repeated_windows(keyed.filter("text is not null"), window, gram)
     spans = found.groupBy("u1", "u2").agg(F.collect_set(F.struct("at", "k")).alias("spans"))
     names = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return keyed.join(spans, ["u1", "u2"], "left").select("doc_id", "text", "spans").mapInArrow(_remove(window, with_text), names)
+    return compressed(keyed).join(spans, ["u1", "u2"], "left").select("doc_id", "text", "spans").mapInArrow(_remove(window, with_text), names)
