@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, mix, partitions_for, slices, small_batches, string_buffer
+from .common import Words, bytes_buffer, compressed, expanded, grams, mix, partitions_for, slices, small_batches, string_buffer
 
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text of a block, and n-grams of a bucket, about.  Numbers of both follow from the corpus.
 BLOCK_BYTES, BUCKET_GRAMS = 6_000_000, 1_500_000
-#: Low bits of a hash that tell n-grams of one bucket apart; the bucket comes from the rest.
+#: Bits of a hash that tell n-grams of one bucket apart, after those that name the bucket.
 KEY_BITS = 48
 
 
@@ -56,10 +56,7 @@ class Block:
     """The n-grams of a block of texts: hash and document of each, by order, and the distinct ones by bucket."""
 
     def __init__(self, packed: list[bytes], order: int, buckets: int):
-        import zstandard
-
-        texts = [zstandard.ZstdDecompressor().decompress(p) if p else b"" for p in packed]
-        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        data, offsets = bytes_buffer(expanded(packed))
         parts = [Words(data, offsets[x : y + 1], fold=False) for x, y in slices(offsets)]
         rows = np.cumsum([0, *(len(p.offsets) - 1 for p in parts)])
         self.hash = np.concatenate([p.hash for p in parts]) if parts else np.zeros(0, np.uint64)
@@ -73,11 +70,16 @@ class Block:
         return mix(g[inside] + np.uint64(n)), inside + n - 1
 
     def sorted(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bucket, key, place of each of ``g`` among them) of the distinct hashes, by bucket and key."""
-        bucket = ((g >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
-        key = g & np.uint64((1 << KEY_BITS) - 1)
-        order = np.lexsort((key, bucket))
-        b, k = bucket[order], key[order]
+        """(bucket, key, place of each of ``g`` among them) of the distinct hashes, by bucket and key.
+
+        With the hash a fraction of 2^64, the bucket is the whole part of fraction times buckets, the key the
+        first bits of what remains, so both ascend with the hash.
+        """
+        n, low = np.uint64(self.buckets), np.uint64(0xFFFFFFFF)
+        order = np.argsort(g)
+        s = g[order]
+        b = ((s >> np.uint64(32)) * n + (((s & low) * n) >> np.uint64(32))) >> np.uint64(32)
+        k = (s * n) >> np.uint64(64 - KEY_BITS)
         new = np.ones(len(b), bool)
         new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
         place = np.empty(len(g), np.int64)
@@ -142,13 +144,12 @@ def _total(batches):
 
 def _own(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """How often each n-gram stands in its own document."""
-    order = np.lexsort((g, doc))
-    a, d = g[order], doc[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-    at = np.cumsum(new) - 1
+    pair = mix(g + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(pair)
+    s = pair[order]
+    at = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     out = np.empty(len(g), np.int64)
-    out[order] = np.bincount(at)[at] if len(a) else 0
+    out[order] = np.bincount(at)[at] if len(s) else 0
     return out
 
 
@@ -184,16 +185,6 @@ def _score(order: int, buckets: int, backoff: float, words: int):
     return run
 
 
-def _shrink(batches):
-    """Texts compressed, null and empty as nothing: half of what the exchange would write."""
-    import zstandard
-
-    zip_ = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        texts = [zip_(t.encode("utf-8", "surrogatepass")) if t else b"" for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "block", "text"])
-
-
 def _sizes(batches):
     nbytes = words = 0
     for batch in batches:
@@ -219,7 +210,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -
     buckets = max(1, -(-words * order // BUCKET_GRAMS))
     n = partitions_for(docs)
     keyed = base.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks_n)).alias("block"), "text")
-    blocks = keyed.mapInArrow(_shrink, "doc_id long, block long, text binary").repartition(n, "block")
+    blocks = compressed(keyed).repartition(n, "block")
     # all columns, as below: one exchange of the texts serves both
     sent = blocks.sortWithinPartitions("block").mapInArrow(_explode(order, buckets), "n long, bucket long, block long, keys binary, counts binary")
     totals = sent.repartition(n, "n", "bucket").sortWithinPartitions("n", "bucket").mapInArrow(_total, "block long, n long, bucket long, totals binary")
