@@ -68,7 +68,7 @@ def test_relevance(spark):
 
 
 def test_nulls_have_no_risk(spark):
-    for scan in (S.toxicity, S.prompt_injection, S.token_limit, S.bias, S.gibberish, S.language, S.sensitive, S.malicious_urls, S.factuality, S.reading_time):
+    for scan in (S.toxicity, S.prompt_injection, S.token_limit, S.bias, S.gibberish, S.language, S.sensitive, S.malicious_urls, S.factuality, S.ban_topics, S.sentiment, S.no_refusal, S.code_counts, S.invisible_text):
         got = one(spark, scan(T()), text=None)
         assert got["is_valid"] in (None, True) and not got["risk_score"]
 

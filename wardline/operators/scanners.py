@@ -105,7 +105,7 @@ def gibberish(text: Column, threshold: float = 0.7, min_bytes: int = 10) -> Verd
             "entropy_score": (F.when(x.e > 0.85, (x.e - 0.85) / 0.15).otherwise(0.0), 2.0),
             "repetition": (F.when(x.bytes >= 3, F.least(F.lit(1.0), x.r / x.bytes)).otherwise(0.0), 1.5),
             "vowel_score": (F.when(x.n == 0, 0.0).when((ratio < 0.15) | (ratio > 0.6), F.least(F.lit(1.0), F.abs(ratio - 0.4) / 0.4)).otherwise(0.0), 1.5),
-            "mashing": (F.least(F.lit(1.0), x.m / 5.0), 2.0),
+            "mashing": (F.least(F.lit(1.0), F.coalesce(x.m, F.lit(0)) / 5.0), 2.0),
             "word_score": (F.when(x.k > 0, x.o.cast("double") / x.k).otherwise(0.0), 1.5),
         }
         mean = reduce(lambda a, b: a + b, [s * w for s, w in parts.values()]) / sum(w for _, w in parts.values())
@@ -135,7 +135,7 @@ def language(text: Column, allowed: tuple[str, ...] = ("en",), min_confidence: f
             yes = x[f"k_{c}"] > F.floor(x.n / part)
             code, sure = code.when(yes, c), sure.when(yes, x[f"k_{c}"] / x.n)
         yes = x.latin > F.floor(x.n / 2)
-        return F.struct(F.when(x.bytes < min_bytes, "short").otherwise(code.when(yes, latin).otherwise("unknown")).alias("code"), sure.when(yes, x.latin / x.n).otherwise(0.3).alias("confidence"))
+        return F.struct(F.when(F.coalesce(x.bytes, F.lit(0)) < min_bytes, "short").otherwise(code.when(yes, latin).otherwise("unknown")).alias("code"), sure.when(yes, x.latin / x.n).otherwise(0.3).alias("confidence"))
 
     out = let(measures, judged)
     code, confidence = out["code"], out["confidence"]
@@ -190,7 +190,7 @@ TOPICS = {"violence": L.BAN_TOPICS_VIOLENCE, "illegal_drugs": L.BAN_TOPICS_ILLEG
 def ban_topics(text: Column, topics: dict[str, list[str]] = TOPICS, threshold: float = 0.6) -> Verdict:
     """Keyword hits (not overlapping) by topic, ten times their share of the words."""
     low, n = F.lower(text), F.greatest(F.size(words(text)), F.lit(1))
-    share = {t: F.least(F.lit(1.0), total([F.regexp_count(low, F.lit(_escaped(k))) for k in ks]) / n * 10) for t, ks in topics.items()}
+    share = {t: F.least(F.lit(1.0), F.coalesce(total([F.regexp_count(low, F.lit(_escaped(k))) for k in ks]), F.lit(0)) / n * 10) for t, ks in topics.items()}
     kept = {t: F.when(s >= threshold - EPSILON, s).otherwise(0.0) for t, s in share.items()}
     risk = F.greatest(F.lit(0.0), *kept.values())
     return {"n_topics": total([(k > 0).cast("int") for k in kept.values()]), "risk_score": risk, "is_valid": risk <= 0}
