@@ -25,9 +25,47 @@ def shared(pattern: str) -> str:
     return re.sub(r"(?<!\\)\\u([0-9A-Fa-f]{4})", r"\\x{\1}", pattern)
 
 
+def _group_end(pattern: str, at: int) -> int:
+    """Where the group that opens at ``at`` closes; brackets and escapes don't count."""
+    depth, inside, i = 0, False, at
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if depth == 0:
+                return i
+        i += 1
+    return -1
+
+
+def _first_letters(pattern: str, at: int) -> str:
+    """Letters that what stands at ``at`` must begin with: a letter, or a group whose alternatives all begin with one; else none."""
+    if at < len(pattern) and pattern[at].isalpha() and pattern[at].isascii():
+        return "" if pattern[at + 1 : at + 2] in ("?", "*", "{") else pattern[at]
+    end = _group_end(pattern, at) if pattern[at : at + 1] == "(" else -1
+    if end < 0 or pattern[end + 1 : end + 2] in ("?", "*", "{"):
+        return ""
+    body = pattern[at + 1 : end].removeprefix("?:")
+    if "(" in body or "[" in body or body.startswith("?"):
+        return ""  # an alternative with an inner group: not worth the parsing
+    first = [_first_letters(a, 0) for a in body.split("|")]
+    return "".join(sorted(set(first))) if all(first) else ""
+
+
 def java(pattern: str) -> str:
-    """A catalog pattern in Java's dialect."""
-    return "(?d)" + shared(pattern).replace(r"\b", _BOUNDARY)
+    """A catalog pattern in Java's dialect.  A boundary before known letters is tested after them, since they rarely stand there."""
+    parts = shared(pattern).split(r"\b")
+    out = parts[0]
+    for part in parts[1:]:
+        first = _first_letters(part, 0)
+        out += (f"(?=[{first}])(?<!{_WORD})" if first else _BOUNDARY) + part
+    return "(?d)" + out
 
 
 def count(text: Column, pattern: str) -> Column:
