@@ -81,6 +81,22 @@ def test_ngram_join_hot_blocks(spark, monkeypatch):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_ngram_join_hot_blocks_link_over_segments(spark, monkeypatch):
+    """Copies of one text, edited independently: each is linked with it and with no other copy."""
+    monkeypatch.setattr(ngram_join, "SEGMENT", 500)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2401):
+        words = list(base)
+        for j in rng.sample(range(300), 32):
+            words[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(words)))
+    got = ngram_join.ngram_join(frame(spark, rows), 1, 4, 5).collect()
+    assert {(r.component_id, r.n_links) for r in got if r.doc_id} == {(0, 1)}
+    assert [r.n_links for r in got if r.doc_id == 0] == [2400]
+
+
 @pytest.mark.parametrize("window", [5, 35])
 def test_substrings(spark, monkeypatch, window):
     rows = corpus(3)

@@ -8,8 +8,9 @@ What is left falls into small groups that hold every link.  In each the overlap
 accumulate over column chunks (a matrix product), and pairs below the size-derived bound go.
 
 Hot groups: equal n-gram sets are one row with a multiplicity; equal blocks are sorted by (block, set), so a
-hot block spreads over many tasks, which hold its rows against one another by segments and give a star for
-each cluster; a large group is tiled by size class and hash.
+hot block spreads over many tasks.  Its rows are dealt by hash into segments, and every segment is held against
+itself and every other one, a pair of segments to a tile, which gives a star for each cluster; a large group is
+tiled by size class and hash.
 """
 
 from __future__ import annotations
@@ -167,7 +168,9 @@ def _spread(batches):
 
 
 #: Distinct sets with one block that are taken pair by pair; more are held against one another in segments.
-FEW, SEGMENT = 16, 1024
+FEW = 16
+#: Rows and n-grams of one segment of a hot block; a tile holds two segments at most.
+SEGMENT, SEGMENT_GRAMS = 8192, 32_000_000
 
 
 def _meet(batches):
@@ -240,10 +243,25 @@ def _near_pairs(num: int, den: int):
     return run
 
 
+def _tiles(rows: DataFrame) -> DataFrame:
+    """``rows`` (sig, id, n, bits) as (sig, tile, side, id, n, bits): any two rows of a block share a tile.
+
+    Sides 0 and 1 are two segments that are held against each other, side 2 one that is held against itself.
+    """
+    sized = rows.groupBy("sig").agg(F.greatest(F.ceil(F.count("*") / SEGMENT), F.ceil(F.sum("n") / SEGMENT_GRAMS)).alias("t"))
+    large = materialize(sized.filter("t > 1"))
+    t = F.coalesce("t", F.lit(1).cast("long"))
+    dealt = rows.join(large, "sig", "left").select("sig", "id", "n", "bits", t.alias("t"), F.pmod(F.xxhash64("id", "sig"), t).alias("h"))
+    h, t = F.col("h"), F.col("t")
+    tile = lambda g: F.struct((F.least(h, g) * t + F.greatest(h, g)).alias("tile"), F.when(g == h, 2).when(g < h, 1).otherwise(0).cast("long").alias("side"))
+    each = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), t - 1), tile)).alias("x")
+    return dealt.select("sig", "id", "n", "bits", each).select("sig", "x.tile", "x.side", "id", "n", "bits")
+
+
 def _clusters(num: int, den: int):
-    """Rows by (sig, id): edges (id, least id of its cluster) within segments of a block, and (first of a segment, sig)."""
+    """Rows (sig, tile, side, id, n, bits) by (sig, tile): edges (id, root of its cluster) within each tile."""
 
-    def settle(ids, n, vectors):
+    def settle(side, ids, n, vectors):
         width = min(len(v) for v in vectors) // 8
         v = _folded(vectors, width)
         root = np.full(len(ids), -1)
@@ -253,41 +271,31 @@ def _clusters(num: int, den: int):
                 edge = [i]
                 while edge:
                     j = edge.pop()
-                    open_ = np.flatnonzero(root < 0)
-                    near = open_[_differences(v[open_], v[j]) <= (n[open_] + n[j]) * (den - num) // (den + num)]
-                    root[near] = i
-                    edge += near.tolist()
+                    open_ = np.flatnonzero((root < 0) & ((side != side[j]) | (side == 2)))
+                    if open_.size:
+                        near = open_[_differences(v[open_], v[j]) <= (n[open_] + n[j]) * (den - num) // (den + num)]
+                        root[near] = i
+                        edge += near.tolist()
         other = root != np.arange(len(ids))
         return ids[other], ids[root[other]]
 
     def run(batches):
-        key, ids, n, vectors = None, [], [], []
-        first_key, last = None, None
-
-        def segment():
-            a, b = settle(np.array(ids), np.array(n), vectors)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], ["a", "b", "sig"])
+        key, held = None, ([], [], [], [])
 
-        def head(i, s):
-            return pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.nulls(1, pa.int64()), pa.array([s], pa.int64())], ["a", "b", "sig"])
+        def done():
+            a, b = settle(*map(np.array, held[:3]), held[3])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for s, i, m, v in zip(*(batch.column(j).to_pylist() for j in range(4))):
-                if s != key or len(ids) >= SEGMENT:
-                    if ids:
-                        yield segment()
-                    if s == key or first_key is None:  # segments of one block hang together, over tasks as well
-                        yield head(i, s)
-                        if s == key and last is not None:
-                            yield head(last, s)
-                    first_key = s if first_key is None else first_key
-                    key, ids, n, vectors, last = s, [], [], [], i
-                ids.append(i)
-                n.append(m)
-                vectors.append(v)
-        if ids:
-            yield segment()
-            yield head(last, key)
+            for sig, tile, *row in zip(*(batch.column(j).to_pylist() for j in range(6))):
+                if (sig, tile) != key:
+                    if key is not None:
+                        yield done()
+                    key, held = (sig, tile), ([], [], [], [])
+                for to, x in zip(held, row):
+                    to.append(x)
+        if key is not None:
+            yield done()
 
     return run
 
@@ -411,10 +419,8 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col:
     with_b = with_a.join(vectors.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("vb")), "b")
     near = with_b.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_near_pairs(num, den), "a long, b long")
     rows = materialize(met.filter("sig is not null").select("sig", F.col("a").alias("id")).join(vectors, "id").select("sig", "id", "n", "bits"))
-    stars = materialize(rows.repartitionByRange(parts, "sig", "id").sortWithinPartitions("sig", "id").mapInArrow(_clusters(num, den), "a long, b long, sig long"))
-    heads = stars.filter("sig is not null").select("sig", "a")
-    hung = heads.join(heads.groupBy("sig").agg(F.min("a").alias("b")), "sig").filter("a <> b").select("a", "b")
-    pairs = near.union(stars.filter("sig is null").select("a", "b")).union(hung).distinct()
+    stars = materialize(_tiles(rows).repartition(parts, "sig", "tile").sortWithinPartitions("sig", "tile").mapInArrow(_clusters(num, den), "a long, b long"))
+    pairs = near.union(stars).distinct()
     rep = nodes.filter("id is not null").groupBy("id").agg(F.min("rep").alias("rep"))
     pairs = pairs.join(rep.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     groups = materialize(connected_components(pairs))
