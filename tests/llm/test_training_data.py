@@ -174,6 +174,18 @@ def test_pii_terms(spark):
     assert pii.sanitise(frame(spark, rows)).columns == frame(spark, rows).columns
 
 
+def test_pii_goes_whatever_the_id(spark):
+    """Rows with a null or repeated id, copies or not, lose their base spans and terms as others do."""
+    rows = [(i, f"x{chr(98 + i) * 4} we met zanzibrook friend at ann@x.org number{i} w{chr(97 + i) * 3} today") for i in range(6)]
+    odd = [(None, "write to bob@x.org or zanzibrook"), (None, "zanzibrook at 10.0.0.1"), (7, "bob@x.org said it"), (7, "it was said by 10.0.0.1 zanzibrook"), (7, "bob@x.org said it"), (0, "only here"), (None, "plain"), (7, None), (None, None)]
+    want = [(None, "write to [EMAIL] or [TERM]"), (None, "[TERM] at [IP]"), (7, "[EMAIL] said it"), (7, "it was said by [IP] [TERM]"), (7, "[EMAIL] said it"), (0, "only here"), (None, "plain"), (7, None), (None, None)]
+    got = [(r.doc_id, r.text) for r in pii.sanitise(frame(spark, rows + odd)).collect()]
+    assert not [t for _, t in got if t and ("@" in t or "zanzibrook" in t or "10.0.0.1" in t)]
+    same([x for x in got if not (x[1] or "").startswith("x")], want)
+    terms = [(r.doc_id, r.n_term, r.spans) for r in pii.find_pii(frame(spark, rows + odd)).collect() if r.doc_id == 7]
+    same(terms, [(7, 0, "email:0:9"), (7, 0, "email:0:9"), (7, 0, ""), (7, 1, "ip:15:23,term:24:34")])
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice(["a", "a", "a", "a", "b", "c", None]), " ".join(["w"] * rng.randrange(30))) for i in range(400)] + [(None, "z", None), (401, "z", ""), (5, "a", "w w"), (5, "a", "w w")]

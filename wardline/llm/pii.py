@@ -106,24 +106,25 @@ def _near(text: str, spans):
 
 def _detect(batches):
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        ids, texts, keys = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
         found = [base_spans(t) for t in texts]
         said = [join_spans(f) for f in found]
         near = [sorted(_near(t, f)) if f else [] for t, f in zip(texts, found)]
         yield pa.RecordBatch.from_arrays(
             [
                 ids.cast(pa.int64()),
+                keys,
                 *(pa.array([sum(x[2] == k for x in f) for f in found], pa.int64()) for k in KINDS),
                 pa.array([hashlib.sha256(s.encode()).hexdigest() for s in said], pa.string()),
                 pa.array(said, pa.string()),
                 pa.array([[{"entity": e, "context": c, "term": w} for e, c, w in n] for n in near], pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string())]))),
             ],
-            ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"],
+            ["doc_id", "key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"],
         )
 
 
 def _terms_in(docs: DataFrame, terms: DataFrame, first_only: bool) -> DataFrame:
-    """(doc_id, text_hash, term, start, end) wherever a term of ``terms`` is a word of a text; exact, the filter only thins."""
+    """(doc_id, key, term, start, end) wherever a term of ``terms`` is a word of a text; exact, the filter only thins."""
     terms = terms.select("term").distinct()
     listed = materialize(terms)
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -142,7 +143,7 @@ def _terms_in(docs: DataFrame, terms: DataFrame, first_only: bool) -> DataFrame:
         known: dict[str, bool] = {}
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, text, key in zip(*(batch.column(j).to_pylist() for j in range(3))):
                 if not text or not have.any():
                     continue
                 low = text.lower()
@@ -158,10 +159,10 @@ def _terms_in(docs: DataFrame, terms: DataFrame, first_only: bool) -> DataFrame:
                         yes = known[w] = bool(have[a >> 3] >> (a & 7) & 1)
                     if yes and not (first_only and w in seen):
                         seen.add(w)
-                        rows.append((i, _h64(text) if first_only else 0, w, m.start(), m.end()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "text_hash", "term", "start", "end"])
+                        rows.append((i, key, w, m.start(), m.end()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "key", "term", "start", "end"])
 
-    return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, text_hash long, term string, start long, end long").join(listed, "term")
+    return docs.select("doc_id", "text", "key").mapInArrow(find, "doc_id long, key long, term string, start long, end long").join(listed, "term")
 
 
 def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
@@ -176,32 +177,37 @@ def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, thres
     best = materialize(pairs.filter(F.col("both") >= support).groupBy("term").agg(F.max("both").alias("both")).join(around, "term").filter(F.col("both") >= threshold * F.col("upto")).select("term", "both"))
     if best.isEmpty():
         return best.select("term", F.lit(1.0).alias("p"))
-    n = _terms_in(docs, best, True).select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    n = _terms_in(docs, best, True).select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("n"))
     return materialize(best.join(n, "term").withColumn("p", F.col("both") / F.greatest("n", "both")).filter(F.col("p") >= threshold).select("term", "p"))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of every row, spans being kind:start:end joined by commas.
-
-    A null or empty text has no spans.  Rows that share an id share their term spans, so ids should differ;
-    a null id gets base spans alone.  An empty table gives an empty one; other columns are not read.
-    """
+def _find(docs: DataFrame, id_col: str, text_col: str, support: int, threshold: float) -> DataFrame:
+    """What :func:`find_pii` gives, as doc_id, with key, the hash of the row's text."""
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(base.mapInArrow(_detect, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string, near array<struct<entity:long,context:long,term:string>>"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    found = materialize(base.mapInArrow(_detect, "doc_id long, key long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string, near array<struct<entity:long,context:long,term:string>>"))
     told = disclosures(found, base, support, threshold)
     kept = found.drop("near")
     if told.isEmpty():
         out = kept.select("*", F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_term"))
     else:
-        at = _terms_in(base, told, False).join(told, "term").select("doc_id", F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.lit(4).alias("k"), F.when(F.col("p") >= CERTAIN, "remove").otherwise("term").alias("kind")).alias("x")).distinct()
-        terms = at.groupBy("doc_id").agg(F.collect_list("x").alias("terms"))
+        at = _terms_in(base, told, False).join(told, "term").select("doc_id", "key", F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.lit(4).alias("k"), F.when(F.col("p") >= CERTAIN, "remove").otherwise("term").alias("kind")).alias("x")).distinct()
+        terms = at.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("x").alias("terms"))
         parts = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("long").alias("s"), F.split(x, ":")[2].cast("long").alias("e"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).cast("int").alias("k"), F.split(x, ":")[0].alias("kind")))
         # order of a kind among spans with one start: as listed, terms last
         every = F.array_sort(F.concat(F.transform(parts, lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"), x.kind.alias("kind"))), F.transform(F.coalesce("terms", F.array()), lambda x: F.struct(x.s.alias("s"), (x.k + 1).alias("k"), x.e.alias("e"), x.kind.alias("kind")))))
         spans = F.array_join(F.transform(every, lambda x: F.concat_ws(":", x.kind, x.s.cast("string"), x.e.cast("string"))), ",")
-        out = kept.join(terms, "doc_id", "left").select(*kept.columns, F.when(F.col("terms").isNull(), F.col("base")).otherwise(spans).alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"))
-    return out.select(F.col("doc_id").alias(id_col), *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_term")
+        out = kept.join(terms, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left").select(*kept.columns, F.when(F.col("terms").isNull(), F.col("base")).otherwise(spans).alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"))
+    return out.select("doc_id", "key", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_term")
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of every row, spans being kind:start:end joined by commas.
+
+    A null or empty text has no spans.  Each row has the spans of its own text, whether its id is null, repeated
+    or neither.  An empty table gives an empty one; other columns are not read.
+    """
+    return _find(docs, id_col, text_col, support, threshold).drop("key").withColumnRenamed("doc_id", id_col)
 
 
 # What a span of each kind becomes.
@@ -225,13 +231,14 @@ def sanitise_text(text: str | None, spans: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with the texts sanitised and n_chars, if there, counted anew; all rows and columns stay."""
-    spans = find_pii(docs, **options).filter("spans <> ''").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).distinct()
-    # rows with one id and different texts have spans of their own: none of them may be mixed up
-    spans = spans.join(docs.groupBy(F.col("doc_id").alias("__id")).count().filter("count = 1").select("__id"), "__id", "left_semi")
+def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with the texts sanitised and n_chars, if there, counted anew; all rows and columns stay.
+
+    Every row is sanitised by the spans of its own text; ids may be null or repeated.
+    """
+    spans = _find(docs, "doc_id", "text", support, threshold).filter("spans <> ''").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")).distinct()
     names = docs.columns
-    joined = docs.join(spans, F.col("doc_id") == F.col("__id"), "left").select(*names, "__spans")
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key")), "left").select(*names, "__spans")
     at = names.index("text")
 
     def run(batches):
