@@ -317,6 +317,27 @@ def test_decoder():
     assert toxicity.spaced_words("a i d i o t b".split(), d)
 
 
+def test_decoder_takes_any_length(monkeypatch):
+    model = np.log(np.full((28, 28, 28), 1 / 28))
+    for word in ("idiot", "loser", "the", "on"):
+        codes = [0, 0, *(ord(c) - 96 for c in word), 0, 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            model[a, b, c] = -0.1
+    for c in range(28):
+        model[1:, 0, c] = model[0, 0, c]
+    d = toxicity.Decoder(model)
+    assert d.restore("l" + "o" * 60 + "ser") == "loser" and d.restore("1d" + "i" * 5000 + "0t") == "idiot"
+    assert d.restore("i.d.i." + "o." * 40 + "t") == "idiot"
+    tokens = ["".join(random.Random(n).choice("idolser17") for _ in range(n)) + "a1" for n in range(50, 400, 50)]
+    stepwise = [(d.restore(t), d.best(t, spaced=True)) for t in tokens]
+    monkeypatch.setattr(toxicity, "SETTLE", 10**9)
+    assert stepwise == [(d.restore(t), d.best(t, spaced=True)) for t in tokens]
+    monkeypatch.undo()
+    for n in range(8, 60):  # a word over any place of a long run of letters
+        words = ["the", "on"] * n + ["idiot"] + ["on", "the"] * 12
+        assert toxicity.spaced_words(list("".join(words)), d) == words
+
+
 def test_language(spark):
     rng = random.Random(13)
     syllables = {"en": ["the", "ing", "wh", "er"], "fr": ["é", "que", "eau", "oi"], "de": ["ü", "sch", "ung", "ß"]}

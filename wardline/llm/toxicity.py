@@ -8,6 +8,7 @@ decodes, and the restored words are scored by evidence learned from labelled tex
 from __future__ import annotations
 
 import math
+import os.path
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -28,6 +29,8 @@ STANDS_FOR = {
 CLASSES = 28
 #: Labelled texts that the evidence is learned from, the first by a hash of their id; features kept at most.
 FIT_ROWS, FIT_FEATURES = 20_000, 50_000
+#: Slots after which a search settles the letters that all its paths share, so that paths stay short.
+SETTLE = 64
 #: Counts that a feature's precision is shrunk by.
 PRIOR = 3.0
 THRESHOLD = 0.7
@@ -85,16 +88,19 @@ class Decoder:
 
     def slots(self, chars: str, spaced: bool) -> list[list[tuple[str, float]]]:
         out, i = [], 0
+        known: dict[str, list[tuple[str, float]]] = {}
         while i < len(chars):
             ch, j = chars[i], i
             while j < len(chars) and chars[j] == ch:
                 j += 1
-            if ch in STANDS_FOR:
-                options = [(x, math.log(0.6 / len(STANDS_FOR[ch]))) for x in STANDS_FOR[ch]]
-            else:
-                options = [(ch, 0.0)]
-                if (base := _letter(ch)) != ch:
-                    options.append((base, -1.0))
+            if (options := known.get(ch)) is None:
+                if ch in STANDS_FOR:
+                    options = [(x, math.log(0.6 / len(STANDS_FOR[ch]))) for x in STANDS_FOR[ch]]
+                else:
+                    options = [(ch, 0.0)]
+                    if (base := _letter(ch)) != ch:
+                        options.append((base, -1.0))
+                known[ch] = options
             n = j - i
             if n >= 3 and not spaced:  # a stretched letter stands for one or two
                 out.append([(x * k, p + (-0.3 if k == 1 else -1.4)) for x, p in options for k in (1, 2)])
@@ -102,12 +108,14 @@ class Decoder:
                 out += [options] * n
             i = j
         if spaced:  # a word may end after each but the last
-            out = [[*s, *((x + " ", p - 4.0) for x, p in s)] for s in out[:-1]] + out[-1:]
+            ends = {ch: [*s, *((x + " ", p - 4.0) for x, p in s)] for ch, s in known.items()}
+            out = [ends[ch] for ch in chars[:-1]] + out[-1:]
         return out
 
     def best(self, chars: str, spaced: bool = False) -> str:
         beam = {(0, 0): (0.0, "")}
-        for slot in self.slots(chars, spaced):
+        done: list[str] = []
+        for at, slot in enumerate(self.slots(chars, spaced), 1):
             now: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, said) in beam.items():
                 for piece, p in slot:
@@ -119,12 +127,15 @@ class Decoder:
                     if (k := (x, y)) not in now or s > now[k][0]:
                         now[k] = (s, said + piece)
             beam = now
-        return max(((s + self.lm[a][b][0], said) for (a, b), (s, said) in beam.items()), default=(0.0, ""))[1]
+            if at % SETTLE == 0 and (shared := os.path.commonprefix([said for _, said in beam.values()])):
+                done.append(shared)
+                beam = {k: (score, said[len(shared) :]) for k, (score, said) in beam.items()}
+        return "".join(done) + max(((s + self.lm[a][b][0], said) for (a, b), (s, said) in beam.items()), default=(0.0, ""))[1]
 
     def restore(self, token: str) -> str:
-        """The word behind a lower-cased token."""
+        """The word behind a lower-cased token of any length."""
         token = _junk_tail.sub("", token).lstrip(_strip_left).rstrip(_strip_right)
-        if len(token) > 40 or len(token) < 3 or token.isalpha() and not _run.search(token):
+        if len(token) < 3 or token.isalpha() and not _run.search(token):
             return token
         if _joined.match(token):
             token = re.sub(r"[.\-_*~]", "", token)
@@ -143,8 +154,7 @@ def spaced_words(tokens: list[str], decoder: Decoder) -> list[str]:
     ones = "".join(["1" if len(t) == 1 and (t.isalpha() or t in STANDS_FOR) and t != "|" else "0" for t in tokens])
     out: list[str] = []
     for m in re.finditer("1{4,}", ones):
-        for x in range(m.start(), m.end(), 60):
-            out += decoder.best("".join(tokens[x : min(m.end(), x + 60)]), spaced=True).split()
+        out += decoder.best("".join(tokens[m.start() : m.end()]), spaced=True).split()
     return out
 
 
