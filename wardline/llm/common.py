@@ -122,36 +122,64 @@ def blobs(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts may be long: fewer rows to an Arrow batch than Spark's default."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Texts may be long: at most ``rows`` rows to an Arrow batch of this session, unless it has fewer already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only if that is unset."""
+    """This application's folder in the one that all executors share, ``spark.checkpoint.dir``; it goes when the driver's JVM ends.
+
+    Where that is unset, a temporary folder serves a local master, whose tasks are all on this machine; on a
+    cluster it is an error.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         told = "file://" + tempfile.mkdtemp(prefix="wardline-")
         spark.conf.set("spark.checkpoint.dir", told)
-    return told.rstrip("/")
+    own = f"{told.rstrip('/')}/wardline-{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _owned.add(own)
+    return own
+
+
+_owned: set[str] = set()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    mark = "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a lost executor costs no more than its own tasks."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wardline-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Remove the files of a table of :func:`materialize` that no later step reads."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        if "/wardline-" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of tables of :func:`materialize` that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            if "/wardline-" in f:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def compressed(df: DataFrame, column: str = "text") -> DataFrame:
@@ -194,7 +222,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges`` (a long, b long) -> (id, component): the smallest id reachable, for every id on an edge.
 
     Large-star and small-star rounds by joins and map-side combined minima; every round is a table in the
-    shared folder.  Self loops, repeated edges and nulls are allowed and change nothing.
+    shared folder.  Self loops, repeated edges and nulls are allowed and change nothing.  A hub's edges, two
+    longs each, meet in one partition of a sort-merge join, which adaptive execution splits when it is large.
     """
     now = materialize(
         edges.filter("a is not null and b is not null and a <> b")
