@@ -1,21 +1,24 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that give them away.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers.  A term's disclosure of an entity is
-P(entity | term): distinct contexts of the entity that hold the term, over distinct texts with the term.  Terms at or
-over the threshold are spans as well: they are generalised, or removed where they identify it for certain.
+Base spans are e-mail addresses, IP addresses, card and phone numbers.  Entities are protected at two levels: each
+value, and each kind.  A term's disclosure of an entity is the share of the entity's information that the term
+reveals, PMI(entity; term) / IC(entity) = 1 - ln P(entity | term) / ln P(entity), from co-occurrence in the whole
+corpus.  Terms at or over the threshold are spans as well: they are generalised, or removed where they reveal
+almost all.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import forget, fresh, materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 # The guards before a run only keep the search linear; a match can't begin there otherwise.
@@ -30,8 +33,9 @@ _TERM = re.compile(r"[^\W\d_]{3,}")
 
 #: Words on either side of an entity that count as near it.
 WINDOW = 8
-#: Distinct contexts of the entity that must hold the term, and P(entity | term) from which a term discloses it.
-SUPPORT, DISCLOSURE, CERTAIN = 3, 0.6, 0.95
+#: Distinct contexts of the entity that must hold the term; shares of the entity's information from which a term
+#: discloses it, and from which it is removed.
+SUPPORT, DISCLOSURE, CERTAIN = 3, 0.9, 0.99
 #: Bits of the filter of candidate terms: 2^22 of them are half a megabyte at any size of the corpus.
 FILTER_BITS = 1 << 22
 
@@ -91,19 +95,31 @@ def _h64(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+_WORD = re.compile(r"\S+")
+
+
 def _near(text: str, spans):
-    """(entity, context, term): the words near each entity, and a hash of the words that they stand among."""
+    """(kind, entity, context, term): the terms among WINDOW words on either side of each entity, and a hash of them all.
+
+    A word that the span cuts counts on both sides.  Only a text with spans has its words' places listed.
+    """
     out = set()
+    places = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in places], [b for _, b in places]
     for s, e, kind in spans:
         entity = _h64(f"{kind}:{text[s:e] if kind == 'email' else _DIGITS.sub('', text[s:e])}")
-        left = text[max(0, s - 400) : s].split()[-WINDOW:]
-        right = text[e : e + 400].split()[:WINDOW]
-        words = [m.group() for w in (*left, *right) for m in _TERM.finditer(w.lower())]
+        at, after = bisect_left(starts, s), bisect_right(ends, e)
+        around = [(a, min(b, s)) for a, b in places[max(0, at - WINDOW) : at]] + [(max(a, e), b) for a, b in places[after : after + WINDOW]]
+        words = [m.group() for a, b in around for m in _TERM.finditer(text[a:b].lower())]
         context = _h64(" ".join(words))
-        out.update((entity, context, w) for w in words)
+        out.update((kind, entity, context, w) for w in words)
     return out
 
 
+_NEAR = "struct<kind:string,entity:long,context:long,term:string>"
+_NEAR_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string())]))
+
+
 def _detect(batches):
     for batch in batches:
         ids, texts, keys = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
@@ -117,7 +133,7 @@ def _detect(batches):
                 *(pa.array([sum(x[2] == k for x in f) for f in found], pa.int64()) for k in KINDS),
                 pa.array([hashlib.sha256(s.encode()).hexdigest() for s in said], pa.string()),
                 pa.array(said, pa.string()),
-                pa.array([[{"entity": e, "context": c, "term": w} for e, c, w in n] for n in near], pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string())]))),
+                pa.array([[dict(zip(("kind", "entity", "context", "term"), x)) for x in n] for n in near], _NEAR_ARROW),
             ],
             ["doc_id", "key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"],
         )
@@ -165,33 +181,51 @@ def _terms_in(docs: DataFrame, terms: DataFrame, first_only: bool) -> DataFrame:
     return docs.select("doc_id", "text", "key").mapInArrow(find, "doc_id long, key long, term string, start long, end long").join(listed, "term")
 
 
+def share_revealed(both: Column, n: Column, entity: Column, texts: Column) -> Column:
+    """1 - ln P(entity | term) / ln P(entity), with P(entity | term) = both / n and P(entity) = entity / texts; 1 for certainty.
+
+    An entity that is in every text holds no information, so nothing reveals it.
+    """
+    base = F.ln(F.least(F.lit(1.0), entity / texts))
+    return F.when(base < 0, 1 - F.ln(both / n) / base).otherwise(0.0)
+
+
 def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
-    """(term, p): the terms that give an entity away, p the largest P(entity | term).
+    """(term, share): the terms that give an entity away, with the largest share of an entity's information that each reveals.
 
-    Co-occurrences count by distinct context, texts by distinct text, so copies teach nothing.  A term can't
-    reach the threshold overall unless it does near entities, so only such terms are counted over the corpus.
+    Entities are values and kinds.  both counts an entity's distinct contexts with the term, entity its distinct
+    contexts, texts the distinct texts of the corpus, and n the distinct texts with the term or the distinct
+    contexts of any entity with it, whichever are more; copies so teach nothing.  n is those contexts at least,
+    so only terms that reach the threshold among them are counted over the corpus.
     """
     near = materialize(found.select(F.explode("near").alias("x")).select("x.*").distinct())
-    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("both"))
+    texts = found.select("key").distinct().count()
+    levels = near.select("term", "context", F.explode(F.array(F.struct(F.lit("value").alias("level"), F.concat_ws(":", "kind", F.col("entity").cast("string")).alias("name")), F.struct(F.lit("kind").alias("level"), F.col("kind").alias("name")))).alias("e")).select("term", "context", "e.*").distinct()
+    pairs = levels.groupBy("term", "level", "name").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
+    entities = levels.select("level", "name", "context").distinct().groupBy("level", "name").agg(F.count("*").alias("entity"))
     around = near.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("upto"))
-    best = materialize(pairs.filter(F.col("both") >= support).groupBy("term").agg(F.max("both").alias("both")).join(around, "term").filter(F.col("both") >= threshold * F.col("upto")).select("term", "both"))
+    revealed = lambda n: share_revealed(F.col("both"), n, F.col("entity"), F.lit(float(max(1, texts))))
+    best = pairs.join(around, "term").join(entities, ["level", "name"]).filter(revealed(F.col("upto")) >= threshold)
+    best = materialize(best.select("term", "both", "entity", "upto"))
+    forget(near)
     if best.isEmpty():
-        return best.select("term", F.lit(1.0).alias("p"))
+        return best.select("term", F.lit(1.0).alias("share"))
     n = _terms_in(docs, best, True).select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("n"))
-    return materialize(best.join(n, "term").withColumn("p", F.col("both") / F.greatest("n", "both")).filter(F.col("p") >= threshold).select("term", "p"))
+    told = best.join(n, "term").withColumn("share", revealed(F.greatest("n", "upto"))).filter(F.col("share") >= threshold)
+    return materialize(told.groupBy("term").agg(F.max("share").alias("share")))
 
 
 def _find(docs: DataFrame, id_col: str, text_col: str, support: int, threshold: float) -> DataFrame:
     """What :func:`find_pii` gives, as doc_id, with key, the hash of the row's text."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    found = materialize(base.mapInArrow(_detect, "doc_id long, key long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string, near array<struct<entity:long,context:long,term:string>>"))
+    found = materialize(base.mapInArrow(_detect, "doc_id long, key long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string, near array<" + _NEAR + ">"))
     told = disclosures(found, base, support, threshold)
     kept = found.drop("near")
     if told.isEmpty():
         out = kept.select("*", F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_term"))
     else:
-        at = _terms_in(base, told, False).join(told, "term").select("doc_id", "key", F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.lit(4).alias("k"), F.when(F.col("p") >= CERTAIN, "remove").otherwise("term").alias("kind")).alias("x")).distinct()
+        at = _terms_in(base, told, False).join(told, "term").select("doc_id", "key", F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.lit(4).alias("k"), F.when(F.col("share") >= CERTAIN, "remove").otherwise("term").alias("kind")).alias("x")).distinct()
         terms = at.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("x").alias("terms"))
         parts = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("long").alias("s"), F.split(x, ":")[2].cast("long").alias("e"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).cast("int").alias("k"), F.split(x, ":")[0].alias("kind")))
         # order of a kind among spans with one start: as listed, terms last
@@ -205,7 +239,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of every row, spans being kind:start:end joined by commas.
 
     A null or empty text has no spans.  Each row has the spans of its own text, whether its id is null, repeated
-    or neither.  An empty table gives an empty one; other columns are not read.
+    or neither; repeated rows have the same.  A text of any length is searched whole, in linear time, with the places
+    of its words in memory if it has base spans.  Terms tie by no order: all that reach the threshold count.
+    An empty table gives an empty one; other columns are not read.
     """
     return _find(docs, id_col, text_col, support, threshold).drop("key").withColumnRenamed("doc_id", id_col)
 
@@ -215,30 +251,35 @@ PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PH
 
 
 def sanitise_text(text: str | None, spans: str | None) -> str | None:
-    """``text`` with its spans replaced; overlapping spans become the first one's placeholder together."""
-    if not text or not spans:
-        return text
-    out, at, parts = [], 0, []
-    for x in spans.split(","):
-        kind, s, e = x.split(":")
-        if parts and int(s) < parts[-1][1]:
-            parts[-1][1] = max(parts[-1][1], int(e))
-        else:
-            parts.append([int(s), int(e), kind])
-    for s, e, kind in parts:
-        out += [text[at:s], PLACEHOLDER[kind]]
-        at = e
-    return "".join([*out, text[at:]])
+    """``text`` with its spans replaced; overlapping spans become the first one's placeholder together.
+
+    Where what is left and right of a removed term makes a base span, that goes as well.
+    """
+    while text and spans:
+        out, at, parts = [], 0, []
+        for x in spans.split(","):
+            kind, s, e = x.split(":")
+            if parts and int(s) < parts[-1][1]:
+                parts[-1][1] = max(parts[-1][1], int(e))
+            else:
+                parts.append([int(s), int(e), kind])
+        for s, e, kind in parts:
+            out += [text[at:s], PLACEHOLDER[kind]]
+            at = e
+        text = "".join([*out, text[at:]])
+        spans = join_spans(base_spans(text))
+    return text
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the texts sanitised and n_chars, if there, counted anew; all rows and columns stay.
 
-    Every row is sanitised by the spans of its own text; ids may be null or repeated.
+    Every row is sanitised by the spans of its own text; ids may be null or repeated.  No base span is left.
     """
-    spans = _find(docs, "doc_id", "text", support, threshold).filter("spans <> ''").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")).distinct()
+    i, key, said = fresh(docs, "id", "key", "spans")
+    spans = _find(docs, "doc_id", "text", support, threshold).filter("spans <> ''").select(F.col("doc_id").alias(i), F.col("key").alias(key), F.col("spans").alias(said)).distinct()
     names = docs.columns
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key")), "left").select(*names, "__spans")
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key)), "left").select(*names, said)
     at = names.index("text")
 
     def run(batches):
