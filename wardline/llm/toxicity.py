@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_batches, string_buffer
+from .common import forget, materialize, slices, small_batches, string_buffer
 
 # Symbols that commonly stand for letters.
 STANDS_FOR = {
@@ -27,8 +27,12 @@ STANDS_FOR = {
 }
 #: Classes of the character model: 0 a boundary, 1-26 letters, 27 anything else.
 CLASSES = 28
-#: Labelled texts that the evidence is learned from, the first by a hash of their id; features kept at most.
-FIT_ROWS, FIT_FEATURES = 20_000, 50_000
+#: Labelled texts that the evidence is learned from, the first by a hash of their id.
+FIT_ROWS = 20_000
+#: Toxic texts that must hold a feature, and its precision from which it is evidence.
+LEAST_TEXTS, LEAST_PRECISION = 3, 0.2
+#: Words whose evidence a worker keeps, and letters of the longest that it keeps.
+KNOWN_WORDS, KNOWN_LETTERS = 400_000, 64
 #: Slots after which a search settles the letters that all its paths share, so that paths stay short.
 SETTLE = 64
 #: Counts that a feature's precision is shrunk by.
@@ -171,10 +175,11 @@ class ToxicityModel:
 
         class Known(dict):
             def __missing__(self, token: str) -> float:
-                if len(self) > 400_000:
-                    self.clear()
                 p = max((evidence.get(f, 0.0) for f in features(decoder.restore(token))), default=0.0)
-                self[token] = p
+                if len(token) <= KNOWN_LETTERS:
+                    if len(self) > KNOWN_WORDS:
+                        self.clear()
+                    self[token] = p
                 return p
 
         known = Known()
@@ -187,19 +192,19 @@ class ToxicityModel:
         return score
 
 
-#: Strongest words of a text that count.
-TOP = 4
+#: Strongest words of a text that are weighed each on its own; all others are weighed together.
+SINGLE = 4
 
 
 def describe(found: list[float], tokens: int) -> np.ndarray:
-    """1, the strongest words' evidence, and the text's length, as the logistic model takes them."""
-    top = sorted(found, reverse=True)[:TOP]
-    return np.array([1.0, *top, *[0.0] * (TOP - len(top)), math.log1p(tokens) / 10])
+    """1, the strongest words' evidence, that of all other words together, and the text's length, as the logistic model takes them."""
+    by = sorted(found, reverse=True)
+    return np.array([1.0, *by[:SINGLE], *[0.0] * (SINGLE - len(by)), math.log1p(sum(by[SINGLE:])), math.log1p(tokens) / 10])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
     """Newton's method; few or one-sided labels leave weights near a prior that trusts the strongest word."""
-    prior = np.array([-5.0, 8.0, *[0.0] * (TOP - 1), 0.0])
+    prior = np.array([-5.0, 8.0, *[0.0] * (SINGLE + 1)])
     w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -216,13 +221,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
 
     The character model counts all texts of ``docs``.  Evidence comes from at most ``fit_rows`` labelled rows
     (a documented bound), copies counted once: a feature's weight is t / (t + c + PRIOR) for t toxic and c
-    other texts that hold it.  A logistic model over a text's strongest words, each weighed without the text
-    itself, gives the score.  Rows with a null label or id teach nothing; without labels nothing scores high.
+    other texts that hold it, from LEAST_TEXTS toxic texts and a weight of LEAST_PRECISION on.  A logistic model
+    over a text's words, each weighed without the text itself, gives the score.  Rows with a null label or id
+    teach nothing; without labels nothing scores high.  Texts are read whole, one at a time; a label of a repeated
+    id counts for each of its texts, and where ids repeat the first ``fit_rows`` rows by hash are taken.
     """
     small_batches(docs.sparkSession)
     characters = character_model(docs)
     chosen = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").filter("text is not null").distinct())
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("text", "toxic").filter("text is not null").distinct()
+    sample = materialize(labelled.orderBy(F.xxhash64("text"), "toxic").limit(fit_rows))
 
     def words_of(text, decoder):
         tokens = text.lower().split()
@@ -246,7 +254,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
 
     counts = sample.mapInArrow(count, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     weight = F.col("t") / (F.col("t") + F.col("c") + PRIOR)
-    kept = counts.filter("t >= 3").withColumn("w", weight).filter("w >= 0.2").orderBy(F.desc("w"), "feature").limit(FIT_FEATURES)
+    kept = counts.filter((F.col("t") >= LEAST_TEXTS) & (weight >= LEAST_PRECISION))
     evidence = {r["feature"]: (r["t"], r["c"]) for r in kept.collect()}
 
     def inputs(batches):
@@ -263,23 +271,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
                 rows.append([float(y), *describe(found, n)])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
 
-    rows = np.array([r["x"] for r in sample.mapInArrow(inputs, "x array<double>").collect()]).reshape(-1, TOP + 3)
+    rows = np.array([r["x"] for r in sample.mapInArrow(inputs, "x array<double>").collect()]).reshape(-1, SINGLE + 4)
+    forget(sample)
     return ToxicityModel(characters, evidence, _logistic(rows[:, 1:], rows[:, 0]))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column toxicity (0 to 1); null and empty texts score lowest.  All columns stay; an own column of that name is replaced."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``score_col`` (0 to 1); null and empty texts score lowest.
+
+    All rows and columns stay, an own column of that name is replaced.  A row's score depends on its text alone, so
+    repeated rows score alike.  Texts are read whole; a long one takes memory in proportion to its words.
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("toxicity")
+    docs = docs.drop(score_col)
     at = docs.columns.index(text_col)
 
     def run(batches):
         score = sent.value.scorer()
         for batch in batches:
             scores = [score(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, score_col])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
