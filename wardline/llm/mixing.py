@@ -3,18 +3,24 @@
 Every row gets an exponential key scaled by its quality weight.  Within a source rows are taken in key order
 up to the source's budget of words: whole epochs first, then the rows of lowest key.  Prefix sums run over
 key ranges of bounded size, whose totals are summed first, so a source may hold any share of all rows.
+
+An exponential variable of any scale has a density of 1/e at most over its natural logarithm, and so has every
+mixture of them.  Ranges of equal width in the key's logarithm, as many to a unit as RANGE_ROWS asks for, so hold
+about that many rows at most, whatever the quality weights are.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a source that one key range holds, about.
-RANGE_ROWS = 1000
+#: Rows of a source that one key range holds at most, about.
+RANGE_ROWS = 10_000
 #: Weight of a text without letters, and in general the least.
 LEAST_QUALITY = 0.05
 
@@ -56,6 +62,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs:
     source's sum is its target rounded.  copies says how often the whole row goes into a mix of whole rows: a
     row that the budget cuts counts as taken.  Rows that agree in id and size may stand for one another.
     keep_hash adds row_hash, of source and text.  Reruns agree.  Null sources form one source; an empty table gives an empty one.
+    A text of any length is one number by the time rows are exchanged.  The list of sources, a row each, is ranked
+    by one task; other columns are not read.
     """
     quality = text_quality(F.col("text")) if quality is None else quality
     extra = [F.xxhash64("source", "text").alias("row_hash")] if keep_hash else []
@@ -67,8 +75,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs:
     words, whole = F.floor(F.col("target") + 0.5).cast("long"), F.coalesce(F.floor(F.try_divide(F.floor(F.col("target") + 0.5).cast("double"), F.col("source_size").cast("double"))), F.lit(0)).cast("long")
     plan = materialize(plan.withColumn("whole", whole).withColumn("rest", words - F.col("whole") * F.col("source_size")).withColumn("none", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit(""))).drop("source"))
     rows = base.withColumn("none", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
-    ranges = F.greatest(F.lit(1), F.ceil(F.col("rows") / RANGE_ROWS)).cast("long")
-    rows = rows.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, ["none", "name"]).withColumn("range", F.least(ranges - 1, F.floor(ranges * (1 - F.exp(-F.col("key"))))))
+    to_a_unit = F.col("rows") / (math.e * RANGE_ROWS)
+    rows = rows.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, ["none", "name"]).withColumn("range", F.floor(F.ln("key") * to_a_unit))
     totals = rows.groupBy("none", "name", "range").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("none", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("none", "name", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("words_before"))
