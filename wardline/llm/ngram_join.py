@@ -7,8 +7,8 @@ the bound by parity vectors: each n-gram flips a bit, so vectors differ in no mo
 What is left falls into small groups that hold every link.  In each the overlap counts of its pairs
 accumulate over column chunks (a matrix product), and pairs below the size-derived bound go.
 
-Hot groups: equal n-gram sets are one row with a multiplicity; equal blocks are sorted by (block, set), so a
-hot block spreads over many tasks.  Its rows are dealt by hash into segments, and every segment is held against
+Hot groups: equal n-gram sets are one row with a multiplicity, found by a sort that deals copies into portions;
+equal blocks are sorted by (block, set), so a hot block spreads over many tasks.  Its rows are dealt by hash into segments, and every segment is held against
 itself and every other one, a pair of segments to a tile, which gives a star for each cluster; a large group is
 tiled by size class and hash.
 """
@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, grams, materialize, mix, partitions_for, slices, small_batches, string_buffer, to_long
+from .common import Words, connected_components, forget, grams, materialize, mix, partitions_for, slices, small_batches, string_buffer, to_long
 
 #: Rows and n-grams of one tile of the product.
 TILE_ROWS, TILE_GRAMS = 1024, 2_000_000
 #: Columns that one step of the product takes.
 CHUNK = 2048
-#: Rows up to which the member list is broadcast (three longs each); beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Bytes up to which the list of members with their tiles is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 16_000_000
+#: Copies of one set, within a task of the sort, that find their class in one place.
+PORTION = 1000
 
 
 def _bounds(num: int, den: int, most: int) -> list[int]:
@@ -155,6 +157,23 @@ def _describe(k: int, num: int, den: int):
     return run
 
 
+def _portions(batches):
+    """Rows (s1, s2, id, n) in order, each with the number of its portion among the copies of its set in this task."""
+    last, held = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        s1, s2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.ones(len(s1), bool)
+        new[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+        start = np.flatnonzero(new)
+        nth = np.arange(len(s1)) - np.repeat(start, np.diff(np.append(start, len(s1))))
+        if (s1[0], s2[0]) == last:
+            nth[: start[1] if len(start) > 1 else None] += held
+        last, held = (s1[-1], s2[-1]), int(nth[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth // PORTION)], ["s1", "s2", "id", "n", "portion"])
+
+
 def _spread(batches):
     for batch in batches:
         for x in range(0, batch.num_rows, 200):
@@ -402,15 +421,22 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col:
     reachable by links, n_links the number of rows linked with this one.  A null or wordless text has no
     n-grams, links with nothing and is its own component; a row with a null id too, and its component is
     null.  Rows with one id are one node.  Other columns are not read.  An empty table gives an empty one.
+    A long text is in memory as a whole, with about 40 bytes a word.  n_links needs every pair of a component, so
+    work there grows with the square of its distinct sets, tile by tile.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(base.mapInArrow(_describe(k, num, den), "id long, n long, s1 long, s2 long, sigs binary, bits binary"))
-    classes = sets.filter("id is not null and n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
-    nodes = materialize(sets.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.coalesce("mult", F.lit(1)).alias("mult")))
-
     parts = partitions_for(docs)
+    linkable, rest = sets.filter("id is not null and n > 0"), sets.filter("id is null or n = 0")
+    dealt = materialize(linkable.select("s1", "s2", "id", "n").repartitionByRange(parts, "s1", "s2", "id").sortWithinPartitions("s1", "s2", "id").mapInArrow(_portions, "s1 long, s2 long, id long, n long, portion long"))
+    classes = dealt.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.max("portion").alias("last"))
+    classes = classes.select("s1", "s2", "rep", "mult", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("portion"))
+    alone = rest.select("id", "n", F.col("id").alias("rep"), F.lit(1).cast("long").alias("mult"), F.lit(0).cast("long").alias("portion"))
+    nodes = materialize(dealt.join(classes, ["s1", "s2", "portion"]).select("id", "n", "rep", "mult", "portion").unionByName(alone))
+    forget(dealt)
+
     vectors = sets.filter("id is not null and n > 0").groupBy("id").agg(F.max(F.struct("n", "bits")).alias("v")).select("id", "v.n", "v.bits")
     spread = sets.filter("id is not null and n > 0").select("id", "s1", "sigs").mapInArrow(_spread, "sig long, s1 long, id long")
     met = materialize(spread.repartitionByRange(parts, "sig", "s1", "id").sortWithinPartitions("sig", "s1", "id").mapInArrow(_meet, "a long, b long, sig long"))
@@ -424,6 +450,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col:
     rep = nodes.filter("id is not null").groupBy("id").agg(F.min("rep").alias("rep"))
     pairs = pairs.join(rep.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     groups = materialize(connected_components(pairs))
+    forget(met, rows, stars)
 
     step = float(np.log(den / num) * 1.000001)
     own = nodes.filter("n > 0").groupBy("rep").agg(F.max("n").alias("n"), F.max("mult").alias("mult"))
@@ -443,15 +470,20 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col:
     tiles = F.when(F.col("one"), F.array(F.struct(F.lit("").alias("t"), F.lit(0).alias("side")))).otherwise(F.concat(F.coalesce(same, none), F.coalesce(above, none), F.coalesce(below, none)))
     m = materialize(m.select(F.col("rep").alias("id"), F.col("component"), "n", "mult", tiles.alias("tiles")))
 
-    few = m.count() <= BROADCAST_ROWS
-    texts = base.join(F.broadcast(m) if few else m, "id")
+    size = m.agg(F.count("*").alias("rows"), F.sum(F.size("tiles")).alias("tiles")).first()
+    small = 64 * size["rows"] + 64 * (size["tiles"] or 0) <= BROADCAST_BYTES  # what a row and a tile's name take
+    texts = base.join(F.broadcast(m) if small else m, "id")
     grams_of = texts.select("id", "n", "mult", "component", "tiles", "text").mapInArrow(_sets_of(k), "id long, n long, mult long, component long, tiles array<struct<t:string,side:int>>, grams binary")
     tiled = grams_of.select("id", "n", "mult", "grams", "component", F.explode("tiles").alias("x")).select("id", "n", "mult", F.col("x.side").cast("long").alias("side"), "grams", F.concat_ws("/", F.col("component").cast("string"), "x.t").alias("tile"))
     done = materialize(tiled.repartition(partitions_for(docs), "tile").sortWithinPartitions("tile").mapInArrow(_product(num, den), "a long, b long, links long"))
     final = connected_components(done.filter("a <> b").select("a", "b"))
     links = done.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    return (
-        nodes.join(final.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(links, "rep", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    # what a class has got goes to each portion of its copies
+    last = nodes.filter("rep is not null").groupBy("rep").agg(F.max("portion").alias("last"))
+    told = links.join(final.withColumnRenamed("id", "rep"), "rep", "left").join(last, "rep")
+    told = told.select("rep", "links", "component", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("portion"))
+    found = nodes.filter("rep is not null").join(told, ["rep", "portion"], "left").select("id", "n", "rep", "mult", "links", "component")
+    lost = nodes.filter("rep is null").select("id", "n", "rep", "mult", F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("component"))
+    return found.unionByName(lost).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")
     )
