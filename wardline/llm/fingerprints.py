@@ -7,6 +7,8 @@ texts agree in a sample with probability sum of least weights over sum of greate
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,11 +58,17 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 def _in_order(docs: DataFrame) -> DataFrame:
     """(bucket, ghost, doc_id, text): ranges of ascending ids, each with the row that follows it as a ghost.
 
-    Bounds are quantiles of the ids, as many as there are shuffle partitions, four times.
+    Bounds are quantiles of the ids, as many as there are shuffle partitions, four times.  Rows of one id, or of none,
+    are split by a hash of the text where they are many; only rows of one id and text stay together.
     """
     n = partitions_for(docs) * 4
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], n * 20).alias("b")).first()["b"] or []
-    bucket = F.size(F.filter(F.array(*map(F.lit, sorted({*bounds}))).cast("array<long>"), lambda b: b < F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))))
+    place = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
+    told = docs.select(place.alias("p")).agg(F.percentile_approx("p", [i / n for i in range(1, n)], n * 20).alias("b")).first()["b"] or []
+    # an id that several quantiles fall on fills several buckets, by the hash of the text, which orders its rows
+    hot = {v: c for v, c in Counter(told).items() if c > 1}
+    share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for x in sum(hot.items(), ())]), place), F.lit(1)) if hot else F.lit(1)
+    part = F.least(share - 1, F.floor((F.xxhash64("text").cast("double") / 2.0**64 + 0.5) * share))
+    bucket = F.size(F.filter(F.array(*map(F.lit, sorted({*told}))).cast("array<long>"), lambda b: b < place)).cast("long") * n + part
     docs = docs.withColumn("bucket", bucket)
     # a bucket's first row, nulls last; the next bucket of the last is the first
     first = docs.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"))).alias("first"))
@@ -68,7 +76,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     first = first.select(F.col("bucket").alias("fb"), F.col("first.doc_id").alias("fid"), F.col("first.h").alias("fh"), F.coalesce(F.lag("bucket").over(last), F.max("bucket").over(Window.partitionBy(F.lit(1)))).alias("previous"))
     # at most as many rows as buckets
     tagged = docs.join(F.broadcast(first), (F.col("bucket") == F.col("fb")) & F.col("doc_id").eqNullSafe(F.col("fid")) & (F.xxhash64("text") == F.col("fh")), "left").select("doc_id", "text", "bucket", "previous")
-    none = F.array().cast("array<struct<bucket:int,ghost:int>>")
+    none = F.array().cast("array<struct<bucket:long,ghost:int>>")
     both = F.concat(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost"))), F.when(F.col("previous").isNotNull(), F.array(F.struct(F.col("previous").alias("bucket"), F.lit(1).alias("ghost")))).otherwise(none))
     return tagged.select("doc_id", "text", F.explode(both).alias("x")).select("x.bucket", "x.ghost", "doc_id", "text").repartition(n, "bucket")
 
@@ -79,6 +87,8 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the
     next row's, by ascending id (null ids last, rows of one id by a hash of the text), the first following the
     last.  Null texts count as empty; an empty text's fingerprint is empty.  A single row follows itself.
+    Equal texts have equal fingerprints, so repeated rows do.  A long text is a row of strings and of its distinct
+    terms; other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = _in_order(base)
