@@ -1,11 +1,14 @@
 """Substring deduplication: suffix automata of reference shards, and matching statistics of what streams through.
 
 Every window of ``window`` words is filed under its least k-gram hash, so equal windows meet under one hash.
-Neighbouring windows under one hash are a run.  A hash whose runs are all alike needs no further look.  Under
-others, the distinct runs are a reference shard: its suffix automaton, with end counts, is built, and the runs
-stream through it; a window is repeated if its state ends in two places or more.  Shards travel to the task
-that holds all runs of their hash, since broadcasting each to all documents would grow with the square of the
-corpus.  Words covered by repeated windows are removed.
+Neighbouring windows under one hash are a run.  The distinct runs of a hash, with how often each stands in the
+corpus, are a reference shard: its suffix automaton, with end counts, is built, and the runs stream through it; a
+window is repeated if its state ends in two places or more.  Shards travel to the task that holds the runs of
+their hash, since broadcasting each to all documents would grow with the square of the corpus.  Words covered by
+repeated windows are removed.
+
+Hot groups: copies of a run are one run of a shard, found by a sort that deals them into portions.  A shard whose
+distinct runs are too many for an automaton is dealt out once more, window by window, by a hash of the window.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from pyspark.sql import functions as F
 from .common import _R, _RINV, Words, _power, bytes_buffer, compressed, expanded, forget, grams, materialize, mix, partitions_for, slices, small_batches, string_buffer
 
 WINDOW, GRAM = 35, 12
-#: Runs of one hash that wait for one unlike them; more go on as if there were one.
+#: Runs of one hash that wait for a second one; more go on at once.
 WAITING = 20_000
-#: Distinct runs of a shard up to which its automaton is built; the windows of more are counted, to the same end.
-SHARD_RUNS = 3000
+#: Words of the distinct runs of a shard that one automaton takes.
+SHARD_WORDS = 150_000
+#: Copies of a run, within a task of the sort, that learn in one place what their shard says.
+PORTION = 1000
 
 
 def _slide(of, x: np.ndarray, want: int) -> np.ndarray:
@@ -85,16 +90,27 @@ _RUN_DDL = ", ".join(f"{c} long" for c in _RUN)
 
 
 def _sift(batches):
-    """Runs by (m, h, ...): those of a hash alike (like true), or of a hash with several (false); lone ones go.
+    """Runs by (m, h, ...): those of a hash with several, each with the number of its portion among its copies in this task; lone ones go.
 
     A task can't see what its neighbours hold of its first and last hash, so these count as having several; so
     does a lone run that may repeat itself.
     """
     held: list[np.ndarray] | None = None
     several = None  # a hash already known to have several
+    last, copies = None, 0
 
-    def out(columns, take, like):
-        return pa.RecordBatch.from_arrays([*(pa.array(c[take]) for c in columns), pa.array(np.full(int(take.sum()), like))], [*_RUN, "like"])
+    def out(columns, take):
+        nonlocal last, copies
+        columns = [c[take] for c in columns]
+        m, h = columns[0], columns[1]
+        new = np.ones(len(m), bool)
+        new[1:] = (m[1:] != m[:-1]) | (h[1:] != h[:-1])
+        start = np.flatnonzero(new)
+        nth = np.arange(len(m)) - np.repeat(start, np.diff(np.append(start, len(m))))
+        if (m[0], h[0]) == last:
+            nth[: start[1] if len(start) > 1 else None] += copies
+        last, copies = (m[-1], h[-1]), int(nth[-1]) + 1
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(nth // PORTION)], [*_RUN, "portion"])
 
     first = True
     for batch in batches:
@@ -103,10 +119,9 @@ def _sift(batches):
         columns = [batch.column(j).to_numpy() for j in range(7)]
         if held is not None:
             columns = [np.concatenate(c) for c in zip(held, columns)]
-        m, h = columns[0], columns[1]
+        m = columns[0]
         edge = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1], [True]]))
         size = np.diff(edge)
-        alike = h[edge[:-1]] == h[edge[1:] - 1]
         known = np.zeros(len(size), bool)
         if first:
             known[0] = True
@@ -118,15 +133,12 @@ def _sift(batches):
         if size[-1] > WAITING or known[-1]:
             known[-1] = done[-1] = True
             several = int(m[-1])
-        yes = np.repeat(done & ~known & alike & (size > 1), size)
-        mixed = np.repeat(done & (known | ~alike & (size > 1) | (columns[6][edge[:-1]] > 0) & (size == 1)), size)
-        if yes.any():
-            yield out(columns, yes, True)
-        if mixed.any():
-            yield out(columns, mixed, False)
+        take = np.repeat(done & (known | (size > 1) | (columns[6][edge[:-1]] > 0)), size)
+        if take.any():
+            yield out(columns, take)
         held = None if done[-1] else [c[edge[-2] :] for c in columns]
     if held is not None:
-        yield out(held, np.ones(len(held[0]), bool), False)
+        yield out(held, np.ones(len(held[0]), bool))
 
 
 class SuffixAutomaton:
@@ -191,18 +203,35 @@ class SuffixAutomaton:
 
 def repeated(contents: list[np.ndarray], times: list[int], window: int) -> list[np.ndarray]:
     """For each run's words, which of its windows occur twice or more among all of them, each counted ``times``."""
-    if len(contents) <= SHARD_RUNS:
-        automaton = SuffixAutomaton()
-        lists = [c.tolist() for c in contents]
-        for c, t in zip(lists, times):
-            automaton.add(c, t)
-        automaton.finish()
-        return [np.array([l == window and n > 1 for l, n in automaton.matches(c, window)][window - 1 :]) for c in lists]
-    hashes = [grams(mix(c.astype(np.uint64)), window) for c in contents]
-    size = [len(h) for h in hashes]
-    _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(at, np.repeat(times, size))
-    return np.split(total[at] > 1, np.cumsum(size)[:-1])
+    automaton = SuffixAutomaton()
+    lists = [c.tolist() for c in contents]
+    for c, t in zip(lists, times):
+        automaton.add(c, t)
+    automaton.finish()
+    return [np.array([l == window and n > 1 for l, n in automaton.matches(c, window)][window - 1 :]) for c in lists]
+
+
+def _single(window: int):
+    """Chosen runs of each text, window by window: rows of one window, filed under the hash of it and of its run's hash."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = bytes_buffer(expanded(batch.column(1).to_pylist()))
+            chosen, u1, u2 = (batch.column(j).to_pylist() for j in (0, 2, 3))
+            for x, y in slices(offsets):
+                w = Words(data, offsets[x : y + 1], fold=False)
+                for i in range(y - x):
+                    words = mix(w.hash[w.first[i] : w.first[i + 1]])
+                    total = np.zeros(len(words) + 1, np.uint64)
+                    np.cumsum(words * _power(_R, len(words), "r"), out=total[1:])
+                    for r in chosen[x + i]:
+                        at = np.arange(r["start"], r["start"] + r["n"])
+                        h = mix((total[at + window] - total[at]) * _power(_RINV, len(words) + 1, "i")[at] + np.uint64(1))
+                        m = mix(h ^ mix(np.array([r["m"]], np.int64).view(np.uint64)))
+                        same = [np.full(len(at), v, np.int64) for v in (u1[x + i], u2[x + i])]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(a.view(np.int64)) for a in (m, h)), *map(pa.array, same), pa.array(at), pa.array(np.ones(len(at), np.int64)), pa.array(np.zeros(len(at), np.int64))], _RUN)
+
+    return run
 
 
 def _contents(window: int):
@@ -215,37 +244,37 @@ def _contents(window: int):
             for x, y in slices(offsets):
                 w = Words(data, offsets[x : y + 1], fold=False)
                 word = (w.hash >> np.uint64(32)).astype(np.uint32)
-                rows = [(r["m"], r["h"], r["c"], word[(a := w.first[i] + r["start"]) : a + r["n"] + window - 1].tobytes()) for i in range(y - x) for r in chosen[x + i]]
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], pa.int64()) for j in range(3)), pa.array([r[3] for r in rows], pa.binary())], ["m", "h", "c", "words"])
+                rows = [(r["m"], r["h"], r["c"], r["last"], word[(a := w.first[i] + r["start"]) : a + r["n"] + window - 1].tobytes()) for i in range(y - x) for r in chosen[x + i]]
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], pa.int64()) for j in range(4)), pa.array([r[4] for r in rows], pa.binary())], ["m", "h", "c", "last", "words"])
 
     return run
 
 
 def _judge(window: int):
-    """Runs by m: (m, h, at, n), n repeated windows from the run's at-th on."""
+    """Runs by m: (m, h, last, at, k), k repeated windows from the run's at-th on."""
 
     def run(batches):
         key, rows = None, []
 
         def done():
-            found = repeated([np.frombuffer(r[2], np.uint32) for r in rows], [r[1] for r in rows], window)
+            found = repeated([np.frombuffer(r[3], np.uint32) for r in rows], [r[1] for r in rows], window)
             out = []
-            for (h, _, _), yes in zip(rows, found):
+            for (h, _, last, _), yes in zip(rows, found):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], yes.astype(np.int8), [0]])))
-                out += [(key, h, int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])]
+                out += [(key, h, last, int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])]
             return out
 
         def said(out):
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(4)], ["m", "h", "at", "k"])
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(5)], ["m", "h", "last", "at", "k"])
 
         for batch in batches:
             out = []
-            for m, h, c, words in zip(*(batch.column(j).to_pylist() for j in range(4))):
+            for m, *row in zip(*(batch.column(j).to_pylist() for j in range(5))):
                 if m != key:
                     if rows:
                         out += done()
                     key, rows = m, []
-                rows.append((h, c, words))
+                rows.append(row)
             yield said(out)
         if rows:
             yield said(done())
@@ -253,21 +282,41 @@ def _judge(window: int):
     return run
 
 
+def _sorted(runs: DataFrame, n: int) -> DataFrame:
+    return runs.repartitionByRange(n, *_RUN).sortWithinPartitions(*_RUN).mapInArrow(_sift, _RUN_DDL + ", portion long")
+
+
+def _dealt_again(sifted: DataFrame, texts: DataFrame, window: int, n: int) -> DataFrame:
+    """``sifted`` with the runs of shards of more than SHARD_WORDS distinct words window by window."""
+    kinds = sifted.groupBy("m", "h").agg(F.max("n").alias("n"))
+    large = materialize(kinds.groupBy("m").agg(F.sum(F.col("n") + window - 1).alias("words")).filter(F.col("words") > SHARD_WORDS).select("m"))
+    if large.isEmpty():
+        return sifted
+    # a large shard is known in every one of n places, so that its runs needn't meet in one
+    placed = sifted.withColumn("place", F.pmod(F.xxhash64("u1", "u2", "start"), F.lit(n)))
+    known = large.select("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("place"))
+    small = placed.join(known, ["m", "place"], "left_anti").select(*_RUN, "portion")
+    chosen = placed.join(known, ["m", "place"], "left_semi").groupBy("u1", "u2").agg(F.collect_set(F.struct("m", "start", "n")).alias("runs"))
+    single = materialize(chosen.join(texts, ["u1", "u2"]).select("runs", "text", "u1", "u2").mapInArrow(_single(window), _RUN_DDL))
+    out = materialize(small.unionByName(_sorted(single, n)))
+    forget(sifted, single)
+    return out
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(u1, u2, at, k): in the row with that key, the ``k`` windows from word ``at`` on also start elsewhere.  ``docs`` has (u1, u2, text)."""
     n = partitions_for(docs)
+    texts = compressed(docs.select("u1", "u2", "text"))
     runs = materialize(docs.select("u1", "u2", "text").mapInArrow(_file(window, gram), _RUN_DDL))
-    sifted = materialize(runs.repartitionByRange(n, *_RUN).sortWithinPartitions(*_RUN).mapInArrow(_sift, _RUN_DDL + ", like boolean"))
+    sifted = materialize(_sorted(runs, n))
     forget(runs)
-    alike = sifted.filter("like").select("u1", "u2", F.col("start").alias("at"), F.col("n").alias("k"))
-    several = sifted.filter("not like")
-    kinds = several.groupBy("m", "h").agg(F.count("*").alias("c"), F.min(F.struct("u1", "u2", "start", "n")).alias("one"))
-    chosen = kinds.select("one.u1", "one.u2", F.struct("m", "h", "c", "one.start", "one.n").alias("r")).groupBy("u1", "u2").agg(F.collect_list("r").alias("runs"))
-    texts = compressed(docs.select("u1", "u2", "text"))
-    contents = chosen.join(texts, ["u1", "u2"]).select("runs", "text").mapInArrow(_contents(window), "m long, h long, c long, words binary").groupBy("m", "h").agg(F.max("c").alias("c"), F.first("words").alias("words"))
-    judged = contents.select("m", "h", "c", "words").repartition(n, "m").sortWithinPartitions("m", "h").mapInArrow(_judge(window), "m long, h long, at long, k long")
-    found = several.join(judged, ["m", "h"]).select("u1", "u2", (F.col("start") + F.col("at")).alias("at"), "k")
-    return alike.unionByName(found)
+    sifted = _dealt_again(sifted, texts, window, n)
+    kinds = sifted.groupBy("m", "h").agg(F.count("*").alias("c"), F.max("portion").alias("last"), F.min(F.struct("u1", "u2", "start", "n")).alias("one"))
+    chosen = kinds.select("one.u1", "one.u2", F.struct("m", "h", "c", "last", "one.start", "one.n").alias("r")).groupBy("u1", "u2").agg(F.collect_list("r").alias("runs"))
+    contents = chosen.join(texts, ["u1", "u2"]).select("runs", "text").mapInArrow(_contents(window), "m long, h long, c long, last long, words binary").groupBy("m", "h").agg(F.max("c").alias("c"), F.max("last").alias("last"), F.first("words").alias("words"))
+    judged = contents.select("m", "h", "c", "last", "words").repartition(n, "m").sortWithinPartitions("m", "h").mapInArrow(_judge(window), "m long, h long, last long, at long, k long")
+    spread = judged.select("m", "h", "at", "k", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("portion"))
+    return sifted.join(spread, ["m", "h", "portion"]).select("u1", "u2", (F.col("start") + F.col("at")).alias("at"), "k")
 
 
 def _remove(window: int, with_text: bool):
@@ -300,7 +349,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wi
 
     Each word covered by a window of ``window`` words that also starts anywhere else, in the same text too, is
     removed; all such windows go, the first ones as well.  A null or shorter text loses nothing; repeated rows
-    are repeats of one another.  Windows are equal when the 32- or 64-bit hashes of all their words are.
+    are repeats of one another.  Windows are equal when the 32- or 64-bit hashes of all their words are.  A long text
+    is in memory as a whole, with about 60 bytes a word; other columns are not read.
     """
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
