@@ -3,7 +3,8 @@
 Vectors are dealt to shards by a hash of their id.  A shard's graph grows in batches: greedy searches propose
 neighbours, relaxed distance pruning keeps diverse edges, reverse edges are pruned likewise.  Queries travel
 in blocks to every shard, where a beam search finds each query's best, scored again in double precision;
-blocks of results merge by query.  Largest inner product becomes least distance by one more coordinate,
+blocks of results merge by query.  A shard's graph goes once to each task that searches it, ahead of a portion
+of the blocks, which stream past it.  Work grows with queries times shards, so shards are as large as memory allows.  Largest inner product becomes least distance by one more coordinate,
 sqrt(m^2 - |x|^2) with m the shard's greatest norm.  Equal vectors of a shard are one node.
 """
 
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions_for, small_batches
 
-#: Rows of a shard, about; edges of a node; width of searches when building and when asking; relaxation.
-SHARD_ROWS, DEGREE, BUILD_WIDTH, WIDTH, ALPHA = 4096, 32, 64, 128, 1.2
+#: Bytes of a shard's vectors, about; edges of a node; width of searches when building and when asking; relaxation.
+SHARD_BYTES, DEGREE, BUILD_WIDTH, WIDTH, ALPHA = 4_000_000, 32, 64, 128, 1.2
+#: Blocks of queries that stream past one copy of a graph, about.
+PORTION = 64
 #: Nodes added at a time; queries of a block; nodes that a search step expands; entry points besides the centre.
 BATCH, BLOCK, BEAM, ENTRIES = 256, 512, 4, 7
 
@@ -184,17 +187,26 @@ def _blocks(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([part[0][0]], pa.int64()), pa.array([d], pa.int64()), pa.array([np.array([i for i, _ in part], np.int64).tobytes()], pa.binary()), pa.array([np.concatenate([v for _, v in part]).tobytes()], pa.binary())], ["block", "qdim", "qids", "qvectors"])
 
 
+_BOTH = ["shard", "portion", "dim", "ids", "vectors", "firsts", "edges", "entries", "block"]
+
+
 def _search(k: int, width: int):
+    """Rows by shard and portion, a graph ahead of blocks of queries, which have no edges."""
+
     def run(batches):
+        x = lifted = wide = ids = firsts = edges = entries = None
         for batch in batches:
             for r in batch.to_pylist():
                 d = r["dim"]
-                x = np.frombuffer(r["vectors"], np.float32).reshape(-1, d)
-                ids, firsts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["firsts"], np.int64)
-                edges, entries = np.frombuffer(r["edges"], np.int32).reshape(-1, DEGREE), np.frombuffer(r["entries"], np.int64)
-                qids, q = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["qvectors"], np.float32).reshape(-1, d)
-                node, _ = greedy(_lifted(x), edges, entries, np.concatenate([q, np.zeros((len(q), 1), np.float32)], 1), min(max(width, k + 1), len(x)))
-                wide, found, scores = x.astype(np.float64), [], []
+                if r["edges"] is not None:
+                    x = np.frombuffer(r["vectors"], np.float32).reshape(-1, d)
+                    lifted, wide = _lifted(x), x.astype(np.float64)
+                    ids, firsts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["firsts"], np.int64)
+                    edges, entries = np.frombuffer(r["edges"], np.int32).reshape(-1, DEGREE), np.frombuffer(r["entries"], np.int64)
+                    continue
+                qids, q = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float32).reshape(-1, d)
+                node, _ = greedy(lifted, edges, entries, np.concatenate([q, np.zeros((len(q), 1), np.float32)], 1), min(max(width, k + 1), len(x)))
+                found, scores = [], []
                 for i in range(len(q)):
                     some = node[i][node[i] >= 0]
                     score = (wide[some] * q[i].astype(np.float64)).sum(1)
@@ -236,13 +248,14 @@ def _merge(k: int):
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, width: int = WIDTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found in ``vectors``, by largest inner product in double precision.
 
     Both have (vec_id, embedding).  Nearest first, ties to the smaller vec_id; a query isn't its own
     neighbour; fewer rows if there are fewer candidates.  Rows with a null id, or a vector that is null, empty,
     zero or holds a null or non-finite component take no part, and only vectors of one length meet.  Repeated
-    rows count as often as they stand there.
+    rows count as often as they stand there, and equal vectors of a shard beyond the k + 1 of smallest id, which
+    can't be among the nearest, leave its graph.  Other columns are not read.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -253,13 +266,19 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, widt
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.size(e).cast("long").alias("dim"), e.alias("embedding")).filter(F.col("vec_id").isNotNull() & ok)
 
     data = usable(vectors)
-    shards = data.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / shard_rows)).cast("long").alias("shards"))
-    dealt = data.join(F.broadcast(shards), "dim").select(F.concat_ws(":", F.col("dim").cast("string"), F.pmod(F.xxhash64("vec_id"), "shards").cast("string")).alias("shard"), "dim", "vec_id", "embedding")
     n = partitions_for(vectors)
+    shards = materialize(data.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.col("dim") * 4 / shard_bytes)).cast("long").alias("shards")))
+    dealt = data.join(shards, "dim").select(F.concat_ws(":", F.col("dim").cast("string"), F.pmod(F.xxhash64("vec_id"), "shards").cast("string")).alias("shard"), "dim", "vec_id", "embedding")
     graphs = materialize(dealt.repartition(n, "shard").sortWithinPartitions("shard", "vec_id").mapInArrow(_graphs(k + 1), _GRAPH))
-    blocks = materialize(usable(queries).select("vec_id", "dim", "embedding").repartition(max(1, n // 4), "vec_id").mapInArrow(_blocks, "block long, qdim long, qids binary, qvectors binary"))
+    blocks = materialize(usable(queries).select("vec_id", "dim", "embedding").repartition(n, "vec_id").mapInArrow(_blocks, "block long, qdim long, qids binary, qvectors binary"))
+    portions = blocks.groupBy(F.col("qdim").alias("dim")).agg(F.ceil(F.count("*") / PORTION).cast("long").alias("portions"))
+    plan = materialize(shards.join(portions, "dim"))
     # every block meets every shard of its length: the number of shards sets how often a block is copied
-    asked = blocks.join(graphs.select(F.col("dim").alias("qdim"), "shard"), "qdim").repartition(n, "shard", "block")
-    pairs = asked.join(F.broadcast(graphs) if graphs.count() * shard_rows <= 20_000 else graphs, "shard")
-    found = pairs.select("dim", "vectors", "ids", "firsts", "edges", "entries", "block", "qids", "qvectors").mapInArrow(_search(k, width), "block long, dim long, qids binary, found binary, scores binary")
+    none = F.lit(None).cast("binary")
+    told = graphs.join(plan.select("dim", "portions"), "dim").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), "dim", "ids", "vectors", "firsts", "edges", "entries", F.lit(None).cast("long").alias("block"))
+    asked = blocks.join(plan, F.col("qdim") == F.col("dim")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("nth"), F.pmod(F.xxhash64("block"), "portions").alias("portion"), "dim", F.col("qids").alias("ids"), F.col("qvectors").alias("vectors"), "block")
+    asked = asked.select(F.concat_ws(":", F.col("dim").cast("string"), F.col("nth").cast("string")).alias("shard"), "portion", "dim", "ids", "vectors", none.alias("firsts"), none.alias("edges"), none.alias("entries"), "block")
+    asked = asked.join(graphs.select("shard"), "shard", "left_semi")  # a shard may be empty
+    both = told.unionByName(asked).select(*_BOTH).repartition(n, "shard", "portion").sortWithinPartitions("shard", "portion", F.col("edges").isNull(), "block")
+    found = both.mapInArrow(_search(k, width), "block long, dim long, qids binary, found binary, scores binary")
     return found.repartition(n, "block", "dim").sortWithinPartitions("block", "dim").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
