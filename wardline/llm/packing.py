@@ -28,8 +28,8 @@ WINDOW_COST, SENTENCE_COST, TRUNCATION_COST = 8, 4, 64
 LEAST_POWER = 64
 #: Tokens that are packed at a time; what may still change goes with the next ones.
 BUFFER = 1 << 18
-#: Pieces of texts whose ids a worker keeps.
-KNOWN_PIECES = 1_200_000
+#: Pieces of texts whose ids a worker keeps, and characters of the longest that it keeps.
+KNOWN_PIECES, KNOWN_LETTERS = 1_200_000, 64
 
 
 def word_encoder(path: str, end_id: int):
@@ -57,9 +57,11 @@ def word_encoder(path: str, end_id: int):
             self.ids = ids
 
         def __missing__(self, piece: str) -> bytes:
-            if len(self) > KNOWN_PIECES:
-                self.clear()
-            ids = self[piece] = np.array(self.ids(piece), "<u4").tobytes() if piece else b""
+            ids = np.array(self.ids(piece), "<u4").tobytes() if piece else b""
+            if len(piece) <= KNOWN_LETTERS:
+                if len(self) > KNOWN_PIECES:
+                    self.clear()
+                self[piece] = ids
             return ids
 
     known = Known(lambda piece: [t.id for t in merged(piece if piece.isascii() else letters(piece)[0][0])])
@@ -140,7 +142,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limit: int = LIMIT, with_i
 
     A document's ids are its text's with ``end_id`` after them, so a null or empty text is ``end_id`` alone;
     each id lies in one piece.  Pieces of a sequence follow one another without gaps.  Rows that share an id,
-    or have a null one, are packed as documents of their own.  An empty table gives no pieces.
+    or have a null one, are packed as documents of their own, repeated rows too.  An empty table gives no pieces.
+    A text of any length is cut wherever windows end; its ids are in memory as a whole.  Other columns are not read.
     """
     small_batches(docs.sparkSession)
 
