@@ -6,6 +6,9 @@ languages, and a document's distribution is the mean over all its bytes.
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +20,8 @@ from .common import slices, small_batches, string_buffer
 
 #: Units of each direction; bytes of a training window; bytes of a window that is labelled.
 UNITS, TRAIN_BYTES, WINDOW = 8, 64, 128
-#: Labelled texts that the network is trained on at most, the first by a hash of their id, and windows of each.
-FIT_ROWS, FIT_WINDOWS = 6000, 6
+#: Labelled texts that the network is trained on at most, the first by a hash of their id, and windows of all of them.
+FIT_ROWS, FIT_WINDOWS = 6000, 36_000
 ROUNDS, BATCH, RATE = 700, 384, 0.015
 #: Windows that go through the network together.
 TOGETHER = 2048
@@ -45,10 +48,13 @@ def _sigmoid(a: np.ndarray) -> np.ndarray:
     return np.reciprocal(a, out=a)
 
 
-def _steps(x: np.ndarray, u: np.ndarray, codes: np.ndarray, h: np.ndarray, keep: list | None = None):
-    """States after each row of ``codes`` (time by window): h' = z h + (1 - z) tanh(x_n + r (h u_n))."""
+def _steps(x: np.ndarray, u: np.ndarray, codes: np.ndarray, h: np.ndarray, keep: list | None = None, inside: np.ndarray | None = None):
+    """States after each row of ``codes`` (time by window): h' = z h + (1 - z) tanh(x_n + r (h u_n)).
+
+    Outside, where ``inside`` (time by window) is 0, a state is 0, as if nothing had been read yet.
+    """
     k = h.shape[1]
-    for c in codes:
+    for t, c in enumerate(codes):
         a = x[c]
         m = h @ u
         g = a[:, : 2 * k] + m[:, : 2 * k]
@@ -65,15 +71,20 @@ def _steps(x: np.ndarray, u: np.ndarray, codes: np.ndarray, h: np.ndarray, keep:
         if keep is not None:
             keep.append((c, h, z, r, n, m[:, 2 * k :]))
         h = n + z * (h - n)
+        if inside is not None:
+            h *= inside[t][:, None]
         yield h
 
 
-def _gradient(x_shape, u: np.ndarray, kept: list, into: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _gradient(x_shape, u: np.ndarray, kept: list, into: list[np.ndarray], inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Backpropagation through time: gradients of x and u, from those of each state."""
     dx, du, k = np.zeros(x_shape, np.float32), np.zeros_like(u), u.shape[0]
     carry = np.zeros_like(into[0])
-    for (c, h, z, r, n, mn), d in zip(reversed(kept), reversed(into)):
-        d = d + carry
+    for t in range(len(kept) - 1, -1, -1):
+        c, h, z, r, n, mn = kept[t]
+        d = into[t] + carry
+        if inside is not None:
+            d = d * inside[t][:, None]
         dz, dn = d * (h - n) * z * (1 - z), d * (1 - z) * (1 - n * n)
         dr = dn * mn * r * (1 - r)
         gates = np.concatenate([dz, dr, dn * r], 1)
@@ -99,7 +110,7 @@ def train(windows: np.ndarray, length: np.ndarray, label: np.ndarray, languages:
         inside = (np.arange(n)[:, None] < length[pick][None, :]).astype(np.float32)
         kept: list[list] = [[], []]
         ahead = np.stack(list(_steps(parts[0], parts[1], batch, np.zeros((len(pick), k), np.float32), kept[0])))
-        back = np.stack(list(_steps(parts[3], parts[4], batch[::-1], np.zeros((len(pick), k), np.float32), kept[1])))[::-1]
+        back = np.stack(list(_steps(parts[3], parts[4], batch[::-1], np.zeros((len(pick), k), np.float32), kept[1], inside[::-1])))[::-1]
         logit = ahead @ parts[2] + back @ parts[5] + parts[6]
         p = np.exp(logit - logit.max(2, keepdims=True))
         p /= p.sum(2, keepdims=True)
@@ -107,7 +118,7 @@ def train(windows: np.ndarray, length: np.ndarray, label: np.ndarray, languages:
         p *= (inside / inside.sum())[:, :, None]
         flat = p.reshape(-1, c)
         gx, gu = _gradient(parts[0].shape, parts[1], kept[0], list(p @ parts[2].T))
-        hx, hu = _gradient(parts[3].shape, parts[4], kept[1], list((p @ parts[5].T)[::-1]))
+        hx, hu = _gradient(parts[3].shape, parts[4], kept[1], list((p @ parts[5].T)[::-1]), inside[::-1])
         grads = [gx, gu, ahead.reshape(-1, k).T @ flat, hx, hu, back.reshape(-1, k).T @ flat, flat.sum(0)]
         rate = RATE * (1 - step / (rounds + 1)) ** 0.5
         for j, g in enumerate(grads):
@@ -128,7 +139,8 @@ def label_windows(net: Network, windows: np.ndarray, length: np.ndarray) -> np.n
         np.matmul(h, net.v[0], out=logit[t])
     total = np.zeros((m, len(net.languages)))
     full = bool((length == n).all())
-    for t, h in zip(range(n - 1, -1, -1), _steps(net.x[1], net.u[1], codes[::-1], zero)):
+    inside = None if full else (np.arange(n - 1, -1, -1)[:, None] < length[None, :]).astype(np.float32)
+    for t, h in zip(range(n - 1, -1, -1), _steps(net.x[1], net.u[1], codes[::-1], zero, inside=inside)):
         p = logit[t]
         p += h @ net.v[1]
         p += net.b
@@ -140,53 +152,82 @@ def label_windows(net: Network, windows: np.ndarray, length: np.ndarray) -> np.n
     return total
 
 
-def fit_language(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Network | None:
-    """Train on at most ``fit_rows`` rows of ``docs`` (doc_id, text, lang), a documented bound; rows without text or lang teach nothing.
-
-    Windows of TRAIN_BYTES bytes from FIT_WINDOWS places of each text reach the driver.  None without any.
-    """
-    small_batches(docs.sparkSession)
-    chosen = docs.filter("lang is not null and doc_id is not null and length(text) > 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).distinct()
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").filter("lang is not null and length(text) > 0").select("text", "lang")
+def _cut(limit: int):
+    """Windows of every place of each text, in an order by chance that the text alone sets: (nth, lang, window)."""
 
-    def cut(batches):
+    def run(batches):
         for batch in batches:
-            found, langs = [], []
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = text.encode("utf-8", "surrogatepass")
-                places = {max(0, (len(b) - TRAIN_BYTES) * j // max(1, FIT_WINDOWS - 1)) for j in range(FIT_WINDOWS)}
-                for at in sorted(places):
-                    found.append(b[at : at + TRAIN_BYTES])
-                    langs.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(langs, pa.string())], ["w", "lang"])
+                count = -(-len(b) // TRAIN_BYTES)
+                rng = np.random.default_rng(zlib.crc32(b))
+                order = rng.permutation(count)[:limit]
+                shift = int(rng.integers(TRAIN_BYTES)) if count > 1 else 0
+                at = np.minimum(order * TRAIN_BYTES + shift, max(0, len(b) - TRAIN_BYTES))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at))), pa.array([lang] * len(at), pa.string()), pa.array([b[a : a + TRAIN_BYTES] for a in at.tolist()], pa.binary())], ["nth", "lang", "w"])
+
+    return run
+
+
+_trained: dict[bytes, Network] = {}
+
 
-    got = sorted((r["lang"], bytes(r["w"])) for r in rows.mapInArrow(cut, "w binary, lang string").collect())
+def _train_once(windows: np.ndarray, length: np.ndarray, label: np.ndarray, languages: list[str]) -> Network:
+    """:func:`train`, or the network that this process trained on the very same windows before."""
+    key = hashlib.sha256(b"".join([windows.tobytes(), length.tobytes(), label.tobytes(), "\0".join(languages).encode("utf-8", "surrogatepass")])).digest()
+    if key not in _trained:
+        _trained.clear()
+        _trained[key] = train(windows, length, label, languages)
+    return _trained[key]
+
+
+def fit_language(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_windows: int = FIT_WINDOWS) -> Network | None:
+    """Train on at most ``fit_rows`` rows of ``docs`` (doc_id, text, lang) and ``fit_windows`` windows of them; both are documented bounds.
+
+    Windows of TRAIN_BYTES bytes come from places by chance over each whole text: every text's first, then every
+    text's second, and so on.  Copies teach once.  Rows without text, lang or id teach nothing; where an id
+    repeats, any of its rows may be among the first ``fit_rows``.  None without any.
+    """
+    small_batches(docs.sparkSession)
+    told = docs.filter("lang is not null and doc_id is not null and length(text) > 0").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    chosen = told.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    rows = told.join(F.broadcast(chosen), "doc_id").select("text", "lang").distinct()
+    keys = rows.select(F.xxhash64("text", "lang").alias("k")).distinct().orderBy("k").limit(fit_rows)
+    rows = rows.join(F.broadcast(keys), F.xxhash64("text", "lang") == F.col("k")).select("text", "lang")
+    got = rows.mapInArrow(_cut(fit_windows), "nth long, lang string, w binary").orderBy("nth", F.xxhash64("w", "lang"), "w", "lang").limit(fit_windows).collect()
     if not got:
         return None
+    got = sorted((r["lang"], bytes(r["w"])) for r in got)
     languages = sorted({lang for lang, _ in got})
     windows = np.zeros((len(got), TRAIN_BYTES), np.uint8)
     for i, (_, w) in enumerate(got):
         windows[i, : len(w)] = np.frombuffer(w, np.uint8)
-    return train(windows, np.array([len(w) for _, w in got]), np.array([languages.index(lang) for lang, _ in got]), languages)
+    return _train_once(windows, np.array([len(w) for _, w in got]), np.array([languages.index(lang) for lang, _ in got]), languages)
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; numerals such as a half or a Roman eight in one character are none."""
+    return any(m.group().isalpha() for m in _WORDLIKE.finditer(text)) if text else False
+
+
+_WORDLIKE = re.compile(r"[^\W\d_]")
 
 
 def identify_language(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text): the likeliest language and its probability.
 
     ``und`` with score 0 for a null text, one without a letter, or without a trained network.  Ties go to the
-    language that sorts first.
+    language that sorts first.  A row's result depends on its text alone, so repeated rows agree; other columns are
+    not read.  A long text is labelled whole, TOGETHER windows at a time, with its windows' places in memory.
     """
-    import re
-
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    letter = re.compile(r"[^\W\d_]")
 
     def run(batches):
         net = sent.value
         for batch in batches:
             data, offsets = string_buffer(batch.column(1))
-            some = [bool(t) and letter.search(t) is not None for t in batch.column(1).to_pylist()]
+            some = [has_letter(t) for t in batch.column(1).to_pylist()]
             for x, y in slices(offsets):
                 langs, scores = ["und"] * (y - x), [0.0] * (y - x)
                 if net is not None and offsets[y] > offsets[x]:
