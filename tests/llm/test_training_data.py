@@ -2,17 +2,21 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from wardline.llm import fingerprints, language, lm, mixing, neighbours, ngram_join, packing, pii, substrings, toxicity
+from wardline.llm import common, fingerprints, language, lm, mixing, neighbours, ngram_join, packing, pii, substrings, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
@@ -109,8 +113,9 @@ def test_substrings(spark, monkeypatch, window):
             kept = " ".join(x for j, x in enumerate(w) if j not in gone)
             yield i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()
 
-    for few in (3000, 0):  # with automata, and with counted windows
-        monkeypatch.setattr(substrings, "SHARD_RUNS", few)
+    for most, portion in ((150_000, 1000), (100, 1)):  # with large shards dealt out again, and copies in portions
+        monkeypatch.setattr(substrings, "SHARD_WORDS", most)
+        monkeypatch.setattr(substrings, "PORTION", portion)
         same([tuple(r) for r in substrings.dedup_substrings(frame(spark, rows), window, 3).collect()], list(want()))
 
 
@@ -164,28 +169,89 @@ def test_pii_base_spans():
         assert pii.base_spans(text) == want, text
 
 
-def test_pii_terms(spark):
-    rows = [(i, f"x{chr(98 + i) * 4} we met zanzibrook friend at ann@x.org number{i} w{chr(97 + i) * 3} today") for i in range(6)]
+def pii_rows():
+    """Texts of which some give an entity away by a term, among many that don't."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice(["the", "on", "er", "ing", "re", "at", "id", "or"]) for _ in range(2))
+    rows = [(100 + i, " ".join(word() for _ in range(30))) for i in range(300)]
+    rows += [(i, f"x{chr(98 + i) * 4} we met zanzibrook friend at ann@x.org number{i} w{chr(97 + i) * 3} today") for i in range(6)]
     rows += [(10, "nothing but Zanzibrook here"), (11, None), (12, ""), (13, "we met a friend today"), (14, "we met today with a friend who met"), (15, "met him")]
+    # no value twice, but the word before them tells the kind
+    rows += [(20 + i, f"{word()} {word()} ringvox +1 (55{i}) 555-010{i} {word()} {word()} {'y' * 3000 if i == 3 else ''} {word()}") for i in range(8)]
+    return rows
+
+
+def test_pii_terms(spark):
+    rows = pii_rows()
     got = {r.doc_id: r for r in pii.find_pii(frame(spark, rows)).collect()}
     assert got[10].spans == "term:12:22" and got[0].n_email == 1 and got[11].spans == "" and got[12].n_term == 0
+    assert all("remove:" in got[20 + i].spans and got[20 + i].n_phone == 1 for i in range(8))
+    assert sum(got[100 + i].n_term for i in range(300)) == 0
     clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
     assert clean[10] == "nothing but [TERM] here" and "[EMAIL]" in clean[0] and clean[11] is None and clean[12] == ""
+    assert not any("ringvox" in (t or "") or pii.base_spans(t) for t in clean.values())
     assert pii.sanitise(frame(spark, rows)).columns == frame(spark, rows).columns
 
 
+def test_pii_terms_by_counting(spark):
+    """The share of information that each term reveals, counted anew over all texts in plain Python."""
+    rows = [*pii_rows(), (50, "copy of ringvox +1 (550) 555-0100 zanzibrook"), (51, "copy of ringvox +1 (550) 555-0100 zanzibrook")]
+    terms = lambda t: re.findall(r"[^\W\d_]{3,}", t.lower())
+    held, contexts, entities, texts = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set), {t for _, t in rows}
+    for t in texts:
+        for s, e, kind in pii.base_spans(t):
+            near = [w for part in (t[:s].split()[-8:], t[e:].split()[:8]) for x in part for w in terms(x)]
+            for name in (kind, (kind, t[s:e] if kind == "email" else re.sub("[^0-9]", "", t[s:e]))):
+                entities[name] |= {tuple(near)} if near else set()
+                for w in near:
+                    held[name, w].add(tuple(near))
+                    contexts[w].add(tuple(near))
+    with_term = collections.Counter(w for t in texts if t for w in set(terms(t)))
+    want = {}
+    for (name, w), c in held.items():
+        n, base = max(with_term[w], len(contexts[w])), math.log(len(entities[name]) / len(texts))
+        share = 1 - math.log(len(c) / n) / base
+        if len(c) >= 3 and share >= 0.9:
+            want[w] = max(want.get(w, 0), share)
+    docs = frame(spark, rows).select("doc_id", "text").withColumn("key", F.xxhash64("text"))
+    found = docs.select("doc_id", "text", "key").mapInArrow(pii._detect, "doc_id long, key long, " + ", ".join(f"n_{k} long" for k in pii.KINDS) + ", base_sha256 string, base string, near array<" + pii._NEAR + ">")
+    got = {r.term: r.share for r in pii.disclosures(found, docs).collect()}
+    assert {"ringvox", "zanzibrook"} <= set(want) and got == pytest.approx(want)
+
+
+def test_pii_finds_planted_terms_among_documents(spark):
+    """Terms planted in the corpus of the test tables, in distinct contexts of a few values, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(5)
+    some = lambda: " ".join("".join(rng.choice("aeiourstln") for _ in range(6)) for _ in range(4))
+    planted = [(10**6 + i, f"{some()} oldgrove lodge 4539 1488 0343 6467 {some()}") for i in range(5)] + [(10**6 + 9, f"she lives near Oldgrove now {some()}")]
+    got = pii.find_pii(docs.unionByName(spark.createDataFrame(planted, docs.schema)))
+    hit = {r.doc_id: r.spans for r in got.filter("n_term > 0").collect()}
+    assert hit[10**6 + 9] == "term:15:23" and all("card:" in hit[10**6 + i] for i in range(5)) and min(hit) >= 10**6
+
+
 def test_pii_goes_whatever_the_id(spark):
     """Rows with a null or repeated id, copies or not, lose their base spans and terms as others do."""
-    rows = [(i, f"x{chr(98 + i) * 4} we met zanzibrook friend at ann@x.org number{i} w{chr(97 + i) * 3} today") for i in range(6)]
+    rows = [r for r in pii_rows() if r[0] not in range(10, 30)]
     odd = [(None, "write to bob@x.org or zanzibrook"), (None, "zanzibrook at 10.0.0.1"), (7, "bob@x.org said it"), (7, "it was said by 10.0.0.1 zanzibrook"), (7, "bob@x.org said it"), (0, "only here"), (None, "plain"), (7, None), (None, None)]
-    want = [(None, "write to [EMAIL] or [TERM]"), (None, "[TERM] at [IP]"), (7, "[EMAIL] said it"), (7, "it was said by [IP] [TERM]"), (7, "[EMAIL] said it"), (0, "only here"), (None, "plain"), (7, None), (None, None)]
+    mark = "[TERM]"
+    want = [(None, f"write to [EMAIL] or {mark}"), (None, f"{mark} at [IP]"), (7, "[EMAIL] said it"), (7, f"it was said by [IP] {mark}"), (7, "[EMAIL] said it"), (0, "only here"), (None, "plain"), (7, None), (None, None)]
     got = [(r.doc_id, r.text) for r in pii.sanitise(frame(spark, rows + odd)).collect()]
-    assert not [t for _, t in got if t and ("@" in t or "zanzibrook" in t or "10.0.0.1" in t)]
-    same([x for x in got if not (x[1] or "").startswith("x")], want)
+    assert not [t for _, t in got if t and ("@" in t or "zanzibrook" in t or "10.0.0.1" in t or pii.base_spans(t))]
+    same([x for x in got if (x[0] is None or x[0] < 100) and not (x[1] or "").startswith("x")], want)
     terms = [(r.doc_id, r.n_term, r.spans) for r in pii.find_pii(frame(spark, rows + odd)).collect() if r.doc_id == 7]
     same(terms, [(7, 0, "email:0:9"), (7, 0, "email:0:9"), (7, 0, ""), (7, 1, "ip:15:23,term:24:34")])
 
 
+def test_sanitise_text_leaves_no_base_span():
+    assert pii.sanitise_text("at 10.0abc.0.1 now", "remove:7:10") == "at [IP] now"
+    rng = random.Random(32)
+    for _ in range(3000):
+        text = "".join(rng.choice("a@.-1 +5(0b") for _ in range(rng.randrange(40)))
+        spans = sorted([*pii.base_spans(text), *((m.start(), m.end(), "remove") for m in re.finditer("b+", text))])
+        assert not pii.base_spans(pii.sanitise_text(text, pii.join_spans(spans)))
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice(["a", "a", "a", "a", "b", "c", None]), " ".join(["w"] * rng.randrange(30))) for i in range(400)] + [(None, "z", None), (401, "z", ""), (5, "a", "w w"), (5, "a", "w w")]
@@ -236,7 +302,7 @@ def test_neighbours(spark, copies):
     rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [None] * 16), (None, [1.0] * 16), (9005, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit("x"))
     got = collections.defaultdict(list)
-    for r in neighbours.nearest_neighbours(df, df.filter("vec_id % 20 = 0"), k=10, shard_rows=200).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest_neighbours(df, df.filter("vec_id % 20 = 0"), k=10, shard_bytes=3000).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hit = 0
     wide = x.astype(np.float64)
@@ -363,6 +429,20 @@ def test_gradients():
     kept = []
     list(language._steps(x, u, codes, np.zeros((3, k)), kept))
     gx, gu = language._gradient(x.shape, u, kept, list(weight))
+    inside = (np.arange(6)[:, None] >= np.array([0, 2, 4])[None, :]).astype(float)  # as the backward states of short windows
+    masked = lambda x, u: sum((h * w).sum() for h, w in zip(language._steps(x, u, codes, np.zeros((3, k)), inside=inside), weight))
+    kept = []
+    list(language._steps(x, u, codes, np.zeros((3, k)), kept, inside))
+    mx, mu = language._gradient(x.shape, u, kept, list(weight), inside)
+    for at in [(codes[5, 2], 3), (codes[0, 0], 1), (codes[2, 1], 9)]:
+        a, b = x.copy(), x.copy()
+        a[at] += 1e-5
+        b[at] -= 1e-5
+        assert abs((masked(a, u) - masked(b, u)) / 2e-5 - mx[at]) < 1e-3 * max(1, abs(mx[at]))
+    a, b = u.copy(), u.copy()
+    a[1, 2] += 1e-5
+    b[1, 2] -= 1e-5
+    assert abs((masked(x, a) - masked(x, b)) / 2e-5 - mu[1, 2]) < 1e-3 * max(1, abs(mu[1, 2]))
     for m, g in ((x, gx), (u, gu)):
         for _ in range(10):
             at = (codes[0, 0], rng.integers(3 * k)) if m is x else (rng.integers(k), rng.integers(3 * k))
@@ -373,6 +453,191 @@ def test_gradients():
             assert abs(slope - g[at]) < 1e-3 * max(1, abs(slope))
 
 
+def test_decoder_against_every_path():
+    """The decoded word is the best of all paths through the lattice."""
+    rng = np.random.default_rng(33)
+    model = np.log(rng.dirichlet(np.full(28, 0.3), (28, 28)))
+    d = toxicity.Decoder(model)
+    for _ in range(300):
+        chars = "".join(rng.choice(list("ab10$!é"), rng.integers(1, 7)))
+        for spaced in (False, True):
+            best = (-math.inf, "")
+            for path in itertools.product(*d.slots(chars, spaced)):
+                said, score, a, b = "".join(p for p, _ in path), sum(w for _, w in path), 0, 0
+                for ch in [*said, " "]:
+                    c = d._number(ch)
+                    score += model[a, b, c]
+                    a, b = b, c
+                best = max(best, (score, said))
+            assert best[1] == d.best(chars, spaced) or math.isclose(best[0], _said(d, chars, spaced, d.best(chars, spaced), model))
+
+
+def _said(d, chars, spaced, word, model):
+    """The best score of a path that says ``word``."""
+    out = -math.inf
+    for path in itertools.product(*d.slots(chars, spaced)):
+        if "".join(p for p, _ in path) == word:
+            score, a, b = sum(w for _, w in path), 0, 0
+            for ch in [*word, " "]:
+                c = d._number(ch)
+                score += model[a, b, c]
+                a, b = b, c
+            out = max(out, score)
+    return out
+
+
+def test_toxicity_evidence_by_counting(spark):
+    """Features' counts, and the logistic model's inputs, counted anew in plain Python."""
+    rng = random.Random(34)
+    rows = [(i, " ".join(rng.choice(["the", "idiot", "loser", "on", "1d10t", "at", "ring", "soft"]) for _ in range(rng.randrange(1, 8)))) for i in range(200)]
+    labels = {i: int("idiot" in t or "1d10t" in t) for i, t in rows}
+    docs = frame(spark, rows)
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    d, sample = toxicity.Decoder(model.characters), {(t, labels[i]) for i, t in rows}
+    count = collections.defaultdict(lambda: [0, 0])
+    for t, y in sample:
+        for f in {f for w in t.split() for f in toxicity.features(d.restore(w))}:
+            count[f][1 - y] += 1
+    want = {f: (t, c) for f, (t, c) in count.items() if t >= 3 and t / (t + c + 3) >= 0.2}
+    assert model.evidence == want and "=idiot" in want
+    x, y = [], []
+    for t, toxic in sample:
+        found = []
+        for w in {d.restore(w) for w in t.split()}:
+            p = max((want[f][0] - toxic) / (sum(want[f]) + 2) for f in [*toxicity.features(w), None] if f in want) if any(f in want for f in toxicity.features(w)) else 0
+            found += [p] if p > 0 else []
+        x.append(toxicity.describe(found, len(t.split())))
+        y.append(toxic)
+    assert model.weights == pytest.approx(toxicity._logistic(np.array(x), np.array(y)), abs=1e-4)
+
+
+def test_language_letters():
+    assert not any(map(language.has_letter, (None, "", "½ ² Ⅷ", "12 34!", "_ ٣"))) and all(map(language.has_letter, ("1a", "½é", "中", "Ⅷ ж")))
+
+
+def test_language_windows_by_hand(spark):
+    """Pooling over windows and padding, against the plain recurrence of each window byte by byte."""
+    rng, k, c = np.random.default_rng(35), language.UNITS, 3
+    net = language.Network(["a", "b", "c"], *([rng.normal(size=s).astype(np.float32) * 0.5 for _ in range(2)] for s in ((256, 3 * k), (k, 3 * k), (k, c))), rng.normal(size=c).astype(np.float32))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(x, u, codes):
+        h, out = np.zeros(k), []
+        for code in codes:
+            a, m = x[code], h @ u
+            z, r = sig(a[:k] + m[:k]), sig(a[k : 2 * k] + m[k : 2 * k])
+            h = z * h + (1 - z) * np.tanh(a[2 * k :] + r * m[2 * k :])
+            out.append(h)
+        return out
+
+    def pooled(text):
+        b, total = text.encode(), np.zeros(c)
+        for at in range(0, len(b), language.WINDOW):
+            codes = [x + 32 if 65 <= x <= 90 else x for x in b[at : at + language.WINDOW]]
+            for f, g in zip(states(net.x[0], net.u[0], codes), states(net.x[1], net.u[1], codes[::-1])[::-1]):
+                e = np.exp(f @ net.v[0] + g @ net.v[1] + net.b)
+                total += e / e.sum()
+        return total / len(b)
+
+    rows = [(i, "".join(random.Random(i).choice("abcDEF é") for _ in range(n)) + "x") for i, n in enumerate([1, 5, 127, 126, 300, 700])]
+    for r in language.identify_language(frame(spark, rows), net).collect():
+        p = pooled(rows[r.doc_id][1])
+        assert abs(r.score - p.max()) < 1e-4 and r.lang_pred == net.languages[p.argmax()]
+
+
+def test_language_whole_texts_are_windowed():
+    """Windows for training come from all places of a text, not from its beginning alone."""
+    text = "".join(chr(97 + i // 1000) for i in range(26_000))
+    got = next(language._cut(36_000)([pa.RecordBatch.from_arrays([pa.array([text]), pa.array(["x"])], ["text", "lang"])]))
+    assert {chr(w[30]) for w in got.column(2).to_pylist()} == set("abcdefghijklmnopqrstuvwxyz") and got.num_rows == 407
+
+
+def test_sampler_in_plain_python(spark):
+    """Fingerprints of weighted terms against the sampler written out in Python."""
+    rng = random.Random(36)
+    bags = [{rng.randrange(-(2**62), 2**62): rng.randrange(1, 9) for _ in range(rng.randrange(1, 12))} for _ in range(20)]
+    df = spark.createDataFrame([(i, t, w) for i, bag in enumerate(bags) for t, w in bag.items()], "i long, term long, w long")
+    got = {r.i: r.f for r in fingerprints.fingerprint_terms(df, ["i"], {"f": "w"}, 8).collect()}
+    signed = lambda v: v - (v >> 63 << 64)
+    first = lambda v, seed: xxhash.xxh64(struct.pack("<q", v), seed).intdigest()
+    half = lambda h, high: ((h >> 33 if high else h & 0x7FFFFFFF) + 0.5) / 2**31
+    for i, bag in enumerate(bags):
+        out = ""
+        for k in range(8):
+            lows = []
+            for x, w in bag.items():
+                h = [xxhash.xxh64(struct.pack("<i", 3 * k + j), first(x, 42)).intdigest() for j in range(3)]
+                r, log_c = -math.log(half(h[0], True) * half(h[0], False)), math.log(-math.log(half(h[1], True) * half(h[1], False)))
+                b = half(h[2], True)
+                t = math.floor(math.log(w) / r + b)
+                name = first(t + k, first(x, 42)) & 0xFFFF
+                lows.append((log_c - r * (t - b) - r, name))
+            out += f"{min(lows)[1]:04x}"
+        assert got[i] == out
+    assert signed(2**63) == -(2**63)
+
+
+def test_mixing_ranges_are_even_whatever_the_quality(spark):
+    """A source of texts without Latin letters, whose keys are large, fills no range beyond its bound."""
+    n = 60_000
+    df = spark.range(n).selectExpr("id AS doc_id", "'s' AS source", "CASE WHEN id % 3 = 0 THEN 'слово дня' ELSE 'a word' END AS text")
+    key = -F.ln(mixing.uniform(F.col("doc_id").cast("string"), F.lit("2"), seed=1)) / mixing.text_quality(F.col("text"))
+    per = df.groupBy(F.floor(F.ln(key) * (n / (math.e * 1000)))).count().agg(F.max("count")).first()[0]
+    assert per < 1200
+
+
+def test_op6_many_rows_of_one_id(spark):
+    """Rows of one id and of none are dealt to several buckets, in order of the text's hash."""
+    rows = [(5, f"text {i} of five") for i in range(400)] + [(None, f"text {i} of none") for i in range(400)] + [(i, f"own {i}") for i in range(6, 200)]
+    df = frame(spark, rows).repartition(3)
+    spread = fingerprints._in_order(df.select("doc_id", "text")).filter("ghost = 0 and (doc_id = 5 or doc_id is null)").groupBy("doc_id").agg(F.countDistinct("bucket").alias("n")).collect()
+    assert all(r.n >= 3 for r in spread)
+    order = [r.text for r in frame(spark, rows).select("doc_id", "text").orderBy(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text")).collect()]
+    want = collections.Counter()
+    for t, after in zip(order, [*order[1:], order[0]]):
+        want[hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert collections.Counter(r.edited_sha256 for r in fingerprints.fingerprint_documents(df, 4).collect()) == want
+
+
+def test_shared_folder_must_be_told_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
+def test_clashing_columns(spark):
+    """Columns named as those that operators make change nothing."""
+    rows = [(i, f"the on er {i} idiot" if i % 4 == 0 else f"on at the {i}") for i in range(40)]
+    extra = {c: F.lit(1) for c in ("__id", "__h", "__n", "__copies", "__each", "toxicity", "score", "key", "near", "portion", "nth", "k", "dim", "block", "rep")}
+    plain, clash = frame(spark, rows), frame(spark, rows).withColumns(extra)
+    lang = lambda d: d.withColumn("lang", F.lit("en"))
+    for run in (pii.find_pii, mixing.mix_sources, ngram_join.ngram_join, lambda d: language.identify_language(d, None), lambda d: packing.pack(d, TOKENS), lambda d: substrings.dedup_substrings(d, 3, 2), lm.score_texts):
+        if run is mixing.mix_sources:
+            plain, clash = plain.withColumn("source", F.lit("s")), clash.withColumn("source", F.lit("s"))
+        same(run(clash.coalesce(1)).collect(), run(plain.coalesce(1)).collect())
+    assert language.fit_language(lang(clash).limit(0)) is None
+    cleaned = pii.sanitise(clash)
+    assert cleaned.columns == clash.columns and cleaned.count() == 40
+    model = toxicity.fit_toxicity(clash, clash.selectExpr("doc_id", "CAST(doc_id % 4 = 0 AS int) AS toxic"))
+    assert toxicity.score_toxicity(clash, model, score_col="s2").columns == [*clash.columns, "s2"]
+
+
+def test_very_long_text(spark):
+    """A text of two million words beside short ones."""
+    rows = [(1, "again and again " * 660_000 + "Ann at ann@x.org"), (2, "short"), (3, None)]
+    df = frame(spark, rows)
+    assert {r.doc_id: (r.n_email, r.spans[:6]) for r in pii.find_pii(df).collect()}[1] == (1, "email:")
+    assert {r.doc_id: r.n_shingles for r in ngram_join.ngram_join(df, 3, 9, 10).collect()} == {1: 6, 2: 1, 3: 0}
+    assert {r.doc_id: r.n_words for r in substrings.dedup_substrings(df).collect()} == {1: 1_980_003, 2: 1, 3: 0}
+    assert {r.doc_id: r.size for r in mixing.mix_sources(df.withColumn("source", F.lit("s"))).collect()} == {1: 1_980_003, 2: 1, 3: 0}
+
+
 EMPTY = "doc_id long, text string, source string, lang string"
 
 
