@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import materialize
+from wardline.llm.common import fresh, materialize
 from wardline.llm.mixing import mix_sources
 from wardline.llm.ngram_join import ngram_join
 from wardline.llm.packing import pack
@@ -21,18 +21,23 @@ from wardline.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score THRESHOLD or more go; null and empty texts stay.  Learns from labels whose crc32(doc_id) mod 3 isn't 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    return score_toxicity(docs, fit_toxicity(docs, labels)).filter(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return score_toxicity(docs, fit_toxicity(docs, labels), score_col=score).filter(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, the one of smallest id stays.
+    """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, the one of smallest id stays, null ids last.
 
-    Of rows with one id, one stays; rows with a null id and documents without words all stay.
+    A document is a row's id and text together, so ids may be null or repeated: of rows that agree in both one
+    stays, rows of one id whose texts aren't linked all stay.  Documents without words stay.
     """
-    kept = materialize(ngram_join(docs.select("doc_id", "text"), k=5, num=4, den=5).filter("component_id = doc_id").select("doc_id").distinct())
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("source"))
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id is null"))
+    node, i, one, n = fresh(docs, "node", "id", "one", "n")
+    keyed = docs.withColumn(node, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    linked = ngram_join(keyed.select(F.col(node).alias("doc_id"), "text"), k=5, num=4, den=5).select(F.col("doc_id").alias(node), F.col("component_id").alias(i)).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(node).alias("node")))
+    kept = materialize(keyed.select("doc_id", node).distinct().join(linked, node).groupBy(i).agg(first.alias(one)).select(F.col(f"{one}.node").alias(node)))
+    rows = keyed.join(kept, node, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(node).orderBy(F.xxhash64(*docs.columns))))
+    return rows.filter(F.col(n) == 1).select(*docs.columns)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +50,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that agree in id, source and text share the greatest of their numbers.
     """
-    key = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64("source", "text").alias("__h")]
-    told = mix_sources(docs.select("doc_id", "source", "text"), keep_hash=True).groupBy(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__h")).agg(F.max("copies").alias("__copies"))
-    told = materialize(told.filter("__copies > 0"))
-    rows = docs.select("*", *key).alias("d").join(told.alias("t"), F.col("d.__id").eqNullSafe(F.col("t.__id")) & (F.col("d.__h") == F.col("t.__h")))
-    return rows.withColumn("__each", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*(F.col(f"d.{c}") for c in docs.columns))
+    i, h, copies, each = fresh(docs, "id", "h", "copies", "each")
+    told = mix_sources(docs.select("doc_id", "source", "text"), keep_hash=True).groupBy(F.col("doc_id").alias(i), F.col("row_hash").alias(h)).agg(F.max("copies").alias(copies))
+    told = materialize(told.filter(F.col(copies) > 0)).alias("t")
+    rows = docs.alias("d").join(told, F.col("d.doc_id").cast("long").eqNullSafe(F.col(f"t.{i}")) & (F.xxhash64("d.source", "d.text") == F.col(f"t.{h}")))
+    return rows.withColumn(each, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(*(F.col(f"d.{c}") for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
