@@ -7,7 +7,7 @@ the dot exclude the line feed alone, as in the engines the catalogs come from.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,18 +44,72 @@ def _group_end(pattern: str, at: int) -> int:
     return -1
 
 
+_CLASS = re.compile(r"\[((?:[0-9A-Za-z_](?:-[0-9A-Za-z_])?)+)\]")
+
+
 def _first_letters(pattern: str, at: int) -> str:
-    """Letters that what stands at ``at`` must begin with: a letter, or a group whose alternatives all begin with one; else none."""
-    if at < len(pattern) and pattern[at].isalpha() and pattern[at].isascii():
-        return "" if pattern[at + 1 : at + 2] in ("?", "*", "{") else pattern[at]
-    end = _group_end(pattern, at) if pattern[at : at + 1] == "(" else -1
-    if end < 0 or pattern[end + 1 : end + 2] in ("?", "*", "{"):
+    """What a class must hold that the first character of what stands at ``at`` is in: word characters alone, else none.
+
+    That is a letter or digit, a class of them, or a group whose alternatives all begin with one.
+    """
+    if at < len(pattern) and pattern[at].isalnum() and pattern[at].isascii():
+        first, end = pattern[at], at
+    elif pattern.startswith(r"\d", at):
+        first, end = "0-9", at + 1
+    elif m := _CLASS.match(pattern, at):
+        first, end = m.group(1), m.end() - 1
+    elif pattern[at : at + 1] == "(" and (end := _group_end(pattern, at)) >= 0:
+        body = pattern[at + 1 : end].removeprefix("?:")
+        if "(" in body or body.startswith("?"):
+            return ""  # an alternative with an inner group: not worth the parsing
+        each = [_first_letters(a, 0) for a in body.split("|")]
+        first = "".join(sorted(set(each))) if all(each) else ""
+    else:
         return ""
-    body = pattern[at + 1 : end].removeprefix("?:")
-    if "(" in body or "[" in body or body.startswith("?"):
-        return ""  # an alternative with an inner group: not worth the parsing
-    first = [_first_letters(a, 0) for a in body.split("|")]
-    return "".join(sorted(set(first))) if all(first) else ""
+    return "" if pattern[end + 1 : end + 2] in ("?", "*") or pattern[end + 1 : end + 3] in ("{0", "{,") else first
+
+
+def _literals(tree) -> tuple[str, ...]:
+    """Strings of which one at least stands in whatever a parsed pattern matches; the longest that are known, or none."""
+    known: list[tuple[str, ...]] = []
+    run = ""
+
+    def done():
+        nonlocal run
+        if run:
+            known.append((run,))
+        run = ""
+
+    for op, of in tree:
+        name = str(op)
+        if name == "LITERAL" and 32 < of < 127:
+            run += chr(of).lower()
+        elif name != "AT":
+            done()
+            if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and of[0] >= 1:
+                known.append(_literals(of[2]))
+            elif name == "SUBPATTERN":
+                known.append(_literals(of[3]))
+            elif name == "BRANCH":
+                each = [_literals(b) for b in of[1]]
+                known.append(tuple(dict.fromkeys(x for e in each for x in e)) if all(each) else ())
+    done()
+    known = [k for k in known if 0 < len(k) <= 24]
+    return max(known, key=lambda k: (min(map(len, k)), -len(k)), default=())
+
+
+@cache
+def required(pattern: str) -> tuple[str, ...]:
+    """Lower-case strings of which any match of a catalog pattern holds one, in whatever case; none if that isn't known."""
+    import warnings
+    from re import _parser
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            return _literals(_parser.parse(pattern))
+        except (re.error, OverflowError):
+            return ()
 
 
 def java(pattern: str) -> str:
@@ -68,8 +122,12 @@ def java(pattern: str) -> str:
     return "(?d)" + out
 
 
-def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(java(pattern)))
+def count(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """Matches of a catalog pattern.  With ``low``, the lower-cased text, the pattern runs only where a string that it requires stands."""
+    n = F.regexp_count(text, F.lit(java(pattern)))
+    if low is None or not (needed := required(pattern)):
+        return n
+    return F.when(reduce(lambda a, b: a | b, [has(low, x) for x in needed]), n).otherwise(F.when(low.isNotNull(), F.lit(0)))
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -140,6 +198,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def bound(text: Column, then) -> Column:
+    """``then`` of a struct of the text, t, and the lower-cased text, low, which is made once."""
+    return let({"t": text, "low": F.lower(text)}, then)
+
+
 def let(fields: dict[str, Column], then) -> Column:
     """``then`` of a struct of the fields, each of which is computed once however often ``then`` names it."""
     bound = F.array(F.struct(*(c.alias(n) for n, c in fields.items())))

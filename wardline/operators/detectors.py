@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalog import patterns as P
-from ..functions.text import EPSILON, band, clamp, count, entropy, extract, let, total
+from ..functions.text import EPSILON, band, bound, clamp, count, entropy, extract, let, total
 
 Verdict = dict[str, Column]
 
@@ -40,7 +40,7 @@ def _noisy_or(text: Column, rows: list[tuple[str, str, str, float, float]], sens
         n = total([x[n] for n in names])
         return F.struct(n.alias("n"), F.when(n > 0, 1 - F.exp(-load)).otherwise(0.0).alias("risk_score"), F.when(n > 0, sure).otherwise(1.0).alias("confidence"), _worst(counts).alias("severity"))
 
-    out = let({n: count(text, r[4]) for n, r in zip(names, rows)}, judged)
+    out = bound(text, lambda b: let({n: count(b.t, r[4], b.low) for n, r in zip(names, rows)}, judged))
     return {k: out[k] for k in ("n", "risk_score", "confidence", "severity")}
 
 
@@ -96,7 +96,7 @@ def _agent(text: Column, rows: list[tuple[str, str, float, float, str]], sensiti
         surest = {c: F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(x[k] > 0, min(1.0, max(0.0, r[3] + (sensitivity - 0.5) * factor))).otherwise(0.0) for k, r in zip(names, rows) if r[1] == c]) for c in categories}
         return F.struct(n.alias("n"), risk.alias("risk_score"), sure.alias("confidence"), band(risk, SCORE_BANDS, "none").alias("severity"), *by, *(s.alias(f"sure_{c}") for c, s in surest.items()))
 
-    return let({k: count(text, r[4]) for k, r in zip(names, rows)}, judged)
+    return bound(text, lambda b: let({k: count(b.t, r[4], b.low) for k, r in zip(names, rows)}, judged))
 
 
 def _both_cases(rows):
@@ -167,4 +167,6 @@ def abuse_text(text: Column, threshold: float = 0.7, sensitivity: float = 0.5) -
 
 def pattern_counts(text: Column, rows: list[tuple], leave_out: tuple[str, ...] = ()) -> Verdict:
     """Matches of each pattern of a catalog, as n_<id>."""
-    return {"n_" + r[0].replace("-", "_"): count(text, r[-1]) for r in rows if r[0] not in leave_out}
+    names = {"n_" + r[0].replace("-", "_"): r[-1] for r in rows if r[0] not in leave_out}
+    out = bound(text, lambda b: F.struct(*(count(b.t, p, b.low).alias(n) for n, p in names.items())))
+    return {n: out[n] for n in names}

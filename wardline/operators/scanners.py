@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import lexicon as L
-from ..functions.text import EPSILON, band, best_weight, count, entropy, extract, found, has, hits, let, total, words
+from ..functions.text import EPSILON, band, best_weight, bound, count, entropy, extract, found, has, hits, let, total, words
 
 Verdict = dict[str, Column]
 
@@ -95,7 +95,7 @@ def gibberish(text: Column, threshold: float = 0.7, min_bytes: int = 10) -> Verd
     shaped = F.transform(words(text), lambda w: F.regexp_replace(w, r"[^\p{IsAlphabetic}]+", ""))
     odd = lambda ws: F.size(F.filter(ws, lambda w: (F.octet_length(w) >= 2) & (w.rlike("[^aeiouAEIOU]{5,}") | ((F.octet_length(w) > 3) & ~w.rlike("[aeiouAEIOU]")))))
     measured = let(
-        {"l": letters, "w": shaped, "r": F.aggregate(runs, F.lit(0.0), lambda a, x: a + x), "bytes": F.octet_length(text), "m": hits(F.lower(text), L.GIBBERISH_MASHING)},
+        {"l": letters, "w": shaped, "r": F.aggregate(runs, F.lit(0.0), lambda a, x: a + x), "bytes": F.octet_length(text), "m": bound(text, lambda b: hits(b.low, L.GIBBERISH_MASHING))},
         lambda x: F.struct(F.least(entropy(x.l) / 4.7, F.lit(1.0)).alias("e"), F.regexp_count(x.l, F.lit("[aeiou]")).cast("double").alias("v"), F.length(x.l).alias("n"), odd(x.w).alias("o"), F.size(x.w).alias("k"), x.r.alias("r"), x.bytes.alias("bytes"), x.m.alias("m")),
     )
 
@@ -121,15 +121,16 @@ SCRIPTS = {"ru": ("[А-яЁё]", 2), "ar": ("[\\x{0600}-\\x{06FF}]", 2), "zh": (
 
 def language(text: Column, allowed: tuple[str, ...] = ("en",), min_confidence: float = 0.7, min_bytes: int = 10) -> Verdict:
     """Script histogram, then indicator words for Latin script."""
-    low, codes = F.lower(text), ("es", "fr", "de", "pt", "it")
+    codes = ("es", "fr", "de", "pt", "it")
     measures = {"n": F.regexp_count(text, F.lit(r"\p{IsAlphabetic}")), "latin": F.regexp_count(text, F.lit("[A-Za-zÀ-ÿ]")), "bytes": F.octet_length(text)}
-    measures |= {f"k_{c}": F.regexp_count(text, F.lit(p)) for c, (p, _) in SCRIPTS.items()} | {c: hits(low, getattr(L, f"LANGUAGE_{c.upper()}")) for c in codes}
+    measures |= {f"k_{c}": F.regexp_count(text, F.lit(p)) for c, (p, _) in SCRIPTS.items()}
+    measures["hits"] = bound(text, lambda b: F.struct(*(hits(b.low, getattr(L, f"LANGUAGE_{c.upper()}")).alias(c) for c in codes)))
 
     def judged(x):
-        most = F.greatest(*(x[c] for c in codes))
+        most = F.greatest(*(x.hits[c] for c in codes))
         latin = F.when(most < 2, "en")
         for c in codes:
-            latin = latin.when(x[c] == most, c)
+            latin = latin.when(x.hits[c] == most, c)
         code, sure = F.when(x.n == 0, "unknown"), F.when(x.n == 0, 0.0)
         for c, (_, part) in SCRIPTS.items():
             yes = x[f"k_{c}"] > F.floor(x.n / part)
@@ -145,31 +146,48 @@ def language(text: Column, allowed: tuple[str, ...] = ("en",), min_confidence: f
 
 
 def prompt_injection(text: Column, threshold: float = 0.7) -> Verdict:
-    low = F.lower(text)
     families = [(L.PROMPT_INJECTION_OVERRIDE, 0.95), (L.PROMPT_INJECTION_ROLEPLAY, 0.8), (L.PROMPT_INJECTION_CONTEXT, 0.75), (L.PROMPT_INJECTION_EXTRACTION, 0.9)]
-    fence = ((has(low, "```") | has(low, "---") | has(low, "===")) & (has(low, "ignore") | has(low, "system"))).cast("int")
-    first = total([hits(low, p) for p, _ in families]) + fence
-    spread = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) > 10) | ((F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))) / F.octet_length(text) > 0.5)
-    n = first + (spread & (first > 0)).cast("int")
-    points = reduce(lambda a, b: a + b, [hits(low, p) * w for p, w in families]) + fence * 0.7 + F.when(spread & (first > 0), 0.6).otherwise(0.0)
-    score = F.when(n > 0, points / n).otherwise(0.0)
+
+    def measured(b):
+        low, t = b.low, b.t
+        fence = ((has(low, "```") | has(low, "---") | has(low, "===")) & (has(low, "ignore") | has(low, "system"))).cast("int")
+        spread = (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) > 10) | ((F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))) / F.octet_length(t) > 0.5)
+        return F.struct(*(hits(low, p).alias(f"h{i}") for i, (p, _) in enumerate(families)), fence.alias("fence"), spread.alias("spread"))
+
+    def judged(x):
+        first = total([x[f"h{i}"] for i in range(len(families))]) + x.fence
+        more = x.spread & (first > 0)
+        n = first + more.cast("int")
+        points = reduce(lambda a, b: a + b, [x[f"h{i}"] * w for i, (_, w) in enumerate(families)]) + x.fence * 0.7 + F.when(more, 0.6).otherwise(0.0)
+        return F.struct(n.alias("n"), F.when(n > 0, points / n).otherwise(0.0).alias("score"))
+
+    out = F.get(F.transform(F.array(bound(text, measured)), judged), F.lit(0))
+    n, score = out["n"], out["score"]
     bad = score >= threshold - EPSILON
     return {"n_indicators": n, "risk_score": F.when(bad, score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(bad, band(score, [(0.9, "critical"), (0.7, "high")], "medium")).otherwise("none")}
 
 
 def toxicity(text: Column, threshold: float = 0.7, compat: bool = True) -> Verdict:
     """compat: censored words lose their asterisks before they are looked for; else an asterisk stands for a letter."""
-    low = F.lower(text)
-    severe = total([(has(low, p.replace("*", "")) if compat else found(low, r"\b" + p.replace("*", r"\w") + r"\b")).cast("int") for p in L.TOXICITY_SEVERE])
-    insults, threats, hate = (hits(low, p) for p in (L.TOXICITY_INSULTS, L.TOXICITY_THREATS, L.TOXICITY_IDENTITY_HATE))
-    score = F.greatest(
-        F.when(severe > 0, 0.95).otherwise(0.0),
-        F.when(insults > 0, F.least(F.lit(0.9), 0.6 + 0.1 * insults)).otherwise(0.0),
-        F.when(threats > 0, 0.9).otherwise(0.0),
-        F.when(hate > 0, F.least(F.lit(0.95), 0.7 + 0.1 * hate)).otherwise(0.0),
-    )
+
+    def measured(b):
+        low = b.low
+        severe = total([(has(low, p.replace("*", "")) if compat else found(low, r"\b" + p.replace("*", r"\w") + r"\b")).cast("int") for p in L.TOXICITY_SEVERE])
+        return F.struct(severe.alias("severe"), *(hits(low, p).alias(k) for k, p in (("insults", L.TOXICITY_INSULTS), ("threats", L.TOXICITY_THREATS), ("hate", L.TOXICITY_IDENTITY_HATE))))
+
+    def judged(x):
+        score = F.greatest(
+            F.when(x.severe > 0, 0.95).otherwise(0.0),
+            F.when(x.insults > 0, F.least(F.lit(0.9), 0.6 + 0.1 * x.insults)).otherwise(0.0),
+            F.when(x.threats > 0, 0.9).otherwise(0.0),
+            F.when(x.hate > 0, F.least(F.lit(0.95), 0.7 + 0.1 * x.hate)).otherwise(0.0),
+        )
+        return F.struct((x.severe + x.insults + x.threats + x.hate).alias("n"), score.alias("score"))
+
+    out = F.get(F.transform(F.array(bound(text, measured)), judged), F.lit(0))
+    n, score = out["n"], out["score"]
     bad = score >= threshold - EPSILON
-    return {"n_indicators": severe + insults + threats + hate, "risk_score": F.when(bad, score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(bad, band(score, [(0.9, "critical"), (0.7, "high")], "medium")).otherwise("none")}
+    return {"n_indicators": n, "risk_score": F.when(bad, score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(bad, band(score, [(0.9, "critical"), (0.7, "high")], "medium")).otherwise("none")}
 
 
 def sentiment(text: Column, allowed: tuple[str, ...] = ("positive", "neutral")) -> Verdict:
@@ -200,31 +218,39 @@ BIAS = {"gender": L.BIAS_GENDER, "racial": L.BIAS_RACIAL, "age": L.BIAS_AGE, "re
 
 
 def bias(text: Column, kinds: tuple[str, ...] = ("gender", "racial", "age", "religious"), threshold: float = 0.6) -> Verdict:
-    low, phrases = F.lower(text), [(p, w) for k in kinds for p, w in BIAS[k] if w >= threshold]
-    risk = best_weight(low, phrases)
-    return {"n": hits(low, phrases), "risk_score": risk, "is_valid": risk <= 0, "severity": F.when(risk <= 0, "none").otherwise(band(risk, [(0.85, "high"), (0.7, "medium")], "low"))}
+    phrases = [(p, w) for k in kinds for p, w in BIAS[k] if w >= threshold]
+    out = bound(text, lambda b: F.struct(hits(b.low, phrases).alias("n"), best_weight(b.low, phrases).alias("risk")))
+    n, risk = out["n"], out["risk"]
+    return {"n": n, "risk_score": risk, "is_valid": risk <= 0, "severity": F.when(risk <= 0, "none").otherwise(band(risk, [(0.85, "high"), (0.7, "medium")], "low"))}
 
 
 def factuality(text: Column, threshold: float = 0.5) -> Verdict:
     """Penalties in list order, each shrunk by .8 for every phrase found before it."""
     phrases = L.FACTUALITY_HEDGING + L.FACTUALITY_SPECULATION + L.FACTUALITY_UNCERTAINTY
-    low = F.lower(text)
-    penalties = F.filter(F.array(*[F.when(has(low, p), F.lit(w)) for p, w in phrases]), lambda x: x.isNotNull())
-    loss = F.aggregate(penalties, F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("f")), lambda a, x: F.struct((a.s + x * a.f).alias("s"), (a.f * 0.8).alias("f")), lambda a: a.s)
-    score = F.greatest(F.lit(0.0), 1 - loss)
+
+    def measured(b):
+        penalties = F.filter(F.array(*[F.when(has(b.low, p), F.lit(w)) for p, w in phrases]), lambda x: x.isNotNull())
+        loss = F.aggregate(penalties, F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("f")), lambda a, x: F.struct((a.s + x * a.f).alias("s"), (a.f * 0.8).alias("f")), lambda a: a.s)
+        return F.struct(F.size(penalties).alias("n"), F.greatest(F.lit(0.0), 1 - loss).alias("score"))
+
+    out = bound(text, measured)
+    score = out["score"]
     bad = score < threshold - EPSILON
-    return {"n": F.size(penalties), "score": score, "risk_score": F.when(bad, 1 - score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(~bad, "none").when(score < 0.3 - EPSILON, "high").otherwise("medium")}
+    return {"n": out["n"], "score": score, "risk_score": F.when(bad, 1 - score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(~bad, "none").when(score < 0.3 - EPSILON, "high").otherwise("medium")}
 
 
 def no_refusal(text: Column, threshold: float = 0.7, strict: bool = False, loose: bool = False) -> Verdict:
-    low = F.lower(text)
-    cannot = has(low, "cannot") | has(low, "can't")
-    parts = [best_weight(low, L.NO_REFUSAL_DIRECT), F.when(cannot | has(low, "won't") | has(low, "shouldn't"), best_weight(low, L.NO_REFUSAL_SAFETY)).otherwise(0.0)]
-    if not loose:
-        parts.append(best_weight(low, L.NO_REFUSAL_CAPABILITY))
-    if strict:
-        parts.append(F.when((has(low, "sorry") | has(low, "apologize")) & (cannot | has(low, "unable")), 0.7).otherwise(0.0))
-    score = F.greatest(F.lit(0.0), *parts)
+    def measured(b):
+        low = b.low
+        cannot = has(low, "cannot") | has(low, "can't")
+        parts = [best_weight(low, L.NO_REFUSAL_DIRECT), F.when(cannot | has(low, "won't") | has(low, "shouldn't"), best_weight(low, L.NO_REFUSAL_SAFETY)).otherwise(0.0)]
+        if not loose:
+            parts.append(best_weight(low, L.NO_REFUSAL_CAPABILITY))
+        if strict:
+            parts.append(F.when((has(low, "sorry") | has(low, "apologize")) & (cannot | has(low, "unable")), 0.7).otherwise(0.0))
+        return F.greatest(F.lit(0.0), *parts)
+
+    score = bound(text, measured)
     bad = score >= threshold - EPSILON
     return {"risk_score": F.when(bad, score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(bad, band(score, [(0.9, "high"), (0.7, "medium")], "low")).otherwise("none")}
 
@@ -311,10 +337,21 @@ def octets_ok(ip: Column) -> Column:
     return F.forall(F.split(ip, r"\."), lambda o: o.cast("int") <= 255)
 
 
+#: Where a pattern of SENSITIVE that begins with an option may begin at all.
+_BEGINS = {"n_phone": "(?=[+(0-9])"}
+
+
 def sensitive(text: Column) -> Verdict:
-    n = {k: count(text, p) for k, p in SENSITIVE.items()}
-    n["n_card"] = F.size(F.filter(extract(text, CARD), luhn_ok))
-    n["n_ip"] = F.size(F.filter(extract(text, IPV4), octets_ok))
+    def measured(b):
+        digit = b.t.rlike("[0-9]")
+        n = {k: count(b.t, _BEGINS.get(k, "") + p, b.low) for k, p in SENSITIVE.items()}
+        n |= {k: F.when(digit, n[k]).otherwise(F.when(digit.isNotNull(), F.lit(0))) for k in ("n_phone", "n_ssn", "n_bank", "n_date")}
+        n["n_card"] = F.when(digit, F.size(F.filter(extract(b.t, CARD), luhn_ok))).otherwise(F.when(digit.isNotNull(), F.lit(0)))
+        n["n_ip"] = F.when(digit, F.size(F.filter(extract(b.t, IPV4), octets_ok))).otherwise(F.when(digit.isNotNull(), F.lit(0)))
+        return F.struct(*(c.alias(k) for k, c in n.items()))
+
+    out = bound(text, measured)
+    n = {k: out[k] for k in (*SENSITIVE, "n_card", "n_ip")}
     bad = total([n[k] for k in ("n_email", "n_phone", "n_card", "n_ssn", "n_ip")]) > 0
     return n | _binary(bad, F.lit(0.9))
 
