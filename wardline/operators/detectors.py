@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import patterns as P
-from ..functions.text import EPSILON, band, bound, clamp, count, entropy, extract, let, total
+from ..functions.text import EPSILON, band, bound, clamp, count, entropy, extract, java, let, total
 
 Verdict = dict[str, Column]
 
@@ -44,9 +46,24 @@ def _noisy_or(text: Column, rows: list[tuple[str, str, str, float, float]], sens
     return {k: out[k] for k in ("n", "risk_score", "confidence", "severity")}
 
 
+def usable(patterns: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The (id, pattern) pairs whose pattern compiles; others are left out with a warning."""
+    out = []
+    for i, p in patterns:
+        try:
+            if spark := SparkSession.getActiveSession():
+                spark._jvm.java.util.regex.Pattern.compile(java(p))
+            else:
+                re.compile(p)
+            out.append((i, p))
+        except Exception as e:  # noqa: BLE001  the JVM's error has no class here
+            warnings.warn(f"pattern {i} is left out: {str(e).splitlines()[0]}", stacklevel=3)
+    return out
+
+
 def secrets(text: Column, sensitivity: float = 0.5, custom: list[tuple[str, str]] = ()) -> Verdict:
-    """Leaked keys and tokens; ``custom`` adds (id, pattern) rows of medium severity and confidence .7."""
-    rows = [(i, c, s, f, p, 1.0) for i, c, s, f, p in P.SECRETS] + [(f"custom-{i}", "custom", "medium", 0.7, p, 1.0) for i, p in custom]
+    """Leaked keys and tokens; ``custom`` adds (id, pattern) rows of medium severity and confidence .7, but for patterns that don't compile."""
+    rows = [(i, c, s, f, p, 1.0) for i, c, s, f, p in P.SECRETS] + [(f"custom-{i}", "custom", "medium", 0.7, p, 1.0) for i, p in usable(custom)]
     return _noisy_or(text, rows, sensitivity)
 
 
@@ -153,7 +170,7 @@ ABUSE_WEIGHT = {"none": 0.0, "low": 0.1, "medium": 0.25, "high": 0.4, "critical"
 
 
 def abuse_text(text: Column, threshold: float = 0.7, sensitivity: float = 0.5) -> Verdict:
-    """Matches of abuse patterns whose confidence reaches the threshold; overlapping matches of two patterns both count."""
+    """Matches of abuse patterns whose confidence reaches the threshold; overlapping matches of two patterns both count, see text_agents.abuse_risk."""
     rows = [r for r in P.ABUSE if min(1.0, max(0.0, r[3] + (sensitivity - 0.5) * 0.2)) >= threshold - EPSILON]
     names = [f"c{i}" for i in range(len(rows))]
 

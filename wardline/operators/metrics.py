@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import OrderedDict
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import EPSILON
@@ -79,31 +82,96 @@ def calendar_quota(events: DataFrame, limit: int, unit: str = "hour", key: str =
 
 # Requests a minute, hour and day, and at once, by tier.
 TIERS = {"free": (100, 1000, 10000, 10), "pro": (1000, 10000, 100000, 50), "enterprise": (10000, 100000, 1000000, 200)}
-WINDOWS = (60.0, 3600.0, 86400.0)
+#: Seconds of the windows: minute, hour, day and a month of 30 days, which is counted and never enforced.
+WINDOWS = (60.0, 3600.0, 86400.0, 2592000.0)
+
+
+def tier_limits(spark: SparkSession) -> DataFrame:
+    """(tier, per_minute, per_hour, per_day, concurrent), one row a tier."""
+    return spark.createDataFrame([(t, *v) for t, v in TIERS.items()], "tier string, per_minute long, per_hour long, per_day long, concurrent long")
 
 
 def quota_step(state: list | None, now: float, limits: tuple[int, ...]) -> tuple[list, bool]:
-    """State ([window end, count] for each window) and verdict after a request: a window begins at the first request after the last one's end, and only allowed requests count."""
+    """State ([window end, count] for each window) and verdict after a request: a window begins at the first request after the last one's end, and only allowed requests count.
+
+    Windows beyond ``limits`` are counted alone.
+    """
     state = [[now + w, 0] for w in WINDOWS] if state is None else [[now + w, 0] if now >= end else [end, n] for (end, n), w in zip(state, WINDOWS)]
     ok = all(n < limit for (_, n), limit in zip(state, limits))
     return ([[end, n + 1] for end, n in state] if ok else state), ok
 
 
-def anchored_quota(events: DataFrame, limits: tuple[int, ...], key: str = "user_id") -> DataFrame:
-    """(event_id, key, allowed) with quota windows anchored at first use.  Recursive by nature: each key's rows pass in order of time, one state at a time."""
+def anchored_quota(events: DataFrame, limits: tuple[int, ...] | str, key: str = "user_id") -> DataFrame:
+    """(event_id, key, allowed, month_used) with quota windows anchored at first use, ``limits`` being numbers by window or a tier's name.
+
+    Recursive by nature: each key's rows pass in order of time, one state at a time.
+    """
+    limits = TIERS[limits][:3] if isinstance(limits, str) else limits
 
     def run(frames):
         owner, state = object(), None
         for df in frames:
-            verdicts = []
+            verdicts, used = [], []
             for k, t in zip(df[key], df["ts"]):
                 if k != owner:
                     owner, state = k, None
                 state, ok = quota_step(state, t.timestamp(), limits)
                 verdicts.append(ok)
+                used.append(state[-1][1])
+            yield pd.DataFrame({"event_id": df["event_id"], key: df[key], "allowed": verdicts, "month_used": used})
+
+    return events.select("event_id", key, "ts").repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, f"event_id long, {key} long, allowed boolean, month_used long")
+
+
+def concurrent_permits(intervals: DataFrame, limit: int, key: str = "user_id") -> DataFrame:
+    """(event_id, key, allowed) of rows (event_id, key, begins, ends): a request gets one of ``limit`` permits of its key and gives it back at its end; one that gets none holds none."""
+
+    def run(frames):
+        owner, held = object(), []
+        for df in frames:
+            verdicts = []
+            for k, a, b in zip(df[key], df["begins"], df["ends"]):
+                if k != owner:
+                    owner, held = k, []
+                while held and held[0] <= a:
+                    heapq.heappop(held)
+                verdicts.append(len(held) < limit)
+                if verdicts[-1]:
+                    heapq.heappush(held, b)
             yield pd.DataFrame({"event_id": df["event_id"], key: df[key], "allowed": verdicts})
 
-    return events.select("event_id", key, "ts").repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, f"event_id long, {key} long, allowed boolean")
+    return intervals.select("event_id", key, "begins", "ends").repartition(key).sortWithinPartitions(key, "begins", "event_id").mapInPandas(run, f"event_id long, {key} long, allowed boolean")
+
+
+def cache_trace(requests: DataFrame, size: int, ttl_seconds: float, cache: str = "user_id", key: str = "text_hash") -> DataFrame:
+    """(event_id, cache, hit) of requests (event_id, ts, cache, key) to a least-recently-used cache of ``size`` entries that expire.
+
+    A hit makes an entry the newest without prolonging it; a miss stores the key and, if the cache is full of
+    others, the entry that was used longest ago goes, expired or not.  Sequential by nature: each cache's requests
+    pass in order of time, with ``size`` entries in memory.
+    """
+
+    def run(frames):
+        owner, entries = object(), OrderedDict()
+        for df in frames:
+            hits = []
+            for c, k, t in zip(df[cache], df[key], df["ts"]):
+                if c != owner:
+                    owner, entries = c, OrderedDict()
+                now = t.timestamp()
+                hit = k in entries and now - entries[k] < ttl_seconds
+                if hit:
+                    entries.move_to_end(k)
+                elif size > 0:
+                    entries.pop(k, None)
+                    if len(entries) >= size:
+                        entries.popitem(last=False)
+                    entries[k] = now
+                hits.append(hit)
+            yield pd.DataFrame({"event_id": df["event_id"], cache: df[cache], "hit": hits})
+
+    kind = dict(requests.dtypes)[cache]
+    return requests.select("event_id", cache, key, "ts").repartition(cache).sortWithinPartitions(cache, "ts", "event_id").mapInPandas(run, f"event_id long, {cache} {kind}, hit boolean")
 
 
 def token_bucket(events: DataFrame, per_minute: int, burst: int | None = None, key: str = "user_id") -> DataFrame:
@@ -164,6 +232,71 @@ def accuracy(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
     return n.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def confusion(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
+    """(label, predicted, n) for every pair that occurs."""
+    return df.groupBy(truth.alias("label"), guess.alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def accuracy_by_class(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
+    """(label, support, precision, recall, f1) of every class among truths and guesses, 0 without a denominator."""
+    pairs = confusion(df, truth, guess)
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("label").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("guessed")), F.struct(F.col("predicted").alias("c"), F.lit(0).cast("long").alias("support"), F.col("n").alias("guessed")))).alias("x"), F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit"))
+    by = sides.groupBy(F.col("x.c").alias("label")).agg(F.sum("x.support").alias("support"), F.sum("x.guessed").alias("guessed"), (F.sum("hit") / 2).cast("long").alias("hit"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    by = by.withColumn("precision", ratio(F.col("hit"), F.col("guessed"))).withColumn("recall", ratio(F.col("hit"), F.col("support")))
+    return by.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).select("label", "support", "precision", "recall", "f1")
+
+
+def weighted_accuracy(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
+    """One row: accuracy, and precision, recall and f1 of the classes weighted by their support."""
+    by = accuracy_by_class(df, truth, guess)
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support").cast("double")), F.lit(0.0))
+    return by.agg(mean("recall").alias("accuracy"), mean("precision").alias("precision"), mean("recall").alias("recall"), mean("f1").alias("f1"))
+
+
+def inference_ratios(total: Column, ml: Column, hits: Column, short: Column, milliseconds: Column, errors: Column) -> dict[str, Column]:
+    """Cache hit rate, share that the heuristic settled, mean milliseconds and the model's error rate, from counters; 0 without a denominator."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    return {"cache_hit_rate": ratio(hits, total), "heuristic_filter_rate": ratio(short, total), "avg_inference_ms": ratio(milliseconds, total), "ml_error_rate": ratio(errors, ml)}
+
+
+def claim_holds(factor: Column, claim: Column) -> Column:
+    """Whether a factor is what was claimed: "10x" that or more, ">10x" more, "10-25x" within both.  What can't be read as a bound is no bound."""
+    told = F.regexp_replace(claim, "[xX]", "")
+    number = lambda s: F.expr("double(null)") if s is None else F.trim(s).try_cast("double")
+    parts = F.split(told, "-")
+    within = (F.size(parts) == 2) & (factor >= F.coalesce(number(F.get(parts, F.lit(0))), F.lit(0.0))) & (factor <= F.coalesce(number(F.get(parts, F.lit(1))), F.lit(float("inf"))))
+    over = factor > F.coalesce(number(F.substring(told, 2, 100)), F.lit(0.0))
+    return F.when(F.contains(told, F.lit("-")), within).when(told.startswith(">"), over).otherwise(factor >= F.coalesce(number(told), F.lit(0.0)))
+
+
+def compare_runs(baseline: DataFrame, candidate: DataFrame, claims: DataFrame, on: tuple[str, ...] = ("category", "test_name")) -> DataFrame:
+    """Both runs' mean_ms by test, the baseline's over the candidate's, and whether it bears out the category's ``claims`` (category, claim)."""
+    a, b = (df.select(*on, F.col("mean_ms").alias(n)) for df, n in ((baseline, "baseline_ms"), (candidate, "candidate_ms")))
+    out = a.join(b, list(on)).join(claims, "category").withColumn("factor", F.try_divide("baseline_ms", "candidate_ms"))
+    return out.withColumn("validated", F.coalesce(claim_holds(F.col("factor"), F.col("claim")), F.lit(False)))
+
+
+def claims_by_category(compared: DataFrame) -> DataFrame:
+    """(category, n_tests, passed): a category passes if all its tests do."""
+    return compared.groupBy("category").agg(F.count("*").alias("n_tests"), F.every("validated").alias("passed"))
+
+
+def histogram_quantile(buckets: DataFrame, q: float, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, quantile) of cumulative counts (keys, le, n), linear within a bucket.
+
+    The last bucket, of no bound, gives the bound before it; the first begins at 0, unless its bound is 0 or less,
+    which it then gives.  Null without counts or without a last bucket of no bound.
+    """
+    order = Window.partitionBy(*keys).orderBy("le")
+    last = Window.partitionBy(*keys)
+    b = buckets.withColumn("low", F.coalesce(F.lag("le").over(order), F.lit(0.0))).withColumn("below", F.coalesce(F.lag("n").over(order), F.lit(0)))
+    b = b.withColumn("rank", F.max("n").over(last) * q).withColumn("top", F.max("le").over(last)).withColumn("first", F.row_number().over(order) == 1)
+    inside = F.when(F.col("le") == float("inf"), F.col("low")).when(F.col("first") & (F.col("le") <= 0), F.col("le")).otherwise(F.col("low") + (F.col("le") - F.col("low")) * (F.col("rank") - F.col("below")) / (F.col("n") - F.col("below")))
+    hit = F.when((F.col("top") == float("inf")) & (F.col("n") > 0) & (F.col("n") >= F.col("rank")), F.struct("le", inside.alias("v")))
+    return b.groupBy(*keys).agg(F.min(hit).alias("x")).select(*keys, F.col("x.v").alias("quantile"))
+
+
 def softmax(logits: Column) -> Column:
     """Shifted by the greatest; all equal if nothing is left of the sum."""
     top = F.array_max(logits)

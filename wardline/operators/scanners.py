@@ -36,6 +36,8 @@ def _escaped(phrase: str) -> str:
 
 def ban_substrings(text: Column, phrases: list[str], whole_words: bool = False, mark: str = "*") -> Verdict:
     """Case-blind literals; whole words have no letter or digit beside them.  sanitized: each replaced by as many marks."""
+    if not phrases:
+        return {"matches_count": F.when(text.isNotNull(), F.lit(0)), "sanitized": text} | _binary(F.lit(False))
     around = (r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])") if whole_words else ("", "")
     one = lambda p: f"(?i){around[0]}{_escaped(p)}{around[1]}"
     n = F.regexp_count(text, F.lit(f"(?i){around[0]}(?:{'|'.join(map(_escaped, sorted(phrases, key=len)))}){around[1]}"))
@@ -45,6 +47,8 @@ def ban_substrings(text: Column, phrases: list[str], whole_words: bool = False,
 
 def ban_competitors(text: Column, names: list[str], mark: str = "[COMPETITOR]") -> Verdict:
     out = ban_substrings(text, names, whole_words=True)
+    if not names:
+        return out
     pattern = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(map(_escaped, names)) + r")(?![\p{L}\p{N}])"
     return out | {"sanitized": F.regexp_replace(text, pattern, mark)}
 
@@ -151,7 +155,7 @@ def prompt_injection(text: Column, threshold: float = 0.7) -> Verdict:
     def measured(b):
         low, t = b.low, b.t
         fence = ((has(low, "```") | has(low, "---") | has(low, "===")) & (has(low, "ignore") | has(low, "system"))).cast("int")
-        spread = (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) > 10) | ((F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))) / F.octet_length(t) > 0.5)
+        spread = (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) > 10) | ((F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))) / F.greatest(F.octet_length(t), F.lit(1)) > 0.5)
         return F.struct(*(hits(low, p).alias(f"h{i}") for i, (p, _) in enumerate(families)), fence.alias("fence"), spread.alias("spread"))
 
     def judged(x):

@@ -11,9 +11,10 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import patterns as P
@@ -68,6 +69,7 @@ def leftmost(spans: list[tuple]) -> list[tuple]:
 
 
 def surest(spans: list[tuple]) -> list[tuple]:
+    """What :func:`resolve_overlaps` keeps, for spans as tuples."""
     out: list[tuple] = []
     for s in sorted(spans, key=lambda s: s[3]):
         if out and s[3] < out[-1][4]:
@@ -78,6 +80,20 @@ def surest(spans: list[tuple]) -> list[tuple]:
     return out
 
 
+def resolve_overlaps(spans: Column) -> Column:
+    """An array of spans by start, each overlapping one giving way to a surer one; of equally sure ones the earlier stays."""
+    by_start = F.array_sort(spans, lambda a, b: F.when(a.start < b.start, -1).when(a.start > b.start, 1).otherwise(0))
+    none = F.filter(spans, lambda s: F.lit(False))
+
+    def step(kept, s):
+        last = F.try_element_at(kept, F.lit(-1))
+        apart = F.size(kept) == 0
+        rest = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(apart | (s.start >= last.end), F.concat(kept, F.array(s))).when(s.confidence > last.confidence, F.concat(rest, F.array(s))).otherwise(kept)
+
+    return F.aggregate(by_start, none, step)
+
+
 def spans_udf(rules: list[Rule], settle: Callable | None = leftmost, least: float = 0.0):
     """text -> array of spans.  Patterns are ASCII in their classes, as the catalogs mean them."""
 
@@ -209,20 +225,35 @@ def entities(text: Column) -> Column:
     return spans_udf(ENTITIES, surest)(text)
 
 
-def anonymise(df: DataFrame, session: str, text: str = "text", ttl_seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
-    """(``df`` with anonymised, mapping rows).  Placeholders are [KIND_n], n counting a session text's entities of a kind from 1.
+def anonymise(df: DataFrame, session: str, text: str = "text", ttl_seconds: int = 3600, order: tuple[str, ...] = (), now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with anonymised, mapping rows).  Placeholders are [KIND_n], n counting a session's entities of a kind from 1.
 
-    Mapping: session_id, placeholder, entity_type, original_value, confidence, ttl_seconds, and the text's row.
+    A session's texts follow one another by the columns of ``order`` and then by a hash of the text; rows that agree
+    in all of these are one text.  Mapping: session_id, placeholder, entity_type, original_value, confidence,
+    ttl_seconds, and with ``now`` expires_at.  A null session is a session.  Only counts are ordered, not texts.
     """
+    name, h, found, shift = "__s", "__h", "__e", "__o"
+    rows = df.withColumn(name, F.col(session)).withColumn(h, F.xxhash64(text)).withColumn(found, entities(F.col(text)))
+    keys = [name, *order, h]
+    kinds = rows.select(*keys, F.explode(F.col(f"{found}.kind")).alias("kind"))
+    # rows that agree are one text: their number divides the counts again
+    copies = rows.groupBy(*keys).agg(F.count("*").alias("copies"))
+    counts = kinds.groupBy(*keys, "kind").agg(F.count("*").alias("n"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = reduce(lambda x, y: x & y, same)
+    counts = counts.alias("a").join(copies.alias("b"), both).select(*(F.col(f"a.{k}") for k in keys), "kind", (F.col("n") / F.col("copies")).cast("long").alias("n"))
+    earlier = Window.partitionBy(name, "kind").orderBy(*order, h).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    shifts = shifts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("kind", "before"))).alias(shift))  # one entry a kind
 
     @F.pandas_udf("struct<text:string,mapping:array<struct<placeholder:string,entity_type:string,original_value:string,confidence:double>>>")
-    def run(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, found in zip(texts, spans):
+    def run(texts: pd.Series, spans: pd.Series, shifts: pd.Series) -> pd.DataFrame:
+        out_rows = []
+        for t, found, before in zip(texts, spans, shifts):
             if t is None:
-                rows.append((None, []))
+                out_rows.append((None, []))
                 continue
-            numbers: dict[str, int] = {}
+            numbers: dict[str, int] = dict(before) if before is not None else {}
             out, at, mapping = [], 0, []
             for s in found if found is not None else ():
                 numbers[s["kind"]] = numbers.get(s["kind"], 0) + 1
@@ -230,27 +261,59 @@ def anonymise(df: DataFrame, session: str, text: str = "text", ttl_seconds: int
                 out += [t[at : s["start"]], mark]
                 at = s["end"]
                 mapping.append({"placeholder": mark, "entity_type": s["kind"], "original_value": s["value"], "confidence": s["confidence"]})
-            rows.append(("".join([*out, t[at:]]), mapping))
-        return pd.DataFrame(rows, columns=["text", "mapping"])
+            out_rows.append(("".join([*out, t[at:]]), mapping))
+        return pd.DataFrame(out_rows, columns=["text", "mapping"])
 
-    done = df.withColumn("__a", run(F.col(text), entities(F.col(text))))
-    mapping = done.select(F.col(session).alias("session_id"), F.explode("__a.mapping").alias("m")).select("session_id", "m.*", F.lit(ttl_seconds).alias("ttl_seconds"))
-    return done.withColumn("anonymised", F.col("__a.text")).drop("__a"), mapping
+    joined = rows.alias("a").join(shifts.alias("b"), both, "left").select(*(F.col(f"a.{c}") for c in df.columns), F.col(f"a.{name}").alias(name), F.col(f"a.{found}").alias(found), shift)
+    done = joined.withColumn("__a", run(F.col(text), F.col(found), F.col(shift)))
+    mapping = done.select(F.col(name).alias("session_id"), F.explode("__a.mapping").alias("m")).select("session_id", "m.*", F.lit(ttl_seconds).alias("ttl_seconds")).distinct()
+    if now is not None:
+        mapping = mapping.withColumn("expires_at", now + F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    return done.select(*df.columns, F.col("__a.text").alias("anonymised")), mapping
 
 
 def deanonymise(df: DataFrame, mapping: DataFrame, session: str, text: str = "anonymised") -> DataFrame:
-    """``df`` with restored: placeholders of the row's session replaced by what they stand for."""
-    by = mapping.groupBy(F.col("session_id").alias("__s")).agg(F.collect_set(F.struct("placeholder", "original_value")).alias("__m"))
+    """``df`` with restored: placeholders of the row's session replaced by what they stand for; unknown ones stay.
+
+    A mapping that gives one placeholder of a session two values is an error.  Each text meets the placeholders
+    that it holds, not all of its session's.
+    """
+    mark = r"\[[A-Z_]+_[0-9]+\]"
+    one = mapping.groupBy(F.col("session_id").alias("__s"), F.col("placeholder").alias("__p")).agg(F.min("original_value").alias("__v"), F.max("original_value").alias("__w"))
+    wrong = F.concat(F.lit("two values of "), F.col("__p"))
+    one = one.select("__s", "__p", F.when(F.col("__v") == F.col("__w"), F.col("__v")).otherwise(F.raise_error(wrong)).alias("__v"))
+    keyed = df.withColumn("__h", F.xxhash64(text))
+    held = keyed.select(F.col(session).alias("__t"), "__h", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(mark), F.lit(0)))).alias("__q")).distinct()
+    known = held.join(one, F.col("__t").eqNullSafe(F.col("__s")) & (F.col("__q") == F.col("__p"))).groupBy("__t", "__h").agg(F.collect_list(F.struct("__q", "__v")).alias("__m")).withColumnRenamed("__h", "__g")
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, maps: pd.Series) -> pd.Series:
         def one(text, m):
-            known = {x["placeholder"]: x["original_value"] for x in (m if m is not None else ())}
-            return None if text is None else re.sub(r"\[[A-Z_]+_\d+\]", lambda k: known.get(k.group(), k.group()), text)
+            known = {x["__q"]: x["__v"] for x in (m if m is not None else ())}
+            return None if text is None else re.sub(mark, lambda k: known.get(k.group(), k.group()), text)
 
         return pd.Series([one(t, m) for t, m in zip(texts, maps)])
 
-    return df.join(by, F.col(session) == F.col("__s"), "left").withColumn("restored", run(F.col(text), F.col("__m"))).drop("__s", "__m")
+    joined = keyed.join(known, F.col(session).eqNullSafe(F.col("__t")) & (F.col("__h") == F.col("__g")), "left")
+    return joined.withColumn("restored", run(F.col(text), F.col("__m"))).select(*df.columns, "restored")
+
+
+def shown_session(session: Column) -> Column:
+    """A session's name as audit rows show it: its first 8 characters, of a name of 8 or less the first 4."""
+    return F.concat(F.when(F.length(session) <= 8, F.substring(session, 1, 4)).otherwise(F.substring(session, 1, 8)), F.lit("****"))
+
+
+def audit_rows(mapping: DataFrame, now: Column | None = None) -> DataFrame:
+    """(event_type, session, entity_type, n) of an anonymisation: its start with the number of entities, each kind stored,
+    its end, and with ``now`` the mappings of each session that have expired.  Names are cut, values never shown."""
+    s = F.col("session_id").cast("string")
+    per = mapping.groupBy(s.alias("s")).agg(F.count("*").alias("n"))
+    row = lambda df, event, kind: df.select(F.lit(event).alias("event_type"), shown_session(F.col("s")).alias("session"), kind.cast("string").alias("entity_type"), "n")
+    out = row(per, "anonymize_start", F.lit(None)).unionByName(row(per, "anonymize_complete", F.lit(None)))
+    out = out.unionByName(row(mapping.groupBy(s.alias("s"), "entity_type").agg(F.count("*").alias("n")), "vault_store", F.col("entity_type")))
+    if now is not None:
+        out = out.unionByName(row(mapping.filter(F.col("expires_at") < now).groupBy(s.alias("s")).agg(F.count("*").alias("n")), "vault_expire", F.lit(None)))
+    return out
 
 
 def decode_bio(tokens: DataFrame, least: float = 0.85) -> DataFrame:
@@ -259,8 +322,6 @@ def decode_bio(tokens: DataFrame, least: float = 0.85) -> DataFrame:
     B begins an entity, I goes on with one of its kind or begins one, O ends it; tokens of no width are skipped.
     Gaps and islands over each document's positions.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("doc_id").orderBy("pos")
     t = tokens.filter("end > start").withColumn("kind", F.when(F.col("label") != "O", F.substring("label", 3, 100)))
     t = t.withColumn("begins", F.col("kind").isNotNull() & (F.col("label").startswith("B-") | F.coalesce(F.lag("kind").over(order) != F.col("kind"), F.lit(True))))

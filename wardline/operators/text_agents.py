@@ -9,7 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalog import lexicon as L
+from ..catalog import patterns as P
 from ..functions.text import EPSILON
+from . import spans
+from .detectors import ABUSE_WEIGHT
 from .scanners import CODE_PATTERNS
 from .spans import SPANS
 
@@ -105,3 +108,16 @@ def code_risk(text: Column) -> Column:
         return pd.DataFrame([one(t) for t in texts], columns=["n", "risk_score"])
 
     return find(text)
+
+
+def abuse_risk(text: Column, threshold: float = 0.7, sensitivity: float = 0.5) -> Column:
+    """struct(n, risk_score, severity) of model abuse: of overlapping matches the first stands, or a surer one that overlaps it."""
+    rules = [spans.Rule(i, p, min(1.0, c + (sensitivity - 0.5) * 0.2), k, s) for i, k, s, c, p in P.ABUSE if min(1.0, max(0.0, c + (sensitivity - 0.5) * 0.2)) >= threshold - EPSILON]
+    found = spans.spans_udf(rules, spans.surest)(text)
+    load = lambda x: F.aggregate(x, F.lit(0.0), lambda a, m: a + F.try_element_at(weight, m.severity) * m.confidence)
+    weight = F.create_map(*[F.lit(v) for kv in ABUSE_WEIGHT.items() for v in kv])
+    severity = F
+    kinds = F.transform(found, lambda m: m.severity)
+    for name in ("critical", "high", "medium", "low"):
+        severity = severity.when(F.array_contains(kinds, name), name)
+    return F.struct(F.size(found).alias("n"), F.least(F.lit(1.0), F.round(load(found), 2)).alias("risk_score"), severity.otherwise("none").alias("severity"))

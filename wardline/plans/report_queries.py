@@ -10,7 +10,6 @@ from ..catalog import patterns as P
 from ..functions.text import RISK_BANDS, count
 from ..operators import detectors, metrics, scanners, spans, text_agents
 from ..operators.pipeline import Guard, allow_block, apply_policy, combine, result, short_circuit
-from ..sources import lines
 from . import detect_queries, scan_oracles
 from .scan_oracles import docs, n_of, q
 from .scan_queries import R, table, turns
@@ -23,9 +22,13 @@ def _docs(spark: SparkSession, sf_dir: str, family: str | None, *more: str) -> D
 
 
 
+#: Words of the test tables' prose, and its languages.
+OPTIONS = {"ban_substrings": {"phrases": ("thtion", "quemente")}, "ban_competitors": {"names": ("stea",)}, "language": {"allowed": ("en", "de", "fr", "es")}}
+
+
 def _preset(name: str, output: bool = False, stop: bool = True):
     def query(spark, sf_dir):
-        guard = Guard.preset(name, output)
+        guard = Guard.preset(name, output, OPTIONS)
         out = (guard if stop else guard.short_circuit(None)).scan(_docs(spark, sf_dir, "toxicity"))
         return out.select("doc_id", F.col("n_results").cast("long").alias("n_results"), R(F.col("risk_score")).alias("risk_score"), "is_valid", "severity")
 
@@ -63,8 +66,8 @@ def report_category_severity(spark, sf_dir):
     d = _docs(spark, sf_dir, "secrets")
     sums = d.agg(*[F.sum(count(F.col("text"), r[-1])).alias(f"c{i}") for i, r in enumerate(P.SECRETS)])
     rows = sums.select(F.explode(F.array(*[F.struct(F.lit(r[1]).alias("category"), F.lit(r[2]).alias("severity"), F.col(f"c{i}").alias("n")) for i, r in enumerate(P.SECRETS)])).alias("x")).select("x.*").filter("n > 0")
-    rows.createOrReplaceTempView("wardline_secret_counts")
-    return spark.sql("SELECT category, severity, sum(n) AS n FROM wardline_secret_counts GROUP BY GROUPING SETS ((category, severity), (category), (severity), ())")
+    c, s = F.col("category"), F.col("severity")
+    return rows.groupingSets([[c, s], [c], [s], []], c, s).agg(F.sum("n").alias("n"))
 
 
 def report_accuracy(spark, sf_dir):
@@ -131,13 +134,7 @@ def sql_functions(spark, sf_dir):
     from ..functions.sql import register
 
     register(spark)
-    _docs(spark, sf_dir, "toxicity").createOrReplaceTempView("wardline_documents")
-    return spark.sql("SELECT doc_id, guard_tokens(text) AS tokens, guard_insults(text) AS insults, guard_words(text) AS words FROM wardline_documents")
-
-
-def source_lines(spark, sf_dir):
-    found = lines.scan_lines(_docs(spark, sf_dir, "secrets").select(F.col("doc_id").cast("string").alias("file"), "text"))
-    return found.groupBy("category", "type", "severity").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"), F.max("line").cast("long").alias("last_line"))
+    return spark.sql("SELECT doc_id, guard_tokens(text) AS tokens, guard_insults(text) AS insults, guard_words(text) AS words FROM {docs}", docs=_docs(spark, sf_dir, "toxicity"))
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -265,7 +262,7 @@ def pipe_short_circuit(spark, sf_dir):
 
 
 _NAMES = """pipe_policy pipe_allow_block pipe_prompt_output pipe_combine pipe_short_circuit report_lang_risk report_category_severity report_accuracy
-anon_mask_columns anon_placeholders anon_roundtrip anon_regex_counts detect_pii detect_toxicity scan_ban_code sql_functions source_lines metric_1min metric_sliding_rate metric_session metric_index_percentiles
+anon_mask_columns anon_placeholders anon_roundtrip anon_regex_counts detect_pii detect_toxicity scan_ban_code sql_functions metric_1min metric_sliding_rate metric_session metric_index_percentiles
 metric_alert_eval metric_retention metric_quota_calendar metric_quota_anchored metric_token_bucket metric_concurrency metric_scanner_stats detect_behaviour ml_softmax
 ml_sigmoid_violations cache_dedupe decision_events vault_live_sessions vault_cleanup point_lookup""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
