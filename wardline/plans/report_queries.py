@@ -134,7 +134,7 @@ def sql_functions(spark, sf_dir):
     from ..functions.sql import register
 
     register(spark)
-    return spark.sql("SELECT doc_id, guard_tokens(text) AS tokens, guard_insults(text) AS insults, guard_words(text) AS words FROM {docs}", docs=_docs(spark, sf_dir, "toxicity"))
+    return spark.sql("SELECT doc_id, guard_tokens(text) AS tokens, guard_insults(text) AS insults, guard_words(text) AS words, guard_hate(text) AS hate, guard_hedges(text) AS hedges, guard_sentences(text) AS sentences, guard_reading_seconds(text) AS seconds, guard_mask(left(text, 20)) AS masked, guard_cache_key(text) AS cache_key FROM {docs}", docs=_docs(spark, sf_dir, "toxicity"))
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -320,7 +320,7 @@ ORACLES = {
     "pipe_prompt_output": f"WITH a AS ({_turn_secrets}), b AS ({_turn_invisible}), c AS ({_turn_sensitive}) SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, greatest(a.risk_score, b.risk_score) AS prompt_risk, a.risk_score < 0.5 AND b.is_valid AS prompt_valid, c.risk_score AS output_risk, c.is_valid AS output_valid FROM a JOIN b USING (doc_id) JOIN c USING (doc_id)",
     "report_category_severity": f"WITH {docs('secrets')}, c AS (SELECT * FROM ({_sets}) WHERE n > 0) SELECT category, severity, sum(n)::BIGINT AS n FROM c GROUP BY GROUPING SETS ((category, severity), (category), (severity), ())",
     "report_accuracy": "WITH s AS (" + _S["scan_toxicity_unseeded"] + "), c AS (SELECT count(*) FILTER (toxic = 1 AND NOT is_valid) AS tp, count(*) FILTER (toxic <> 1 AND NOT is_valid) AS fp, count(*) FILTER (toxic <> 1 AND is_valid) AS tn, count(*) FILTER (toxic = 1 AND is_valid) AS fn FROM labels JOIN s USING (doc_id) WHERE toxic IS NOT NULL), r AS (SELECT *, coalesce((tp + tn)::DOUBLE / nullif(tp + fp + tn + fn, 0), 0) AS a, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS k FROM c) SELECT tp, fp, tn, fn, round(a, 6) AS accuracy, round(p, 6) AS precision, round(k, 6) AS recall, round(coalesce(2 * p * k / nullif(p + k, 0), 0), 6) AS f1 FROM r",
-    "sql_functions": f"WITH {docs('toxicity')} SELECT doc_id, ceil(strlen(text) / 4.0)::BIGINT AS tokens, {scan_oracles.hits(lexicon.TOXICITY_INSULTS)} AS insults, len({scan_oracles.WORDS}) AS words FROM d",
+    "sql_functions": f"WITH {docs('toxicity')} SELECT doc_id, ceil(strlen(text) / 4.0)::BIGINT AS tokens, {scan_oracles.hits(lexicon.TOXICITY_INSULTS)} AS insults, len({scan_oracles.WORDS}) AS words, {scan_oracles.hits(lexicon.TOXICITY_IDENTITY_HATE)} AS hate, {scan_oracles.hits(lexicon.FACTUALITY_HEDGING + lexicon.FACTUALITY_SPECULATION + lexicon.FACTUALITY_UNCERTAINTY)} AS hedges, greatest({n_of('[.!?]')}, 1) AS sentences, floor(len({scan_oracles.WORDS}) / 200.0::DOUBLE * 60)::BIGINT AS seconds, CASE WHEN length(text) <= 8 THEN repeat('*', length(text)) ELSE left(text, 4) || repeat('*', least(length(text), 20) - 8) || right(left(text, 20), 4) END AS masked, sha256(text) AS cache_key FROM d",
     "anon_mask_columns": f"WITH {docs('secrets')} SELECT doc_id, {' + '.join(n_of(r[-1]) for r in SIMPLE)} AS n, sha256({_mask}) AS redacted_hash FROM d",
     "anon_roundtrip": "SELECT doc_id, true AS equal FROM documents",
     "anon_regex_counts": f"WITH {docs('pii')} SELECT doc_id, {', '.join(f'{n_of(r.pattern)} AS n_{r.kind.lower()}' for r in spans.ENTITIES if r.valid is None)}, {scan_oracles.IPS} AS n_ip_address FROM d",
