@@ -18,6 +18,8 @@ from .common import Words, bytes_buffer, compressed, expanded, grams, mix, parti
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text of a block, and n-grams of a bucket, about.  Numbers of both follow from the corpus.
 BLOCK_BYTES, BUCKET_GRAMS = 6_000_000, 1_500_000
+#: Tasks of an exchange at most; up to that number each holds a block or a bucket or few.
+TASKS = 100_000
 #: Bits of a hash that tell n-grams of one bucket apart, after those that name the bucket.
 KEY_BITS = 48
 
@@ -201,17 +203,24 @@ def score_texts(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -
     A word's score is count(n-gram) / count(its history) for the longest n-gram that other rows hold, times
     ``backoff`` for each word of history given up; for a lone word (count + 1) / (words + 1).  Counts are over
     all rows but the scored one.  log_score sums natural logs, lm_score is their mean, n_top counts words with
-    the full order.  A null or wordless text has null scores.  Rows with one id are scored on their own.
+    the full order.  A null or wordless text has null scores.  Rows with one id are scored on their own, and so is
+    each repeated row, which the others' counts hold.  A long text makes a block of its own size; other columns
+    are not read.
+
+    A block sends a row for each bucket that it meets, so a row holds BLOCK_BYTES / corpus of a bucket: some hundred
+    n-grams up to about a hundred gigabytes, one n-gram in the end.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     said = base.select("text").mapInArrow(_sizes, "bytes long, words long").agg(F.sum("bytes").alias("b"), F.sum("words").alias("w")).first()
     blocks_n, words = max(1, -(-(said["b"] or 0) // BLOCK_BYTES)), said["w"] or 0
     buckets = max(1, -(-words * order // BUCKET_GRAMS))
-    n = partitions_for(docs)
-    keyed = base.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks_n)).alias("block"), "text")
+    n, m = (max(partitions_for(docs), min(k, TASKS)) for k in (blocks_n, buckets))
+    # rows that agree in all go to several blocks by their place in the input
+    place = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
+    keyed = base.select("doc_id", F.pmod(place, F.lit(blocks_n)).alias("block"), "text")
     blocks = compressed(keyed).repartition(n, "block")
     # all columns, as below: one exchange of the texts serves both
     sent = blocks.sortWithinPartitions("block").mapInArrow(_explode(order, buckets), "n long, bucket long, block long, keys binary, counts binary")
-    totals = sent.repartition(n, "n", "bucket").sortWithinPartitions("n", "bucket").mapInArrow(_total, "block long, n long, bucket long, totals binary")
+    totals = sent.repartition(m, "n", "bucket").sortWithinPartitions("n", "bucket").mapInArrow(_total, "block long, n long, bucket long, totals binary")
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(order, buckets, backoff, words), "doc_id long, n_words long, n_top long, log_score double, lm_score double")
