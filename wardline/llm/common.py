@@ -218,12 +218,31 @@ def partitions_for(df: DataFrame) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one key from which a join deals them to several places.
+HOT_ROWS = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, by: str, many: str) -> DataFrame:
+    """Inner join on ``key``, one row of ``right`` a key, however many rows of ``left`` share one.
+
+    ``many`` is the column of ``right`` that counts them; it goes.  Rows of a key with more than HOT_ROWS are dealt
+    by a hash of their column ``by``, and the key's row goes to every place.
+    """
+    places = partitions_for(left)
+    rest = [c for c in right.columns if c not in (key, many)]
+    (place,) = fresh(left, "place")
+    hot = right.filter(F.col(many) > HOT_ROWS).select(key, *rest, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))).alias(place))
+    dealt = left.withColumn(place, F.pmod(F.xxhash64(by, key), F.lit(places))).join(hot, [key, place], "left")
+    cold = dealt.filter(F.col(rest[0]).isNull()).select(*left.columns).join(right.filter(F.col(many) <= HOT_ROWS).drop(many), key)
+    return dealt.filter(F.col(rest[0]).isNotNull()).select(*left.columns, *rest).unionByName(cold)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges`` (a long, b long) -> (id, component): the smallest id reachable, for every id on an edge.
 
     Large-star and small-star rounds by joins and map-side combined minima; every round is a table in the
-    shared folder.  Self loops, repeated edges and nulls are allowed and change nothing.  A hub's edges, two
-    longs each, meet in one partition of a sort-merge join, which adaptive execution splits when it is large.
+    shared folder.  Self loops, repeated edges and nulls are allowed and change nothing.  A hub's edges are dealt
+    to several tasks.
     """
     now = materialize(
         edges.filter("a is not null and b is not null and a <> b")
@@ -233,14 +252,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
+        large = join_hot(both.filter("v > u"), low, "u", "v", "c").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        hung = join_hot(large, low, "u", "v", "c")
         small = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         then = materialize(small)
         said = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        forget(now)
+        forget(now, large)
         now = then
         if tuple(said) == mark:
             break

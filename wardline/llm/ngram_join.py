@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, forget, grams, materialize, mix, partitions_for, slices, small_batches, string_buffer, to_long
+from .common import Words, connected_components, forget, grams, join_hot, materialize, mix, partitions_for, slices, small_batches, string_buffer, to_long
 
 #: Rows and n-grams of one tile of the product.
 TILE_ROWS, TILE_GRAMS = 1024, 2_000_000
@@ -448,7 +448,10 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col:
     stars = materialize(_tiles(rows).repartition(parts, "sig", "tile").sortWithinPartitions("sig", "tile").mapInArrow(_clusters(num, den), "a long, b long"))
     pairs = near.union(stars).distinct()
     rep = nodes.filter("id is not null").groupBy("id").agg(F.min("rep").alias("rep"))
-    pairs = pairs.join(rep.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    pairs = materialize(pairs)
+    for side, other in (("a", "b"), ("b", "a")):  # ids give way to the classes' smallest ones
+        met_by = rep.join(pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("c")), "id").select(F.col("id").alias(side), "rep", "c")
+        pairs = join_hot(pairs, met_by, side, other, "c").drop(side).withColumnRenamed("rep", side)
     groups = materialize(connected_components(pairs))
     forget(met, rows, stars)
 
