@@ -26,7 +26,7 @@ WINDOW, GRAM = 35, 12
 #: Runs of one hash that wait for a second one; more go on at once.
 WAITING = 20_000
 #: Words of the distinct runs of a shard that one automaton takes.
-SHARD_WORDS = 150_000
+SHARD_WORDS = 30_000
 #: Copies of a run, within a task of the sort, that learn in one place what their shard says.
 PORTION = 1000
 
