@@ -75,6 +75,29 @@ def test_ngram_join(spark, monkeypatch, k, num, den):
     same([tuple(r) for r in got], want)
 
 
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_components(spark, monkeypatch, hot):
+    """Chains, stars, cycles, loops, repeats and nulls, with hubs dealt out and without."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rng = random.Random(37)
+    edges = [(i, i + 1) for i in range(100, 130)] + [(500, i) for i in range(501, 560)] + [(900, 901), (901, 902), (902, 900), (7, 7), (None, 3), (3, None)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)]
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for i in sorted(near):
+        if i not in want:
+            edge = [i]
+            while edge:
+                j = edge.pop()
+                if want.setdefault(j, i) == i:
+                    edge += [x for x in near[j] if x not in want]
+    got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.id: r.component for r in got} == want and len(got) == len(want)
+
+
 def test_ngram_join_hot_blocks(spark, monkeypatch):
     """Blocks with more sets than are taken pair by pair, in several segments."""
     monkeypatch.setattr(ngram_join, "FEW", 2)
@@ -113,7 +136,7 @@ def test_substrings(spark, monkeypatch, window):
             kept = " ".join(x for j, x in enumerate(w) if j not in gone)
             yield i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()
 
-    for most, portion in ((150_000, 1000), (100, 1)):  # with large shards dealt out again, and copies in portions
+    for most, portion in ((30_000, 1000), (100, 1)):  # with large shards dealt out again, and copies in portions
         monkeypatch.setattr(substrings, "SHARD_WORDS", most)
         monkeypatch.setattr(substrings, "PORTION", portion)
         same([tuple(r) for r in substrings.dedup_substrings(frame(spark, rows), window, 3).collect()], list(want()))
