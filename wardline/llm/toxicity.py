@@ -229,8 +229,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     small_batches(docs.sparkSession)
     characters = character_model(docs)
     chosen = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("text", "toxic").filter("text is not null").distinct()
-    sample = materialize(labelled.orderBy(F.xxhash64("text"), "toxic").limit(fit_rows))
+    labelled = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("text", "toxic").filter("text is not null").distinct().withColumn("k", F.xxhash64("text", "toxic")))
+    first = labelled.select("k").distinct().orderBy("k").limit(fit_rows)
+    sample = labelled.join(F.broadcast(first), "k", "left_semi").select("text", "toxic")
 
     def words_of(text, decoder):
         tokens = text.lower().split()
@@ -272,7 +273,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
 
     rows = np.array([r["x"] for r in sample.mapInArrow(inputs, "x array<double>").collect()]).reshape(-1, SINGLE + 4)
-    forget(sample)
+    forget(labelled)
     return ToxicityModel(characters, evidence, _logistic(rows[:, 1:], rows[:, 0]))
 
 
