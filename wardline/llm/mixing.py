@@ -20,7 +20,7 @@ from .common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source that one key range holds at most, about.
-RANGE_ROWS = 10_000
+RANGE_ROWS = 1000
 #: Weight of a text without letters, and in general the least.
 LEAST_QUALITY = 0.05
 
