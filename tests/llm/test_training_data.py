@@ -154,7 +154,9 @@ def test_suffix_automaton():
         assert [x.tolist() for x in substrings.repeated(runs, times, 5)] == [[count[tuple(r[i : i + 5])] > 1 for i in range(len(r) - 4)] for r in runs]
 
 
-def test_lm_scores(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [3000, 3])
+def test_lm_scores(spark, monkeypatch, blocks):
+    monkeypatch.setattr(lm, "PART_BLOCKS", blocks)
     monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(lm, "BUCKET_GRAMS", 500)
     rows = corpus(5)

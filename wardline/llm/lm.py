@@ -1,9 +1,9 @@
 """Stupid-backoff language model scores, computed relationally.
 
 Texts are dealt to blocks.  Each block explodes into its distinct n-grams, a column of hashes with counts for
-each bucket of the hash.  A bucket sums its n-grams over all blocks and returns the totals, aligned with what
-each block sent; a block joined with its totals scores its texts.  A common n-gram is one entry of a block,
-however often it stands there, so no bucket is hot.
+each bucket of the hash.  A bucket sums its n-grams over a part's blocks, a finer bucket those sums over all parts,
+and the totals go back the same way, aligned with what each sent; a block joined with its totals scores its texts.
+A common n-gram is one entry of a block and then one of a part, however often it stands there, so no bucket is hot.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from .common import Words, bytes_buffer, compressed, expanded, grams, mix, parti
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text of a block, and n-grams of a bucket, about.  Numbers of both follow from the corpus.
 BLOCK_BYTES, BUCKET_GRAMS = 6_000_000, 1_500_000
+#: Blocks whose n-grams are summed at once.  A larger corpus is so many parts, whose sums are summed by as many finer buckets.
+PART_BLOCKS = 3000
 #: Tasks of an exchange at most; up to that number each holds a block or a bucket or few.
 TASKS = 100_000
 #: Bits of a hash that tell n-grams of one bucket apart, after those that name the bucket.
@@ -121,27 +123,78 @@ def _explode(order: int, buckets: int):
     return run
 
 
-def _total(batches):
-    """Rows by (n, bucket): the corpus counts of the n-grams that each block sent, in their order."""
+def _by_key(batches):
+    """(key, rows of the other columns) of rows that are sorted by their first three columns, the key."""
     key, rows = None, []
-
-    def done():
-        keys = [_unpack(r[1]) for r in rows]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(at.max(initial=-1) + 1, np.int64)
-        np.add.at(total, at, np.concatenate([_unpack_counts(r[2]) for r in rows]))
-        parts = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([key[0]] * len(rows), pa.int64()), pa.array([key[1]] * len(rows), pa.int64()), pa.array([_pack_counts(p) for p in parts], pa.binary())], ["block", "n", "bucket", "totals"])
-
     for batch in batches:
-        for n, bucket, block, keys, counts in zip(*(batch.column(j).to_pylist() for j in range(5))):
-            if (n, bucket) != key:
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if r[:3] != key:
                 if rows:
-                    yield done()
-                key, rows = (n, bucket), []
-            rows.append((block, keys, counts))
+                    yield key, rows
+                key, rows = r[:3], []
+            rows.append(r[3:])
     if rows:
-        yield done()
+        yield key, rows
+
+
+def _distinct(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, place of each key among them, where each sender's keys after the first's begin)."""
+    lists = [_unpack(k) for k in keys]
+    distinct, at = np.unique(np.concatenate(lists), return_inverse=True)
+    return distinct, at, np.cumsum([len(x) for x in lists])[:-1]
+
+
+def _summed(at: np.ndarray, size: int, counts: list[bytes]) -> np.ndarray:
+    total = np.zeros(size, np.int64)
+    np.add.at(total, at, np.concatenate([_unpack_counts(c) for c in counts]))
+    return total
+
+
+def _total(names: list[str]):
+    """Rows (key, sender, keys, counts) by key: the sums over all of a key's senders, to each in the order of its own keys."""
+
+    def run(batches):
+        for key, rows in _by_key(batches):
+            senders, keys, counts = zip(*rows)
+            distinct, at, cuts = _distinct(keys)
+            told = np.split(_summed(at, len(distinct), counts)[at], cuts)
+            yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(rows), pa.int64()) for k in key), pa.array(senders, pa.int64()), pa.array([_pack_counts(t) for t in told], pa.binary())], [*names, "totals"])
+
+    return run
+
+
+def _merge(fine: int):
+    """Rows (n, bucket, part, block, keys, counts) by part: its distinct keys with their sums, a row for each fine bucket."""
+
+    def run(batches):
+        for (n, bucket, part), rows in _by_key(batches):
+            _, keys, counts = zip(*rows)
+            distinct, at, _ = _distinct(keys)
+            total = _summed(at, len(distinct), counts)
+            # 16 bits less, so that the product stays within 64
+            some, first = np.unique(((distinct >> np.uint64(16)) * np.uint64(fine)) >> np.uint64(KEY_BITS - 16), return_index=True)
+            ends = [*first, len(distinct)]
+            each = list(zip(ends, ends[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([n] * len(some), pa.int64()),
+                    pa.array([bucket] * len(some), pa.int64()),
+                    pa.array(some.astype(np.int64)),
+                    pa.array([part] * len(some), pa.int64()),
+                    pa.array([_pack(distinct[x:y]) for x, y in each], pa.binary()),
+                    pa.array([_pack_counts(total[x:y]) for x, y in each], pa.binary()),
+                ],
+                ["n", "bucket", "fine", "part", "keys", "counts"],
+            )
+
+    return run
+
+
+def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A part's blocks with the corpus counts of its distinct keys, which come by fine bucket: the counts that each block asked for."""
+    _, at, cuts = _distinct(left.column("keys").to_pylist())
+    total = np.concatenate([_unpack_counts(t) for t in right.sort_by("fine").column("totals").to_pylist()])
+    return pa.table({"block": left.column("block"), "n": left.column("n"), "bucket": left.column("bucket"), "totals": pa.array([_pack_counts(t) for t in np.split(total[at], cuts)], pa.binary())})
 
 
 def _own(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -207,20 +260,31 @@ def score_texts(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -
     each repeated row, which the others' counts hold.  A long text makes a block of its own size; other columns
     are not read.
 
-    A block sends a row for each bucket that it meets, so a row holds BLOCK_BYTES / corpus of a bucket: some hundred
-    n-grams up to about a hundred gigabytes, one n-gram in the end.
+    A block sends a row for each bucket that it meets, and a part a row for each finer bucket.  Buckets grow in number
+    with a part, up to PART_BLOCKS blocks, and finer ones with the parts, so a row holds some hundred n-grams at least
+    up to about a hundred terabytes, and a task the rows of PART_BLOCKS blocks or of all parts.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     said = base.select("text").mapInArrow(_sizes, "bytes long, words long").agg(F.sum("bytes").alias("b"), F.sum("words").alias("w")).first()
     blocks_n, words = max(1, -(-(said["b"] or 0) // BLOCK_BYTES)), said["w"] or 0
-    buckets = max(1, -(-words * order // BUCKET_GRAMS))
-    n, m = (max(partitions_for(docs), min(k, TASKS)) for k in (blocks_n, buckets))
+    parts = -(-blocks_n // PART_BLOCKS)
+    buckets = max(1, -(-words * order // (BUCKET_GRAMS * parts)))
+    n, m = (max(partitions_for(docs), min(k, TASKS)) for k in (blocks_n, buckets * parts))
     # rows that agree in all go to several blocks by their place in the input
     place = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
     keyed = base.select("doc_id", F.pmod(place, F.lit(blocks_n)).alias("block"), "text")
     blocks = compressed(keyed).repartition(n, "block")
     # all columns, as below: one exchange of the texts serves both
     sent = blocks.sortWithinPartitions("block").mapInArrow(_explode(order, buckets), "n long, bucket long, block long, keys binary, counts binary")
-    totals = sent.repartition(m, "n", "bucket").sortWithinPartitions("n", "bucket").mapInArrow(_total, "block long, n long, bucket long, totals binary")
+    by = ["n", "bucket", "part"]
+    sent = sent.select("n", "bucket", F.pmod("block", F.lit(parts)).alias("part"), "block", "keys", "counts").repartition(m, *by)
+    inward = sent.sortWithinPartitions(*by)
+    if parts == 1:
+        totals = inward.mapInArrow(_total([*by, "block"]), "n long, bucket long, part long, block long, totals binary").drop("part")
+    else:
+        over = ["n", "bucket", "fine"]
+        merged = inward.mapInArrow(_merge(parts), "n long, bucket long, fine long, part long, keys binary, counts binary").repartition(m, *over).sortWithinPartitions(*over)
+        sums = merged.mapInArrow(_total([*over, "part"]), "n long, bucket long, fine long, part long, totals binary")
+        totals = sent.groupBy(*by).cogroup(sums.groupBy(*by)).applyInArrow(_answer, "block long, n long, bucket long, totals binary")
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(order, buckets, backoff, words), "doc_id long, n_words long, n_top long, log_score double, lm_score double")
