@@ -19,7 +19,7 @@ ORDER, BACKOFF = 3, 0.4
 #: Bytes of text of a block, and n-grams of a bucket, about.  Numbers of both follow from the corpus.
 BLOCK_BYTES, BUCKET_GRAMS = 6_000_000, 1_500_000
 #: Blocks whose n-grams are summed at once.  A larger corpus is so many parts, whose sums are summed by as many finer buckets.
-PART_BLOCKS = 3000
+PART_BLOCKS = 8000
 #: Tasks of an exchange at most; up to that number each holds a block or a bucket or few.
 TASKS = 100_000
 #: Bits of a hash that tell n-grams of one bucket apart, after those that name the bucket.
@@ -261,8 +261,9 @@ def score_texts(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -
     are not read.
 
     A block sends a row for each bucket that it meets, and a part a row for each finer bucket.  Buckets grow in number
-    with a part, up to PART_BLOCKS blocks, and finer ones with the parts, so a row holds some hundred n-grams at least
-    up to about a hundred terabytes, and a task the rows of PART_BLOCKS blocks or of all parts.
+    with a part, up to PART_BLOCKS blocks, and finer ones with the parts, so a row holds some dozens of n-grams at
+    least up to about a hundred terabytes, and a task the rows of PART_BLOCKS blocks or of all parts.  The finer
+    buckets' exchange writes a part's distinct n-grams once more, about as much as its texts.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
