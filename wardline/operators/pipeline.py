@@ -52,10 +52,18 @@ def apply_policy(df: DataFrame, policies: DataFrame, key: str) -> DataFrame:
     return out.withColumn("risk_score", F.greatest("risk_score", F.coalesce("__adjust", F.lit(0.0)))).withColumn("is_valid", F.col("is_valid") & (F.coalesce("policy_action", F.lit("")) != "block")).drop("__adjust")
 
 
-def allow_block(text: Column, allowed: list[str] = (), blocked: list[str] = (), any_case: bool = True) -> dict[str, Column]:
-    t = F.lower(text) if any_case else text
-    one = lambda items: F.exists(F.array(*[F.lit(x.lower() if any_case else x) for x in items]), lambda x: F.contains(t, x)) if items else None
-    return {"allowed": one(allowed) if allowed else F.lit(True), "blocked": one(blocked) if blocked else F.lit(False)}
+def allow_block(text: Column, allowed: list = (), blocked: list = (), any_case: bool = True) -> dict[str, Column]:
+    """Whether a rule of each list stands in the text; a rule is a string, or a pair of it and whether any case will do.
+
+    ``any_case`` holds for plain strings.  An empty list allows all and blocks none.
+    """
+    low = F.lower(text)
+
+    def one(rules, empty: bool) -> Column:
+        found = [(r, any_case) if isinstance(r, str) else r for r in rules]
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x.lower())) if loose else F.contains(text, F.lit(x)) for x, loose in found]) if found else F.lit(empty)
+
+    return {"allowed": one(allowed, True), "blocked": one(blocked, False)}
 
 
 # Risk thresholds by scanner, the one of all others, and where a pipeline stops.
