@@ -174,7 +174,7 @@ def cache_trace(requests: DataFrame, size: int, ttl_seconds: float, cache: str =
     return requests.select("event_id", cache, key, "ts").repartition(cache).sortWithinPartitions(cache, "ts", "event_id").mapInPandas(run, f"event_id long, {cache} {kind}, hit boolean")
 
 
-def token_bucket(events: DataFrame, per_minute: int, burst: int | None = None, key: str = "user_id") -> DataFrame:
+def token_bucket(events: DataFrame, per_minute: float, burst: int | None = None, key: str = "user_id") -> DataFrame:
     """(event_id, key, allowed) under a leaky bucket: a request conforms unless it comes more than the burst ahead of its theoretical arrival."""
     gap, room = 60.0 / per_minute, 60.0 / per_minute * ((burst or per_minute) - 1)
 

@@ -184,7 +184,8 @@ def metric_quota_anchored(spark, sf_dir):
 
 
 def metric_token_bucket(spark, sf_dir):
-    return metrics.token_bucket(_events(spark, sf_dir), 60, 1).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("denied"))
+    """One request in six hours, two at once."""
+    return metrics.token_bucket(_events(spark, sf_dir), 1 / 360, 2).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("denied"))
 
 
 def metric_concurrency(spark, sf_dir):

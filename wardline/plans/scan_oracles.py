@@ -76,12 +76,25 @@ s AS (SELECT *, CASE WHEN z + m + k > 0 THEN least(1, 0.7::DOUBLE * (z + m + k)
 SELECT doc_id, z AS n_zero_width, m AS n_direction, k AS n_control, round(r, 6) AS risk_score, r < 0.1 - 1e-6 AS is_valid,
 CASE WHEN r < 0.1 - 1e-6 THEN 'none' ELSE {bands("r", [(0.7, "high"), (0.4, "medium")], "low")} END AS severity, sha256(regexp_replace(text, {q(_z + "|" + _d + "|" + _c)}, '', 'g')) AS sanitized FROM s"""
 
-ORACLES["scan_gibberish_parts"] = rf"""WITH {docs(None)}, l AS (SELECT *, regexp_replace(low, '[^\p{{L}}]+', '', 'g') AS letters, {WORDS} AS w FROM d),
+_letters = rf"""l AS (SELECT *, regexp_replace(low, '[^\p{{L}}]+', '', 'g') AS letters, {WORDS} AS w FROM d),
 e AS (SELECT *, coalesce(list_sum(list_transform(map_values(list_aggregate(string_split(letters, ''), 'histogram')), lambda c: -(c::DOUBLE / length(letters)) * log2(c::DOUBLE / length(letters)))), 0) / 4.7 AS h,
-  len(regexp_extract_all(letters, '[aeiou]'))::DOUBLE / nullif(length(letters), 0) AS r, list_transform(w, lambda x: regexp_replace(x, '[^\p{{L}}]+', '', 'g')) AS shaped FROM l)
-SELECT doc_id, round(CASE WHEN letters = '' THEN 0 WHEN least(h, 1) > 0.85 THEN (least(h, 1) - 0.85) / 0.15 ELSE 0 END, 6)::DOUBLE AS entropy_score,
-round(CASE WHEN r < 0.15 OR r > 0.6 THEN least(1, abs(r - 0.4) / 0.4) ELSE 0 END, 6)::DOUBLE AS vowel_score, round(least(1, {hits(L.GIBBERISH_MASHING)} / 5.0), 6)::DOUBLE AS mashing,
-round(CASE WHEN len(w) > 0 THEN len(list_filter(shaped, lambda x: strlen(x) >= 2 AND (regexp_matches(x, '[^aeiouAEIOU]{{5,}}') OR (strlen(x) > 3 AND NOT regexp_matches(x, '[aeiouAEIOU]')))))::DOUBLE / len(w) ELSE 0 END, 6) AS word_score FROM e"""
+  len(regexp_extract_all(letters, '[aeiou]'))::DOUBLE / nullif(length(letters), 0) AS r, list_transform(w, lambda x: regexp_replace(x, '[^\p{{L}}]+', '', 'g')) AS shaped FROM l)"""
+_parts = {
+    "entropy_score": "(CASE WHEN letters = '' THEN 0 WHEN least(h, 1) > 0.85 THEN (least(h, 1) - 0.85) / 0.15 ELSE 0 END)::DOUBLE",
+    "vowel_score": "(CASE WHEN r < 0.15 OR r > 0.6 THEN least(1, abs(r - 0.4) / 0.4) ELSE 0 END)::DOUBLE",
+    "mashing": f"least(1, {hits(L.GIBBERISH_MASHING)} / 5.0)::DOUBLE",
+    "word_score": "(CASE WHEN len(w) > 0 THEN len(list_filter(shaped, lambda x: strlen(x) >= 2 AND (regexp_matches(x, '[^aeiouAEIOU]{5,}') OR (strlen(x) > 3 AND NOT regexp_matches(x, '[aeiouAEIOU]')))))::DOUBLE / len(w) ELSE 0 END)::DOUBLE",
+}
+ORACLES["scan_gibberish_parts"] = f"WITH {docs(None)}, {_letters} SELECT doc_id, {', '.join(f'round({v}, 6) AS {k}' for k, v in _parts.items())} FROM e"
+ORACLES["scan_gibberish"] = f"""WITH {docs(None)}, {_letters},
+c AS (SELECT doc_id, unnest(t) AS c, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, string_split(text, '') AS t FROM d)),
+b AS (SELECT doc_id, pos, (c IS DISTINCT FROM lag(c) OVER (PARTITION BY doc_id ORDER BY pos))::INT AS new FROM c),
+g AS (SELECT doc_id, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM b),
+n AS (SELECT doc_id, run, count(*) AS k FROM g GROUP BY ALL HAVING count(*) >= 3),
+x AS (SELECT doc_id, sum(0.1::DOUBLE * (k - 2) * (k - 1)) AS x FROM n GROUP BY doc_id),
+p AS (SELECT doc_id, strlen(text) AS bytes, {', '.join(f'{v} AS {k}' for k, v in _parts.items())}, (CASE WHEN strlen(text) >= 3 THEN least(1, coalesce(x, 0) / strlen(text)) ELSE 0 END)::DOUBLE AS repetition FROM e LEFT JOIN x USING (doc_id)),
+m AS (SELECT *, CASE WHEN bytes < 10 THEN 0 ELSE (entropy_score * 2 + repetition * 1.5::DOUBLE + vowel_score * 1.5::DOUBLE + mashing * 2 + word_score * 1.5::DOUBLE) / 8.5::DOUBLE END AS risk FROM p)
+SELECT doc_id, round(repetition, 6) AS repetition, round(risk, 6) AS risk_score, risk < 0.7 - 1e-6 AS is_valid FROM m"""
 
 _scripts = [("ru", "[А-яЁё]", 2), ("ar", r"[\x{0600}-\x{06FF}]", 2), ("zh", r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]", 3), ("hi", r"[\x{0900}-\x{097F}]", 2)]
 _lat = {c: hits(getattr(L, f"LANGUAGE_{c.upper()}")) for c in ("es", "fr", "de", "pt", "it")}

@@ -26,9 +26,10 @@ def _quota() -> str:
 ORACLES = {
     "metric_quota_anchored": _quota(),
     "metric_token_bucket": f"""{_EVENTS}, k AS (
-        SELECT user_id, nth, t + 1 AS due, true AS ok FROM e WHERE nth = 1
+        SELECT user_id, nth, t + 60::DOUBLE / (1::DOUBLE / 360) AS due, true AS ok FROM e WHERE nth = 1
         UNION ALL
-        SELECT e.user_id, e.nth, greatest(due, e.t) + (due - e.t <= 1e-9)::INT, due - e.t <= 1e-9 FROM {_NEXT}
+        SELECT user_id, nth, greatest(due, t) + CASE WHEN ok THEN 60::DOUBLE / (1::DOUBLE / 360) ELSE 0 END, ok
+        FROM (SELECT e.*, due, due - e.t <= 60::DOUBLE / (1::DOUBLE / 360) + 1e-9 AS ok FROM {_NEXT})
     ) {_COUNTED}""",
     "metric_permits": f"""{_EVENTS}, k AS (
         SELECT user_id, nth, [t + event_id % 96 * 3600 + 1] AS held, true AS ok FROM e WHERE nth = 1
