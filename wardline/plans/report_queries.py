@@ -13,7 +13,7 @@ from ..operators.pipeline import Guard, allow_block, apply_policy, combine, resu
 from . import detect_queries, scan_oracles
 from .scan_oracles import docs, n_of, q
 from .scan_queries import R, table, turns
-from .seeds import seeded, seeded_sql
+from .seeds import PHRASES, seeded, seeded_sql
 
 
 def _docs(spark: SparkSession, sf_dir: str, family: str | None, *more: str) -> DataFrame:
@@ -343,3 +343,8 @@ ORACLES = {
     "vault_cleanup": "SELECT count(*) FILTER (ts + INTERVAL 1 DAY < TIMESTAMP '2024-01-20 12:00:00') AS n_expired FROM events",
     "point_lookup": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey = 7",
 }
+
+_pages = f"d AS (SELECT page_id, url || ' ' || ([{scan_oracles._items}])[page_id % {len(PHRASES['urls'])} + 1] AS text FROM pages)"
+_urls = _S["scan_malicious_urls"].replace(_pages, docs("toxicity")).replace("page_id", "doc_id").replace("contains(lower(u), 'bit.ly/x')", "false")
+_OUT = [_part("scan_sensitive_counts", "toxicity", "pii", _S), f"SELECT doc_id, risk_score::DOUBLE AS r, risk_score <= 0 AS v FROM ({_urls})", _part("scan_no_refusal", "toxicity", "refusal", _S)]
+ORACLES["pipe_preset_standard_output"] = _combined(_OUT, 0.9) + f" SELECT *, {_SEV} FROM z"
