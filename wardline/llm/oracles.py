@@ -83,3 +83,37 @@ WITH words AS (
 SELECT doc_id, n::BIGINT AS n_words, len(g)::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(g, i)), ' ')) AS kept_sha256 FROM kept
 """
+
+op12_filter_audit = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents
+), firsts AS (
+  SELECT t, min(doc_id) AS low FROM texts GROUP BY t
+), failing AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad,
+    (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+      + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+      + 16 * (low < d.doc_id)::INT AS f
+  FROM texts d JOIN firsts USING (t) LEFT JOIN labels l ON l.doc_id = d.doc_id
+), counts AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS b FROM failing GROUP BY ALL
+), steps AS (
+  SELECT '' AS filter_order, 0 AS step, 0 AS before, 0 AS bit, 0 AS done
+  UNION ALL
+  SELECT filter_order || 'ABCDE'[i::INT + 1], step + 1, done, (1 << i)::INT, done + (1 << i)::INT FROM steps, range(5) t(i) WHERE step < 5 AND (done >> i) & 1 = 0
+), paths AS (
+  SELECT filter_order, unnest(range(1, 6)) AS step FROM steps WHERE step = 5
+), placed AS (
+  SELECT p.filter_order, p.step, s.before, s.bit FROM paths p JOIN steps s ON s.filter_order = p.filter_order[:p.step]
+), told AS (
+  SELECT part, before, bit, sum(n) FILTER (f & (before | bit) = 0) AS kept, sum(n) FILTER (f & before = 0 AND f & bit > 0) AS removed,
+    sum(n) FILTER (f & before > 0 AND f & bit > 0) AS redundant, sum(n) FILTER (f = bit) AS unique_fails,
+    sum(g) FILTER (f & before = 0 AND f & bit > 0) AS good_lost, sum(b) FILTER (f & before = 0 AND f & bit > 0) AS toxic_lost
+  FROM counts, (SELECT DISTINCT before, bit FROM placed) GROUP BY ALL
+), shares AS (
+  SELECT part, bit, sum(removed) AS shapley FROM told JOIN placed USING (before, bit) GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(shapley, 0)::BIGINT AS shapley
+FROM placed JOIN told USING (before, bit) JOIN shares USING (part, bit)
+"""
