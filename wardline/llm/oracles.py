@@ -84,6 +84,20 @@ SELECT doc_id, n::BIGINT AS n_words, len(g)::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(g, i)), ' ')) AS kept_sha256 FROM kept
 """
 
+op11_embedding_dedup = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), told AS (
+  SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, least(vec_id, coalesce((SELECT min(y) FROM reach WHERE x = vec_id), vec_id)) AS component_id FROM embeddings
+)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM told
+"""
+
 op12_filter_audit = rf"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents

@@ -84,6 +84,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit_documents
 
@@ -99,5 +105,5 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_mixing, op4_lm_scores, op5_ngram_jaccard_join, op6_fingerprints, op7_substring_dedup, op8_nearest_neighbours, op9_packing, op10_language, op12_filter_audit, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_mixing, op4_lm_scores, op5_ngram_jaccard_join, op6_fingerprints, op7_substring_dedup, op8_nearest_neighbours, op9_packing, op10_language, op11_embedding_dedup, op12_filter_audit, op13_token_alignment)}
 ORACLES = {k: v for k, v in vars(oracles).items() if k.startswith("op") and isinstance(v, str)}
