@@ -6,6 +6,9 @@ in blocks to every shard, where a beam search finds each query's best, scored ag
 blocks of results merge by query.  A shard's graph goes once to each task that searches it, ahead of a portion
 of the blocks, which stream past it.  Work grows with queries times shards, so shards are as large as memory allows.  Largest inner product becomes least distance by one more coordinate,
 sqrt(m^2 - |x|^2) with m the shard's greatest norm.  Equal vectors of a shard are one node.
+
+Graphs are searched in single precision, so a shard holds vectors of like length, within a factor of 256, and it
+and each query are scaled by powers of two; scores are of the original doubles.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .common import materialize, partitions_for, small_batches
 SHARD_BYTES, DEGREE, BUILD_WIDTH, WIDTH, ALPHA = 4_000_000, 32, 64, 128, 1.2
 #: Blocks of queries that stream past one copy of a graph, about.
 PORTION = 64
+#: A shard's vectors have lengths within a factor of 2 to this.
+BAND_BITS = 8
 #: Nodes added at a time; queries of a block; nodes that a search step expands; entry points besides the centre.
 BATCH, BLOCK, BEAM, ENTRIES = 256, 512, 4, 7
 
@@ -132,6 +137,23 @@ def build(x: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     return edges, entries
 
 
+def _scaled(x: np.ndarray, axis: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Doubles over the power of two (of all rows, or of each along ``axis``) that bounds them by 1, and its exponent."""
+    power = np.frexp(np.abs(x).max(axis=axis, keepdims=True))[1]
+    return np.ldexp(x, -power), power
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Doubles as bytes, four each where that loses nothing."""
+    with np.errstate(over="ignore", under="ignore"):
+        small = x.astype(np.float32)
+    return small.tobytes() if (small == x).all() else x.tobytes()
+
+
+def _unpacked(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * rows * dim else np.float64).reshape(rows, dim).astype(np.float64)
+
+
 def _lifted(x: np.ndarray) -> np.ndarray:
     square = (x.astype(np.float64) ** 2).sum(1)
     return np.concatenate([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], 1).astype(np.float32)
@@ -145,8 +167,8 @@ def _graphs(keep: int):
         shard, dim, ids, vectors = None, 0, [], []
 
         def done():
-            x, i = np.frombuffer(b"".join(vectors), np.float32).reshape(-1, dim), np.array(ids)
-            _, node = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, 4 * dim))).ravel(), return_inverse=True)
+            x, i = np.frombuffer(b"".join(vectors), np.float64).reshape(-1, dim), np.array(ids)
+            _, node = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, 8 * dim))).ravel(), return_inverse=True)
             order = np.lexsort((i, node))
             node, i = node[order], i[order]
             first = np.searchsorted(node, np.arange(node[-1] + 1))
@@ -155,9 +177,9 @@ def _graphs(keep: int):
             nth = np.arange(len(i)) - first[node]
             i, node = i[nth < keep], node[nth < keep]
             first = np.searchsorted(node, np.arange(node[-1] + 2))
-            edges, entries = build(_lifted(own))
+            edges, entries = build(_lifted(_scaled(own)[0]))
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard]), pa.array([dim], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in (i.astype(np.int64), first.astype(np.int64), own, edges.astype(np.int32), entries.astype(np.int64)))],
+                [pa.array([shard]), pa.array([dim], pa.int64()), *(pa.array([a], pa.binary()) for a in (i.astype(np.int64).tobytes(), first.astype(np.int64).tobytes(), _packed(own), edges.astype(np.int32).tobytes(), entries.astype(np.int64).tobytes()))],
                 ["shard", "dim", "ids", "firsts", "vectors", "edges", "entries"],
             )
 
@@ -168,7 +190,7 @@ def _graphs(keep: int):
                         yield done()
                     shard, dim, ids, vectors = s, d, [], []
                 ids.append(i)
-                vectors.append(v.values.to_numpy(zero_copy_only=False).astype(np.float32).tobytes())
+                vectors.append(v.values.to_numpy(zero_copy_only=False).astype(np.float64).tobytes())
         if ids:
             yield done()
 
@@ -180,11 +202,11 @@ def _blocks(batches):
     for batch in batches:
         by: dict[int, list] = {}
         for i, d, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            by.setdefault(d, []).append((i, v.values.to_numpy(zero_copy_only=False).astype(np.float32)))
+            by.setdefault(d, []).append((i, v.values.to_numpy(zero_copy_only=False).astype(np.float64)))
         for d, held in by.items():
             for at in range(0, len(held), BLOCK):
                 part = held[at : at + BLOCK]
-                yield pa.RecordBatch.from_arrays([pa.array([part[0][0]], pa.int64()), pa.array([d], pa.int64()), pa.array([np.array([i for i, _ in part], np.int64).tobytes()], pa.binary()), pa.array([np.concatenate([v for _, v in part]).tobytes()], pa.binary())], ["block", "qdim", "qids", "qvectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([part[0][0]], pa.int64()), pa.array([d], pa.int64()), pa.array([np.array([i for i, _ in part], np.int64).tobytes()], pa.binary()), pa.array([_packed(np.concatenate([v for _, v in part]))], pa.binary())], ["block", "qdim", "qids", "qvectors"])
 
 
 _BOTH = ["shard", "portion", "dim", "ids", "vectors", "firsts", "edges", "entries", "block"]
@@ -194,22 +216,23 @@ def _search(k: int, width: int):
     """Rows by shard and portion, a graph ahead of blocks of queries, which have no edges."""
 
     def run(batches):
-        x = lifted = wide = ids = firsts = edges = entries = None
+        lifted = wide = power = ids = firsts = edges = entries = None
         for batch in batches:
             for r in batch.to_pylist():
                 d = r["dim"]
                 if r["edges"] is not None:
-                    x = np.frombuffer(r["vectors"], np.float32).reshape(-1, d)
-                    lifted, wide = _lifted(x), x.astype(np.float64)
                     ids, firsts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["firsts"], np.int64)
                     edges, entries = np.frombuffer(r["edges"], np.int32).reshape(-1, DEGREE), np.frombuffer(r["entries"], np.int64)
+                    wide, power = _scaled(_unpacked(r["vectors"], len(edges), d))
+                    lifted = _lifted(wide)
                     continue
-                qids, q = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float32).reshape(-1, d)
-                node, _ = greedy(lifted, edges, entries, np.concatenate([q, np.zeros((len(q), 1), np.float32)], 1), min(max(width, k + 1), len(x)))
+                qids = np.frombuffer(r["ids"], np.int64)
+                q, powers = _scaled(_unpacked(r["vectors"], len(qids), d), 1)
+                node, _ = greedy(lifted, edges, entries, np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), min(max(width, k + 1), len(wide)))
                 found, scores = [], []
                 for i in range(len(q)):
                     some = node[i][node[i] >= 0]
-                    score = (wide[some] * q[i].astype(np.float64)).sum(1)
+                    score = np.ldexp((wide[some] * q[i]).sum(1), int(power.item() + powers[i, 0]))
                     n = np.diff(firsts)[some]
                     at = np.repeat(firsts[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     candidate, score = ids[at], np.repeat(score, n)
@@ -255,29 +278,33 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, widt
     neighbour; fewer rows if there are fewer candidates.  Rows with a null id, or a vector that is null, empty,
     zero or holds a null or non-finite component take no part, and only vectors of one length meet.  Repeated
     rows count as often as they stand there, and equal vectors of a shard beyond the k + 1 of smallest id, which
-    can't be among the nearest, leave its graph.  Other columns are not read.
+    can't be among the nearest, leave its graph.  Components of any size take part as the doubles they are; a
+    product beyond doubles is infinite.  Other columns are not read.
     """
     spark = vectors.sparkSession
     small_batches(spark)
 
     def usable(df):
-        e = F.col("embedding").cast("array<float>")
+        e = F.col("embedding").cast("array<double>")
         ok = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.size(e).cast("long").alias("dim"), e.alias("embedding")).filter(F.col("vec_id").isNotNull() & ok)
 
-    data = usable(vectors)
+    most = F.array_max(F.transform("embedding", F.abs))
+    length = F.log2(most) + F.log2(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + (v / most) * (v / most))) / 2
+    data = usable(vectors).withColumn("band", F.floor((length + BAND_BITS / 2) / BAND_BITS))
     n = partitions_for(vectors)
-    shards = materialize(data.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.col("dim") * 4 / shard_bytes)).cast("long").alias("shards")))
-    dealt = data.join(shards, "dim").select(F.concat_ws(":", F.col("dim").cast("string"), F.pmod(F.xxhash64("vec_id"), "shards").cast("string")).alias("shard"), "dim", "vec_id", "embedding")
+    shards = materialize(data.groupBy("dim", "band").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.col("dim") * 4 / shard_bytes)).cast("long").alias("shards")))
+    name = lambda nth: F.concat_ws(":", F.col("dim").cast("string"), F.col("band").cast("string"), nth.cast("string")).alias("shard")
+    dealt = data.join(shards, ["dim", "band"]).select(name(F.pmod(F.xxhash64("vec_id"), "shards")), "dim", "vec_id", "embedding")
     graphs = materialize(dealt.repartition(n, "shard").sortWithinPartitions("shard", "vec_id").mapInArrow(_graphs(k + 1), _GRAPH))
     blocks = materialize(usable(queries).select("vec_id", "dim", "embedding").repartition(n, "vec_id").mapInArrow(_blocks, "block long, qdim long, qids binary, qvectors binary"))
     portions = blocks.groupBy(F.col("qdim").alias("dim")).agg(F.ceil(F.count("*") / PORTION).cast("long").alias("portions"))
     plan = materialize(shards.join(portions, "dim"))
     # every block meets every shard of its length: the number of shards sets how often a block is copied
     none = F.lit(None).cast("binary")
-    told = graphs.join(plan.select("dim", "portions"), "dim").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), "dim", "ids", "vectors", "firsts", "edges", "entries", F.lit(None).cast("long").alias("block"))
-    asked = blocks.join(plan, F.col("qdim") == F.col("dim")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("nth"), F.pmod(F.xxhash64("block"), "portions").alias("portion"), "dim", F.col("qids").alias("ids"), F.col("qvectors").alias("vectors"), "block")
-    asked = asked.select(F.concat_ws(":", F.col("dim").cast("string"), F.col("nth").cast("string")).alias("shard"), "portion", "dim", "ids", "vectors", none.alias("firsts"), none.alias("edges"), none.alias("entries"), "block")
+    told = graphs.join(portions, "dim").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), "dim", "ids", "vectors", "firsts", "edges", "entries", F.lit(None).cast("long").alias("block"))
+    asked = blocks.join(plan, F.col("qdim") == F.col("dim")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("nth"), F.pmod(F.xxhash64("block"), "portions").alias("portion"), "dim", "band", F.col("qids").alias("ids"), F.col("qvectors").alias("vectors"), "block")
+    asked = asked.select(name(F.col("nth")), "portion", "dim", "ids", "vectors", none.alias("firsts"), none.alias("edges"), none.alias("entries"), "block")
     asked = asked.join(graphs.select("shard"), "shard", "left_semi")  # a shard may be empty
     both = told.unionByName(asked).select(*_BOTH).repartition(n, "shard", "portion").sortWithinPartitions("shard", "portion", F.col("edges").isNull(), "block")
     found = both.mapInArrow(_search(k, width), "block long, dim long, qids binary, found binary, scores binary")
