@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from functools import cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .phrases import any_bit, phrase_bits
+
 _WORD = "[0-9A-Za-z_]"
 _BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 #: White space of Unicode, beyond Java's ASCII class.
@@ -112,6 +114,71 @@ def required(pattern: str) -> tuple[str, ...]:
             return ()
 
 
+def _clauses(tree) -> list[tuple[str, ...]]:
+    """Alternatives of strings, of each of which whatever a parsed pattern matches holds one at least."""
+    known: list[tuple[str, ...]] = []
+    run = ""
+
+    def done():
+        nonlocal run
+        if len(run) > 2:
+            known.append((run,))
+        run = ""
+
+    for op, of in tree:
+        name = str(op)
+        if name == "LITERAL" and 32 < of < 127:
+            run += chr(of).lower()
+        elif name != "AT":
+            done()
+            if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and of[0] >= 1:
+                known += _clauses(of[2])
+            elif name == "SUBPATTERN":
+                known += _clauses(of[3])
+            elif name == "BRANCH":
+                each = [max(_clauses(b), key=lambda k: (min(map(len, k)), -len(k)), default=()) for b in of[1]]
+                if all(each):
+                    known.append(tuple(dict.fromkeys(x for e in each for x in e)))
+    done()
+    return known
+
+
+@cache
+def clauses(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """What :func:`required` gives and more: any match of a catalog pattern holds, in whatever case, one string of each tuple."""
+    import warnings
+    from re import _parser
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            more = _clauses(_parser.parse(pattern))
+        except (re.error, OverflowError):
+            return ()
+    one = required(pattern)
+    return tuple(dict.fromkeys([*([one] if one else []), *(c for c in more if all(len(x) > 2 for x in c))]))
+
+
+class Gate:
+    """A text and the phrases that it holds, for patterns that run only where all that they require stands."""
+
+    def __init__(self, fields: Column, places: dict[str, int]):
+        self.t, self.bits, self.places = fields["t"], fields["bits"], places
+
+    def count(self, pattern: str) -> Column:
+        n = F.regexp_count(self.t, F.lit(java(pattern)))
+        if not (needed := clauses(pattern)):
+            return n
+        there = reduce(lambda a, b: a & b, [any_bit(self.bits, [self.places[x] for x in c]) for c in needed])
+        return F.when(there, n).otherwise(F.when(self.t.isNotNull(), F.lit(0)))
+
+
+def gated(text: Column, patterns: list[str], then) -> Column:
+    """``then`` of a :class:`Gate` for ``patterns``: what they all require is looked for at once."""
+    places = {x: i for i, x in enumerate(sorted({x for p in patterns for c in clauses(p) for x in c}))}
+    return let({"t": text, "bits": phrase_bits(F.lower(text), tuple(places))}, lambda fields: then(Gate(fields, places)))
+
+
 def java(pattern: str) -> str:
     """A catalog pattern in Java's dialect.  A boundary before known letters is tested after them, since they rarely stand there."""
     parts = shared(pattern).split(r"\b")
@@ -203,6 +270,30 @@ def bound(text: Column, then) -> Column:
     return let({"t": text, "low": F.lower(text)}, then)
 
 
+class Fields(dict):
+    """Columns by name that are fields of one struct; :func:`with_fields` computes it once for all of them."""
+
+    def __init__(self, struct: Column, names):
+        super().__init__({n: struct[n] for n in names})
+        self.struct = struct
+
+
+def once(struct: Column, then) -> Fields:
+    """The columns that ``then`` makes of a struct, as fields of one struct in which each part is computed once."""
+    names = list(then(struct))
+    return Fields(F.get(F.transform(F.array(struct), lambda x: F.struct(*(c.alias(n) for n, c in then(x).items()))), F.lit(0)), names)
+
+
+def with_fields(df: DataFrame, columns: dict[str, Column], prefix: str = "") -> DataFrame:
+    """``df`` with ``columns``, each under its name with ``prefix`` before it."""
+    if not isinstance(columns, Fields):
+        return df.withColumns({prefix + k: v for k, v in columns.items()})
+    held = "__fields"
+    while held in df.columns:
+        held = "_" + held
+    return df.withColumn(held, columns.struct).withColumns({prefix + k: F.col(held)[k] for k in columns}).drop(held)
+
+
 def let(fields: dict[str, Column], then) -> Column:
     """``then`` of a struct of the fields, each of which is computed once however often ``then`` names it."""
     bound = F.array(F.struct(*(c.alias(n) for n, c in fields.items())))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import patterns as P
-from ..functions.text import EPSILON, band, bound, clamp, count, entropy, extract, java, let, total
+from ..functions.text import EPSILON, Fields, band, clamp, entropy, extract, gated, java, let, once, total
 
 Verdict = dict[str, Column]
 
@@ -42,8 +42,8 @@ def _noisy_or(text: Column, rows: list[tuple[str, str, str, float, float]], sens
         n = total([x[n] for n in names])
         return F.struct(n.alias("n"), F.when(n > 0, 1 - F.exp(-load)).otherwise(0.0).alias("risk_score"), F.when(n > 0, sure).otherwise(1.0).alias("confidence"), _worst(counts).alias("severity"))
 
-    out = bound(text, lambda b: let({n: count(b.t, r[4], b.low) for n, r in zip(names, rows)}, judged))
-    return {k: out[k] for k in ("n", "risk_score", "confidence", "severity")}
+    out = gated(text, [r[4] for r in rows], lambda g: let({n: g.count(r[4]) for n, r in zip(names, rows)}, judged))
+    return Fields(out, ("n", "risk_score", "confidence", "severity"))
 
 
 def usable(patterns: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -85,9 +85,8 @@ ENTROPY_CONTEXTS = [
 def entropy_candidates(text: Column, threshold: float = 4.5, sensitivity: float = 0.5) -> Verdict:
     """Distinct random-looking values after a telling word, and the confidence in the most random."""
     values = F.array_distinct(F.flatten(F.array(*[extract(text, p, 1) for p in ENTROPY_CONTEXTS])))
-    scored = F.filter(F.transform(values, entropy), lambda h: h >= threshold - EPSILON)
-    top = F.array_max(scored)
-    return {"n": F.size(scored), "confidence": F.coalesce((0.5 + 0.4 * (top - threshold) / (8 - threshold)) * (0.5 + 0.5 * sensitivity), F.lit(0.0)), "entropy": F.coalesce(top, F.lit(0.0))}
+    scored = let({"h": F.filter(F.transform(values, entropy), lambda h: h >= threshold - EPSILON)}, lambda x: F.struct(F.size(x.h).alias("n"), F.array_max(x.h).alias("top")))
+    return once(scored, lambda x: {"n": x.n, "confidence": F.coalesce((0.5 + 0.4 * (x.top - threshold) / (8 - threshold)) * (0.5 + 0.5 * sensitivity), F.lit(0.0)), "entropy": F.coalesce(x.top, F.lit(0.0))})
 
 
 def _agent(text: Column, rows: list[tuple[str, str, float, float, str]], sensitivity: float, factor: float) -> Column:
@@ -113,7 +112,7 @@ def _agent(text: Column, rows: list[tuple[str, str, float, float, str]], sensiti
         surest = {c: F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(x[k] > 0, min(1.0, max(0.0, r[3] + (sensitivity - 0.5) * factor))).otherwise(0.0) for k, r in zip(names, rows) if r[1] == c]) for c in categories}
         return F.struct(n.alias("n"), risk.alias("risk_score"), sure.alias("confidence"), band(risk, SCORE_BANDS, "none").alias("severity"), *by, *(s.alias(f"sure_{c}") for c, s in surest.items()))
 
-    return bound(text, lambda b: let({k: count(b.t, r[4], b.low) for k, r in zip(names, rows)}, judged))
+    return gated(text, [r[4] for r in rows], lambda g: let({k: g.count(r[4]) for k, r in zip(names, rows)}, judged))
 
 
 def _both_cases(rows):
@@ -123,7 +122,7 @@ def _both_cases(rows):
 def injection(text: Column, sensitivity: float = 0.5) -> Verdict:
     """All matches of every injection pattern, in any case of letters."""
     out = _agent(text, _both_cases(P.INJECTION), sensitivity, 0.4)
-    return {k: out[k] for k in ("n", "risk_score", "confidence", "severity")} | {f"n_{c}": out[f"n_{c}"] for c in dict.fromkeys(r[1] for r in P.INJECTION)}
+    return Fields(out, ("n", "risk_score", "confidence", "severity", *(f"n_{c}" for c in dict.fromkeys(r[1] for r in P.INJECTION))))
 
 
 # Categories that always block, and those that an age check opens.
@@ -148,8 +147,7 @@ def _ladder(out: Column, categories: list[str], critical, adult, least: float, d
 def _decided(out: Column, critical: tuple[str, ...], action) -> Verdict:
     """The agent's measures and its action, from one struct that is computed once."""
     severity = lambda x: F.when(total([x[f"n_{c}"] for c in critical]) > 0, "critical").otherwise(x["severity"])
-    shown = F.get(F.transform(F.array(out), lambda x: F.struct(*(x[k].alias(k) for k in ("n", "risk_score", "confidence")), severity(x).alias("severity"), action(x).alias("action"))), F.lit(0))
-    return {k: shown[k] for k in ("n", "risk_score", "confidence", "severity", "action")}
+    return once(out, lambda x: {k: x[k] for k in ("n", "risk_score", "confidence")} | {"severity": severity(x), "action": action(x)})
 
 
 def moderation(text: Column, sensitivity: float = 0.7, least: float = 0.8, default: str = "BLOCK", verified: bool = False, rules: list[dict] = ()) -> Verdict:
@@ -178,12 +176,12 @@ def abuse_text(text: Column, threshold: float = 0.7, sensitivity: float = 0.5) -
         load = reduce(lambda a, b: a + b, [x[k] * (ABUSE_WEIGHT[r[2]] * min(1.0, r[3] + (sensitivity - 0.5) * 0.2)) for k, r in zip(names, rows)])
         return F.struct(total([x[k] for k in names]).alias("n"), F.least(F.lit(1.0), F.round(load, 2)).alias("risk_score"), _worst([(x[k], r[2]) for k, r in zip(names, rows)]).alias("severity"))
 
-    out = let({k: count(text, r[4]) for k, r in zip(names, rows)}, judged)
-    return {k: out[k] for k in ("n", "risk_score", "severity")}
+    out = gated(text, [r[4] for r in rows], lambda g: let({k: g.count(r[4]) for k, r in zip(names, rows)}, judged))
+    return Fields(out, ("n", "risk_score", "severity"))
 
 
 def pattern_counts(text: Column, rows: list[tuple], leave_out: tuple[str, ...] = ()) -> Verdict:
     """Matches of each pattern of a catalog, as n_<id>."""
     names = {"n_" + r[0].replace("-", "_"): r[-1] for r in rows if r[0] not in leave_out}
-    out = bound(text, lambda b: F.struct(*(count(b.t, p, b.low).alias(n) for n, p in names.items())))
-    return {n: out[n] for n in names}
+    out = gated(text, list(names.values()), lambda g: F.struct(*(g.count(p).alias(n) for n, p in names.items())))
+    return Fields(out, names)

@@ -9,7 +9,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import EPSILON, severity_of
+from ..functions.text import EPSILON, Fields, severity_of
 from . import detectors, scanners
 
 RESULT = "struct<scanner:string,risk_score:double,is_valid:boolean>"
@@ -17,6 +17,8 @@ RESULT = "struct<scanner:string,risk_score:double,is_valid:boolean>"
 
 def result(name: str, verdict: dict[str, Column], threshold: float | None = None) -> Column:
     """One scanner's result; detectors without is_valid are valid below ``threshold``."""
+    if isinstance(verdict, Fields):
+        return F.get(F.transform(F.array(verdict.struct), lambda x: result(name, {k: x[k] for k in verdict}, threshold)), F.lit(0))
     valid = verdict["is_valid"] if "is_valid" in verdict else verdict["risk_score"] < (0.5 if threshold is None else threshold)
     return F.struct(F.lit(name).alias("scanner"), verdict["risk_score"].cast("double").alias("risk_score"), valid.alias("is_valid"))
 

@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import lexicon as L
-from ..functions.text import EPSILON, band, best_weight, bound, count, entropy, extract, found, has, hits, let, total, words
+from ..functions.phrases import phrases_masked
+from ..functions.text import EPSILON, Fields, band, best_weight, bound, count, entropy, extract, found, has, hits, let, once, total, with_fields, words
 
 Verdict = dict[str, Column]
 
 
 def with_verdict(df: DataFrame, verdict: Verdict, prefix: str = "") -> DataFrame:
-    return df.withColumns({prefix + k: v for k, v in verdict.items()})
+    return with_fields(df, verdict, prefix)
 
 
 def _binary(bad: Column, risk: Column | float = 1.0) -> Verdict:
@@ -34,23 +35,35 @@ def _escaped(phrase: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in phrase)
 
 
-def ban_substrings(text: Column, phrases: list[str], whole_words: bool = False, mark: str = "*") -> Verdict:
-    """Case-blind literals; whole words have no letter or digit beside them.  sanitized: each replaced by as many marks."""
-    if not phrases:
+#: Lists of more phrases are looked for by an automaton, shorter ones by patterns, with the same results.
+FEW_PHRASES = 8
+
+
+def _banned(text: Column, phrases: list[str], marks: list[str], whole_words: bool) -> Verdict:
+    if not any(phrases):
         return {"matches_count": F.when(text.isNotNull(), F.lit(0)), "sanitized": text} | _binary(F.lit(False))
+    if len(phrases) > FEW_PHRASES:
+        found = phrases_masked(text, phrases, marks, whole_words=whole_words)
+        return once(found, lambda x: {"matches_count": x.n, "sanitized": x.clean} | _binary(x.n > 0))
     around = (r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])") if whole_words else ("", "")
     one = lambda p: f"(?i){around[0]}{_escaped(p)}{around[1]}"
-    n = F.regexp_count(text, F.lit(f"(?i){around[0]}(?:{'|'.join(map(_escaped, sorted(phrases, key=len)))}){around[1]}"))
-    clean = reduce(lambda t, p: F.regexp_replace(t, one(p), mark * len(p)), phrases, text)
+    some = [(p, m) for p, m in zip(phrases, marks) if p]
+    n = F.regexp_count(text, F.lit(f"(?i){around[0]}(?:{'|'.join(_escaped(p) for p, _ in sorted(some, key=lambda x: len(x[0])))}){around[1]}"))
+    clean = reduce(lambda t, x: F.regexp_replace(t, one(x[0]), x[1].replace("$", "\\$")), some, text)
     return {"matches_count": n, "sanitized": clean} | _binary(n > 0)
 
 
+def ban_substrings(text: Column, phrases: list[str], whole_words: bool = False, mark: str = "*") -> Verdict:
+    """Case-blind literals; whole words have no letter or digit beside them.  sanitized: each replaced by as many marks, in the order of the list.
+
+    Matches don't overlap: the leftmost count, of those with one start the shortest.
+    """
+    return _banned(text, phrases, [mark * len(p) for p in phrases], whole_words)
+
+
 def ban_competitors(text: Column, names: list[str], mark: str = "[COMPETITOR]") -> Verdict:
-    out = ban_substrings(text, names, whole_words=True)
-    if not names:
-        return out
-    pattern = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(map(_escaped, names)) + r")(?![\p{L}\p{N}])"
-    return out | {"sanitized": F.regexp_replace(text, pattern, mark)}
+    """Whole names in any case; sanitized: each replaced by the mark."""
+    return _banned(text, names, [mark] * len(names), True)
 
 
 def regex_scan(text: Column, patterns: list[tuple[str, str, float]]) -> Verdict:
@@ -115,9 +128,8 @@ def gibberish(text: Column, threshold: float = 0.7, min_bytes: int = 10) -> Verd
         mean = reduce(lambda a, b: a + b, [s * w for s, w in parts.values()]) / sum(w for _, w in parts.values())
         return F.struct(*(s.alias(n) for n, (s, _) in parts.items()), F.when(x.bytes < min_bytes, 0.0).otherwise(mean).alias("risk_score"))
 
-    out = F.get(F.transform(F.array(measured), scored), F.lit(0))
     names = ["entropy_score", "repetition", "vowel_score", "mashing", "word_score", "risk_score"]
-    return {n: out[n] for n in names} | {"is_valid": out["risk_score"] < threshold - EPSILON}
+    return once(F.get(F.transform(F.array(measured), scored), F.lit(0)), lambda x: {n: x[n] for n in names} | {"is_valid": x.risk_score < threshold - EPSILON})
 
 
 SCRIPTS = {"ru": ("[А-яЁё]", 2), "ar": ("[\\x{0600}-\\x{06FF}]", 2), "zh": ("[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}]", 3), "hi": ("[\\x{0900}-\\x{097F}]", 2)}
@@ -142,11 +154,18 @@ def language(text: Column, allowed: tuple[str, ...] = ("en",), min_confidence: f
         yes = x.latin > F.floor(x.n / 2)
         return F.struct(F.when(F.coalesce(x.bytes, F.lit(0)) < min_bytes, "short").otherwise(code.when(yes, latin).otherwise("unknown")).alias("code"), sure.when(yes, x.latin / x.n).otherwise(0.3).alias("confidence"))
 
-    out = let(measures, judged)
-    code, confidence = out["code"], out["confidence"]
-    short, sure = code == "short", confidence >= min_confidence - EPSILON
-    ok = code.isin(*allowed) if allowed else F.lit(True)
-    return {"code": code, "confidence": confidence, "is_valid": short | ~sure | ok, "risk_score": F.when(short, 0.0).when(~sure, confidence * 0.5).when(ok, 0.0).otherwise(1.0)}
+    def told(x):
+        code, confidence = x["code"], x["confidence"]
+        short, sure = code == "short", confidence >= min_confidence - EPSILON
+        ok = code.isin(*allowed) if allowed else F.lit(True)
+        return {"code": code, "confidence": confidence, "is_valid": short | ~sure | ok, "risk_score": F.when(short, 0.0).when(~sure, confidence * 0.5).when(ok, 0.0).otherwise(1.0)}
+
+    return once(let(measures, judged), told)
+
+
+def _indicated(x: Column, threshold: float) -> Verdict:
+    bad = x["score"] >= threshold - EPSILON
+    return {"n_indicators": x["n"], "risk_score": F.when(bad, x["score"]).otherwise(0.0), "is_valid": ~bad, "severity": F.when(bad, band(x["score"], [(0.9, "critical"), (0.7, "high")], "medium")).otherwise("none")}
 
 
 def prompt_injection(text: Column, threshold: float = 0.7) -> Verdict:
@@ -165,10 +184,7 @@ def prompt_injection(text: Column, threshold: float = 0.7) -> Verdict:
         points = reduce(lambda a, b: a + b, [x[f"h{i}"] * w for i, (_, w) in enumerate(families)]) + x.fence * 0.7 + F.when(more, 0.6).otherwise(0.0)
         return F.struct(n.alias("n"), F.when(n > 0, points / n).otherwise(0.0).alias("score"))
 
-    out = F.get(F.transform(F.array(bound(text, measured)), judged), F.lit(0))
-    n, score = out["n"], out["score"]
-    bad = score >= threshold - EPSILON
-    return {"n_indicators": n, "risk_score": F.when(bad, score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(bad, band(score, [(0.9, "critical"), (0.7, "high")], "medium")).otherwise("none")}
+    return once(F.get(F.transform(F.array(bound(text, measured)), judged), F.lit(0)), lambda x: _indicated(x, threshold))
 
 
 def toxicity(text: Column, threshold: float = 0.7, compat: bool = True) -> Verdict:
@@ -188,10 +204,7 @@ def toxicity(text: Column, threshold: float = 0.7, compat: bool = True) -> Verdi
         )
         return F.struct((x.severe + x.insults + x.threats + x.hate).alias("n"), score.alias("score"))
 
-    out = F.get(F.transform(F.array(bound(text, measured)), judged), F.lit(0))
-    n, score = out["n"], out["score"]
-    bad = score >= threshold - EPSILON
-    return {"n_indicators": n, "risk_score": F.when(bad, score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(bad, band(score, [(0.9, "critical"), (0.7, "high")], "medium")).otherwise("none")}
+    return once(F.get(F.transform(F.array(bound(text, measured)), judged), F.lit(0)), lambda x: _indicated(x, threshold))
 
 
 def sentiment(text: Column, allowed: tuple[str, ...] = ("positive", "neutral")) -> Verdict:
@@ -224,8 +237,7 @@ BIAS = {"gender": L.BIAS_GENDER, "racial": L.BIAS_RACIAL, "age": L.BIAS_AGE, "re
 def bias(text: Column, kinds: tuple[str, ...] = ("gender", "racial", "age", "religious"), threshold: float = 0.6) -> Verdict:
     phrases = [(p, w) for k in kinds for p, w in BIAS[k] if w >= threshold]
     out = bound(text, lambda b: F.struct(hits(b.low, phrases).alias("n"), best_weight(b.low, phrases).alias("risk")))
-    n, risk = out["n"], out["risk"]
-    return {"n": n, "risk_score": risk, "is_valid": risk <= 0, "severity": F.when(risk <= 0, "none").otherwise(band(risk, [(0.85, "high"), (0.7, "medium")], "low"))}
+    return once(out, lambda x: {"n": x.n, "risk_score": x.risk, "is_valid": x.risk <= 0, "severity": F.when(x.risk <= 0, "none").otherwise(band(x.risk, [(0.85, "high"), (0.7, "medium")], "low"))})
 
 
 def factuality(text: Column, threshold: float = 0.5) -> Verdict:
@@ -237,10 +249,11 @@ def factuality(text: Column, threshold: float = 0.5) -> Verdict:
         loss = F.aggregate(penalties, F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("f")), lambda a, x: F.struct((a.s + x * a.f).alias("s"), (a.f * 0.8).alias("f")), lambda a: a.s)
         return F.struct(F.size(penalties).alias("n"), F.greatest(F.lit(0.0), 1 - loss).alias("score"))
 
-    out = bound(text, measured)
-    score = out["score"]
-    bad = score < threshold - EPSILON
-    return {"n": out["n"], "score": score, "risk_score": F.when(bad, 1 - score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(~bad, "none").when(score < 0.3 - EPSILON, "high").otherwise("medium")}
+    def told(x):
+        bad = x.score < threshold - EPSILON
+        return {"n": x.n, "score": x.score, "risk_score": F.when(bad, 1 - x.score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(~bad, "none").when(x.score < 0.3 - EPSILON, "high").otherwise("medium")}
+
+    return once(bound(text, measured), told)
 
 
 def no_refusal(text: Column, threshold: float = 0.7, strict: bool = False, loose: bool = False) -> Verdict:
@@ -252,11 +265,13 @@ def no_refusal(text: Column, threshold: float = 0.7, strict: bool = False, loose
             parts.append(best_weight(low, L.NO_REFUSAL_CAPABILITY))
         if strict:
             parts.append(F.when((has(low, "sorry") | has(low, "apologize")) & (cannot | has(low, "unable")), 0.7).otherwise(0.0))
-        return F.greatest(F.lit(0.0), *parts)
+        return F.struct(F.greatest(F.lit(0.0), *parts).alias("score"))
+
+    def told(x):
+        bad = x.score >= threshold - EPSILON
+        return {"risk_score": F.when(bad, x.score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(bad, band(x.score, [(0.9, "high"), (0.7, "medium")], "low")).otherwise("none")}
 
-    score = bound(text, measured)
-    bad = score >= threshold - EPSILON
-    return {"risk_score": F.when(bad, score).otherwise(0.0), "is_valid": ~bad, "severity": F.when(bad, band(score, [(0.9, "high"), (0.7, "medium")], "low")).otherwise("none")}
+    return once(bound(text, measured), told)
 
 
 URL = r'https?://[^\s<>"]+|www\.[^\s<>"]+'
@@ -283,8 +298,8 @@ def url_threat(url: Column, blocked: tuple[str, ...] = ()) -> Column:
 
 def malicious_urls(text: Column, blocked: tuple[str, ...] = (), threshold: float = 0.6) -> Verdict:
     threats = F.filter(F.transform(extract(text, URL), lambda u: url_threat(u, blocked)), lambda s: s >= threshold - EPSILON)
-    risk = F.coalesce(F.array_max(threats), F.lit(0.0))
-    return {"n_threats": F.size(threats), "risk_score": risk, "is_valid": risk <= 0, "severity": F.when(risk <= 0, "none").otherwise(band(risk, [(0.85, "high"), (0.7, "medium")], "low"))}
+    out = let({"t": threats}, lambda x: F.struct(F.size(x.t).alias("n"), F.coalesce(F.array_max(x.t), F.lit(0.0)).alias("risk")))
+    return once(out, lambda x: {"n_threats": x.n, "risk_score": x.risk, "is_valid": x.risk <= 0, "severity": F.when(x.risk <= 0, "none").otherwise(band(x.risk, [(0.85, "high"), (0.7, "medium")], "low"))})
 
 
 def url_reachability(text: Column, max_urls: int = 10) -> Verdict:
@@ -354,10 +369,8 @@ def sensitive(text: Column) -> Verdict:
         n["n_ip"] = F.when(digit, F.size(F.filter(extract(b.t, IPV4), octets_ok))).otherwise(F.when(digit.isNotNull(), F.lit(0)))
         return F.struct(*(c.alias(k) for k, c in n.items()))
 
-    out = bound(text, measured)
-    n = {k: out[k] for k in (*SENSITIVE, "n_card", "n_ip")}
-    bad = total([n[k] for k in ("n_email", "n_phone", "n_card", "n_ssn", "n_ip")]) > 0
-    return n | _binary(bad, F.lit(0.9))
+    bad = lambda x: total([x[k] for k in ("n_email", "n_phone", "n_card", "n_ssn", "n_ip")]) > 0
+    return once(bound(text, measured), lambda x: {k: x[k] for k in (*SENSITIVE, "n_card", "n_ip")} | _binary(bad(x), F.lit(0.9)))
 
 
 def mini_scans(text: Column) -> Verdict:

@@ -191,3 +191,9 @@ ORACLES["scan_relevance"] = rf"""WITH {TURNS}, k AS (SELECT conv_id, turn, lower
 g AS (SELECT *, len(a) = 0 OR len(b) = 0 AS e, len(list_intersect(a, b)) AS c, greatest({best(L.RELEVANCE_GENERIC)}, CASE WHEN n < 10 AND {hits(L.RELEVANCE_GENERIC)} = 0 THEN 0.6::DOUBLE ELSE 0 END) AS v FROM k),
 s AS (SELECT conv_id, turn, CASE WHEN e THEN 0 ELSE c END AS overlap, NOT e AND v > 0.7 + 1e-6 AS is_generic, CASE WHEN e THEN 0.5 ELSE c::DOUBLE / (len(a) + len(b) - c) * CASE WHEN v > 0.7 + 1e-6 THEN 0.5 ELSE 1 END END AS score FROM g)
 SELECT conv_id, turn, overlap::BIGINT AS overlap, round(score, 6)::DOUBLE AS score, is_generic, score >= 0.5 - 1e-6 AND NOT is_generic AS is_valid FROM s"""
+
+_syllables = "[bcdfghjklmnpqrstvwyz][aeiou][bcdfghjklmnpqrstvwyz][aeiou]"
+ORACLES["scan_phrase_list"] = f"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents),
+m AS (SELECT doc_id, t, regexp_extract_all(t, '{_syllables}') AS found, list_filter(list_transform(range(1, len(t) - 2), lambda i: t[i:i + 3]), lambda x: regexp_full_match(x, '{_syllables}')) AS every FROM d)
+SELECT doc_id, len(found) AS n, len(list_distinct(every)) AS n_distinct,
+  CASE WHEN len(found) > 0 THEN len(regexp_extract(t, '(?s)^(.*?){_syllables}', 1)) END AS first FROM m"""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.phrases import phrase_bits, phrase_spans
 from ..operators import scanners as S
 from .seeds import seeded
 
@@ -23,8 +26,7 @@ def _documents(family: str | None, scan, columns: dict[str, str] | list[str]):
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", (seeded(family) if family else F.col("text")).alias("text"))
-        verdict = scan(F.col("text"))
-        return docs.select("doc_id", *(_shown(verdict[c], c).alias(c) for c in columns))
+        return S.with_verdict(docs, scan(F.col("text"))).select("doc_id", *(_shown(F.col(c), c).alias(c) for c in columns))
 
     return query
 
@@ -62,6 +64,19 @@ def scan_relevance(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", v["overlap"].cast("long").alias("overlap"), R(v["score"].cast("double")).alias("score"), v["is_generic"].alias("is_generic"), v["is_valid"].alias("is_valid"))
 
 
+#: Ten thousand phrases: consonant, vowel, consonant, vowel.
+SYLLABLES = ["".join(x) for x in itertools.product(*["bcdfghjklmnpqrstvwyz", "aeiou"] * 2)]
+
+
+def scan_phrase_list(spark, sf_dir):
+    """How often the phrases of a long list stand in each text, how many different ones do, and where the first begins."""
+    docs = table(spark, sf_dir, "documents")
+    low = F.lower("text")
+    out = docs.select("doc_id", phrase_spans(low, SYLLABLES, fold=False).alias("spans"), phrase_bits(low, SYLLABLES).alias("bits"))
+    distinct = F.aggregate("bits", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+    return out.select("doc_id", F.size("spans").cast("long").alias("n"), distinct.alias("n_distinct"), F.get("spans.start", F.lit(0)).cast("long").alias("first"))
+
+
 def scan_language_confusion(spark, sf_dir):
     """Found language by told language, one row each."""
     docs = table(spark, sf_dir, "documents").select("lang", S.language(F.col("text"))["code"].alias("code"))
@@ -82,6 +97,7 @@ QUERIES = {
     "scan_gibberish_parts": _documents(None, S.gibberish, ["entropy_score", "vowel_score", "mashing", "word_score"]),
     "scan_gibberish": _documents(None, S.gibberish, ["repetition", "risk_score", "is_valid"]),
     "scan_language": _documents(None, S.language, ["code", "confidence", "risk_score", "is_valid"]),
+    "scan_phrase_list": scan_phrase_list,
     "scan_language_confusion": scan_language_confusion,
     "scan_prompt_injection": _documents("injection", S.prompt_injection, ["n_indicators", *SCORE]),
     "scan_toxicity": _documents("toxicity", S.toxicity, ["n_indicators", *SCORE]),
