@@ -66,6 +66,36 @@ def evaluate_alerts(series: DataFrame, rules: DataFrame, step_seconds: int = 360
     return breaks.withColumn("held", held).select("rule_id", "bucket", "value", (F.col("holds") & (F.col("held") >= F.col("for_buckets"))).alias("fired"))
 
 
+def alert_transitions(series: DataFrame, rules: DataFrame, step_seconds: int = 3600, until: Column | None = None) -> DataFrame:
+    """(rule_id, at, state, value): where each rule turns pending, firing or resolved over its ``series``.
+
+    A rule is pending from the first bucket in which it holds, firing from the one that makes ``for_buckets`` in a
+    row, and resolved, if it fired, at the first bucket that doesn't hold or is missing; there value is null.  Only
+    buckets before ``until`` count; without it nothing is missing after the last one.
+    """
+    rows = series if until is None else series.filter(F.col("bucket") < until)
+    joined = rows.join(rules, "metric").withColumn("holds", compare(F.col("value"), F.col("operator"), F.col("threshold")))
+    order = Window.partitionBy("rule_id").orderBy("bucket")
+    step = F.make_dt_interval(secs=F.lit(step_seconds))
+    gap = F.coalesce(F.lag("bucket").over(order) + step != F.col("bucket"), F.lit(True))
+    t = joined.withColumn("begins", F.col("holds") & (gap | ~F.lag("holds").over(order))).withColumn("run", F.sum(F.col("begins").cast("int")).over(order))
+    t = t.withColumn("held", F.when(F.col("holds"), F.row_number().over(Window.partitionBy("rule_id", "run", "holds").orderBy("bucket"))))
+    t = t.withColumn("next", F.lead("bucket").over(order)).withColumn("next_holds", F.lead("holds").over(order)).withColumn("next_value", F.lead("value").over(order))
+    end = F.col("bucket") + step
+    missing = (F.col("next") > end) if until is None else ((F.coalesce(F.col("next") > end, F.lit(True))) & (end < until))
+    ended = F.col("holds") & (F.col("held") >= F.col("for_buckets"))
+    state = lambda name, at, value: F.struct(F.lit(name).alias("state"), at.alias("at"), value.cast("double").alias("value"))
+    here = F.filter(
+        F.array(
+            F.when(F.col("begins"), state("pending", F.col("bucket"), F.col("value"))),
+            F.when(F.col("held") == F.greatest(F.col("for_buckets"), F.lit(1)), state("firing", F.col("bucket"), F.col("value"))),
+            F.when(ended & missing, state("resolved", end, F.lit(None))).when(ended & (F.col("next") == end) & ~F.col("next_holds"), state("resolved", F.col("next"), F.col("next_value"))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return t.select("rule_id", F.explode(here).alias("x")).select("rule_id", "x.at", "x.state", "x.value")
+
+
 def retained(events: DataFrame, keep: str, ts: str = "ts", now: Column | None = None) -> DataFrame:
     """Rows younger than ``keep`` at ``now``, or at the newest row."""
     if now is not None:

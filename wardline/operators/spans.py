@@ -225,15 +225,45 @@ def entities(text: Column) -> Column:
     return spans_udf(ENTITIES, surest)(text)
 
 
+#: What looks like a placeholder.
+MARK = r"\[[A-Z_]+_[0-9]+\]"
+_LITERAL = Rule("LITERAL", MARK, 1.0, "literal", "none")
+
+
+def _with_literals(found: list[tuple]) -> list[tuple]:
+    """Settled entities, and beside them what looks like a placeholder already."""
+    kept = surest([s for s in found if s[0] != _LITERAL.kind])
+    return sorted([*kept, *(s for s in found if s[0] == _LITERAL.kind and all(s[4] <= k[3] or k[4] <= s[3] for k in kept))], key=lambda s: s[3])
+
+
+def marked_entities(text: Column) -> Column:
+    """Entities, and as LITERAL the strings between them that look like placeholders, so that every placeholder of the outcome is our own."""
+    return spans_udf([*ENTITIES, _LITERAL], _with_literals)(text)
+
+
+def replace_spans(text: str, spans, numbers: dict[str, int]) -> tuple[str, list[dict]]:
+    """(text with placeholders, mapping) of spans by start; ``numbers`` has the last number of each kind and goes on."""
+    out, at, mapping = [], 0, []
+    for s in spans:
+        numbers[s["kind"]] = numbers.get(s["kind"], 0) + 1
+        mark = f"[{s['kind']}_{numbers[s['kind']]}]"
+        out += [text[at : s["start"]], mark]
+        at = s["end"]
+        mapping.append({"placeholder": mark, "entity_type": s["kind"], "original_value": s["value"], "confidence": s["confidence"]})
+    return "".join([*out, text[at:]]), mapping
+
+
 def anonymise(df: DataFrame, session: str, text: str = "text", ttl_seconds: int = 3600, order: tuple[str, ...] = (), now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(``df`` with anonymised, mapping rows).  Placeholders are [KIND_n], n counting a session's entities of a kind from 1.
 
+    What looks like a placeholder already becomes one of kind LITERAL, so restoring gives every text back as it was.
+
     A session's texts follow one another by the columns of ``order`` and then by a hash of the text; rows that agree
     in all of these are one text.  Mapping: session_id, placeholder, entity_type, original_value, confidence,
     ttl_seconds, and with ``now`` expires_at.  A null session is a session.  Only counts are ordered, not texts.
     """
     name, h, found, shift = "__s", "__h", "__e", "__o"
-    rows = df.withColumn(name, F.col(session)).withColumn(h, F.xxhash64(text)).withColumn(found, entities(F.col(text)))
+    rows = df.withColumn(name, F.col(session)).withColumn(h, F.xxhash64(text)).withColumn(found, marked_entities(F.col(text)))
     keys = [name, *order, h]
     kinds = rows.select(*keys, F.explode(F.col(f"{found}.kind")).alias("kind"))
     # rows that agree are one text: their number divides the counts again
@@ -253,15 +283,7 @@ def anonymise(df: DataFrame, session: str, text: str = "text", ttl_seconds: int
             if t is None:
                 out_rows.append((None, []))
                 continue
-            numbers: dict[str, int] = dict(before) if before is not None else {}
-            out, at, mapping = [], 0, []
-            for s in found if found is not None else ():
-                numbers[s["kind"]] = numbers.get(s["kind"], 0) + 1
-                mark = f"[{s['kind']}_{numbers[s['kind']]}]"
-                out += [t[at : s["start"]], mark]
-                at = s["end"]
-                mapping.append({"placeholder": mark, "entity_type": s["kind"], "original_value": s["value"], "confidence": s["confidence"]})
-            out_rows.append(("".join([*out, t[at:]]), mapping))
+            out_rows.append(replace_spans(t, found if found is not None else (), dict(before) if before is not None else {}))
         return pd.DataFrame(out_rows, columns=["text", "mapping"])
 
     joined = rows.alias("a").join(shifts.alias("b"), both, "left").select(*(F.col(f"a.{c}") for c in df.columns), F.col(f"a.{name}").alias(name), F.col(f"a.{found}").alias(found), shift)
@@ -278,7 +300,7 @@ def deanonymise(df: DataFrame, mapping: DataFrame, session: str, text: str = "an
     A mapping that gives one placeholder of a session two values is an error.  Each text meets the placeholders
     that it holds, not all of its session's.
     """
-    mark = r"\[[A-Z_]+_[0-9]+\]"
+    mark = MARK
     one = mapping.groupBy(F.col("session_id").alias("__s"), F.col("placeholder").alias("__p")).agg(F.min("original_value").alias("__v"), F.max("original_value").alias("__w"))
     wrong = F.concat(F.lit("two values of "), F.col("__p"))
     one = one.select("__s", "__p", F.when(F.col("__v") == F.col("__w"), F.col("__v")).otherwise(F.raise_error(wrong)).alias("__v"))
