@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import scanners, spans
+from ..functions.table import register_tables
+from ..operators import intervals, scanners, spans
 from ..operators.pipeline import allow_block, batched_short_circuit, combine, result
 from . import report_queries as rq
+from .scan_oracles import docs, q
 from .scan_queries import R, table
 
 #: Labels by a word's length modulo their number, and spans of one document.
@@ -51,12 +53,64 @@ def pipe_allow_block_cased(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", v["allowed"].alias("allowed"), v["blocked"].alias("blocked"))
 
 
-QUERIES = {f.__name__: f for f in (anon_bio, anon_resolve_overlaps, pipe_batched, pipe_allow_block_cased)}
+#: Two detectors whose findings overlap.
+NAMES, NUMBERED = r"[A-Z][a-z]+ [a-z]+", r"[a-z]+ [a-z0-9]+[.,]"
+
+
+def _found(spark, sf_dir, kind: str, pattern: str):
+    found = spans.spans_udf([spans.Rule(kind, pattern, 1.0)])(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.start", "s.end")
+
+
+def detect_span_overlaps(spark, sf_dir):
+    """Pairs of overlapping findings of two detectors, and how many code points they share, by document."""
+    pairs = intervals.overlapping(_found(spark, sf_dir, "name", NAMES), _found(spark, sf_dir, "end", NUMBERED), ("doc_id",))
+    shared = F.least("end", "other_end") - F.greatest("start", "other_start")
+    return pairs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(shared).cast("long").alias("shared"), F.min("start").cast("long").alias("first"))
+
+
+def detect_spans_beside(spark, sf_dir):
+    """Findings of the second detector that neither begin nor end within one of the first, by document."""
+    left = intervals.beside(_found(spark, sf_dir, "end", NUMBERED), _found(spark, sf_dir, "name", NAMES), ("doc_id",), when=intervals.ends_within())
+    return left.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").cast("long").alias("starts"))
+
+
+def detect_spans_lateral(spark, sf_dir):
+    """Spans of the table function in a lateral join, by kind: the same as of the arrays."""
+    register_tables(spark)
+    rq._docs(spark, sf_dir, "pii").createOrReplaceTempView("guard_documents")
+    return spark.sql("SELECT s.kind, count(*) AS n, sum(s.end - s.start) AS letters FROM guard_documents d, LATERAL guard_spans(d.text, 'entities') s WHERE s.kind IN ('EMAIL') GROUP BY s.kind")
+
+
+def anon_literal_roundtrip(spark, sf_dir):
+    """Texts that hold strings like placeholders, anonymised and restored: each comes back as it was."""
+    t = F.concat(F.lit("see [EMAIL_1], [[PERSON_2]] and "), F.col("text"), F.lit(" [X_[EMAIL_3]]"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("session"), t.alias("text"))
+    done, mapping = spans.anonymise(docs, "session", order=("doc_id",))
+    return spans.deanonymise(done, mapping, "session").select("doc_id", F.sha2("restored", 256).alias("restored"), F.contains("anonymised", F.lit("[LITERAL_")).alias("marked"))
+
+
+QUERIES = {f.__name__: f for f in (anon_bio, anon_resolve_overlaps, pipe_batched, pipe_allow_block_cased, detect_span_overlaps, detect_spans_beside, detect_spans_lateral, anon_literal_roundtrip)}
+
+
+def _spans_sql(name: str, pattern: str) -> str:
+    """Offsets of all matches: each begins after the pieces and matches before it."""
+    return f"""{name}_m AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM documents),
+{name} AS (SELECT doc_id, (list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0))::BIGINT AS a, len(m[i]) AS w FROM {name}_m, LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i) r)"""
+
+
+_both = f"WITH {_spans_sql('x', NAMES)}, {_spans_sql('y', NUMBERED)}"
 
 _label = "([" + ", ".join(f"'{x}'" for x in LABELS) + f"])[length(word) % {len(LABELS)} + 1]"
 _span = f"{{'start': (doc_id * 7 + i * 8) % 40, 'i': i, 'stop': (doc_id * 7 + i * 8) % 40 + 3 + (doc_id + i * 5) % 17, 'sure': ([0.5, 0.7, 0.9])[(doc_id + i * i) % 3 + 1]}}"
 
+_email = next(r.pattern for r in spans.ENTITIES if r.kind == "EMAIL")
+
 ORACLES = {
+    "detect_spans_lateral": f"WITH {docs('pii')}, m AS (SELECT unnest(regexp_extract_all(text, {q(_email)})) AS m FROM d) SELECT 'EMAIL' AS kind, count(*) AS n, sum(len(m))::BIGINT AS letters FROM m",
+    "detect_span_overlaps": f"{_both} SELECT x.doc_id, count(*) AS n, sum(least(x.a + x.w, y.a + y.w) - greatest(x.a, y.a))::BIGINT AS shared, min(x.a) AS first FROM x JOIN y ON x.doc_id = y.doc_id AND x.a < y.a + y.w AND y.a < x.a + x.w GROUP BY x.doc_id",
+    "detect_spans_beside": f"{_both} SELECT doc_id, count(*) AS n, sum(a)::BIGINT AS starts FROM y WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = y.doc_id AND ((y.a >= x.a AND y.a < x.a + x.w) OR (y.a + y.w > x.a AND y.a + y.w <= x.a + x.w))) GROUP BY doc_id",
+    "anon_literal_roundtrip": "SELECT doc_id, sha256('see [EMAIL_1], [[PERSON_2]] and ' || text || ' [X_[EMAIL_3]]') AS restored, true AS marked FROM documents",
     "anon_bio": f"""
         WITH w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)),
         t AS (SELECT doc_id, pos, {_label} AS label, pos * 10 AS a, pos * 10 + length(word) AS b, CASE WHEN length(word) % 4 = 0 THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS c FROM w WHERE length(word) > 0),
