@@ -573,8 +573,26 @@ def test_language_windows_by_hand(spark):
 def test_language_whole_texts_are_windowed():
     """Windows for training come from all places of a text, not from its beginning alone."""
     text = "".join(chr(97 + i // 1000) for i in range(26_000))
-    got = next(language._cut(36_000)([pa.RecordBatch.from_arrays([pa.array([text]), pa.array(["x"])], ["text", "lang"])]))
-    assert {chr(w[30]) for w in got.column(2).to_pylist()} == set("abcdefghijklmnopqrstuvwxyz") and got.num_rows == 407
+    got = next(language._cut([pa.RecordBatch.from_arrays([pa.array([text]), pa.array(["x"])], ["text", "lang"])]))
+    assert {chr(w[30]) for w in got.column(1).to_pylist()} == set("abcdefghijklmnopqrstuvwxyz") and got.num_rows == 407
+
+
+def test_language_trains_on_all_windows(monkeypatch):
+    """There are steps enough for every window to be among those of a step, however many there are."""
+    monkeypatch.setattr(language, "BATCH", 8)
+    rng = np.random.default_rng(1)
+    windows = rng.integers(97, 123, (900, 4), dtype=np.uint8)
+    seen = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray) and at.ndim == 1 and at.dtype.kind == "i" and len(at) < 900:
+                seen.extend(at.tolist())
+            return super().__getitem__(at)
+
+    monkeypatch.setattr(language, "_FOLD", language._FOLD.view(Watched))
+    language.train(windows, np.full(900, 4), np.array([0] * 700 + [1] * 200), ["a", "b"], rounds=3)
+    assert set(seen) == set(range(900))
 
 
 def test_sampler_in_plain_python(spark):

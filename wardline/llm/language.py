@@ -20,8 +20,9 @@ from .common import slices, small_batches, string_buffer
 
 #: Units of each direction; bytes of a training window; bytes of a window that is labelled.
 UNITS, TRAIN_BYTES, WINDOW = 8, 64, 128
-#: Labelled texts that the network is trained on at most, the first by a hash of their id, and windows of all of them.
-FIT_ROWS, FIT_WINDOWS = 6000, 36_000
+#: Labelled texts that the network is trained on at most, the first by a hash of their id, with all of their windows.
+FIT_ROWS = 4000
+#: Steps of training at least, more where all windows take more; windows of a step; learning rate.
 ROUNDS, BATCH, RATE = 700, 384, 0.015
 #: Windows that go through the network together.
 TOGETHER = 2048
@@ -95,18 +96,26 @@ def _gradient(x_shape, u: np.ndarray, kept: list, into: list[np.ndarray], inside
 
 
 def train(windows: np.ndarray, length: np.ndarray, label: np.ndarray, languages: list[str], seed: int = 5, rounds: int = ROUNDS) -> Network:
-    """Adam on the mean cross entropy of every byte's label; ``windows`` are padded with 0 after ``length``."""
+    """Adam on the mean cross entropy of every byte's label; ``windows`` are padded with 0 after ``length``.
+
+    A step takes as many windows of each language, as far as they divide; each language's windows pass in an order
+    by chance, again and again, and there are steps enough for all windows to pass once.
+    """
     rng, k, c = np.random.default_rng(seed), UNITS, len(languages)
     parts = [(rng.normal(size=s) * w).astype(np.float32) for _ in range(2) for s, w in (((256, 3 * k), 0.3), ((k, 3 * k), 0.5 / np.sqrt(k)), ((k, c), 0.3))]
     parts.append(np.zeros(c, np.float32))
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    codes, n = _FOLD[windows].astype(np.int64), windows.shape[1]
-    per = np.maximum(1, np.bincount(label, minlength=c))
-    chance = (1 / per)[label]
-    chance /= chance.sum()
+    codes, n = _FOLD[windows], windows.shape[1]
+    own = [rng.permutation(np.flatnonzero(label == i)) for i in range(c)]
+    each, passed = max(1, BATCH // c), [0] * c
+    rounds = max(rounds, -(-max(map(len, own)) // each))
     for step in range(1, rounds + 1):
-        pick = rng.choice(len(label), min(BATCH, len(label)), p=chance)
-        batch, y = codes[pick].T, label[pick]
+        picks = []
+        for i, w in enumerate(own):
+            picks.append(w.take(range(passed[i], passed[i] + min(each, len(w))), mode="wrap"))
+            passed[i] += len(picks[-1])
+        pick = np.concatenate(picks)
+        batch, y = codes[pick].T.astype(np.int64), label[pick]
         inside = (np.arange(n)[:, None] < length[pick][None, :]).astype(np.float32)
         kept: list[list] = [[], []]
         ahead = np.stack(list(_steps(parts[0], parts[1], batch, np.zeros((len(pick), k), np.float32), kept[0])))
@@ -152,21 +161,15 @@ def label_windows(net: Network, windows: np.ndarray, length: np.ndarray) -> np.n
     return total
 
 
-def _cut(limit: int):
-    """Windows of every place of each text, in an order by chance that the text alone sets: (nth, lang, window)."""
-
-    def run(batches):
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                b = text.encode("utf-8", "surrogatepass")
-                count = -(-len(b) // TRAIN_BYTES)
-                rng = np.random.default_rng(zlib.crc32(b))
-                order = rng.permutation(count)[:limit]
-                shift = int(rng.integers(TRAIN_BYTES)) if count > 1 else 0
-                at = np.minimum(order * TRAIN_BYTES + shift, max(0, len(b) - TRAIN_BYTES))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at))), pa.array([lang] * len(at), pa.string()), pa.array([b[a : a + TRAIN_BYTES] for a in at.tolist()], pa.binary())], ["nth", "lang", "w"])
-
-    return run
+def _cut(batches):
+    """All windows of each text, from a place by chance on that the text alone sets: (lang, window)."""
+    for batch in batches:
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            b = text.encode("utf-8", "surrogatepass")
+            count = -(-len(b) // TRAIN_BYTES)
+            shift = int(np.random.default_rng(zlib.crc32(b)).integers(TRAIN_BYTES)) if count > 1 else 0
+            at = np.minimum(np.arange(count) * TRAIN_BYTES + shift, max(0, len(b) - TRAIN_BYTES))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([b[a : a + TRAIN_BYTES] for a in at.tolist()], pa.binary())], ["lang", "w"])
 
 
 _trained: dict[bytes, Network] = {}
@@ -181,11 +184,11 @@ def _train_once(windows: np.ndarray, length: np.ndarray, label: np.ndarray, lang
     return _trained[key]
 
 
-def fit_language(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_windows: int = FIT_WINDOWS) -> Network | None:
-    """Train on at most ``fit_rows`` rows of ``docs`` (doc_id, text, lang) and ``fit_windows`` windows of them; both are documented bounds.
+def fit_language(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Network | None:
+    """Train on at most ``fit_rows`` rows of ``docs`` (doc_id, text, lang), a documented bound, and on the whole of each.
 
-    Windows of TRAIN_BYTES bytes come from places by chance over each whole text: every text's first, then every
-    text's second, and so on.  Copies teach once.  Rows without text, lang or id teach nothing; where an id
+    Windows of TRAIN_BYTES bytes cover each text from a place by chance on; the driver holds them all, as it
+    trains.  Copies teach once.  Rows without text, lang or id teach nothing; where an id
     repeats, any of its rows may be among the first ``fit_rows``.  None without any.
     """
     small_batches(docs.sparkSession)
@@ -194,15 +197,17 @@ def fit_language(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_windows: int = F
     rows = told.join(F.broadcast(chosen), "doc_id").select("text", "lang").distinct()
     keys = rows.select(F.xxhash64("text", "lang").alias("k")).distinct().orderBy("k").limit(fit_rows)
     rows = rows.join(F.broadcast(keys), F.xxhash64("text", "lang") == F.col("k")).select("text", "lang")
-    got = rows.mapInArrow(_cut(fit_windows), "nth long, lang string, w binary").orderBy("nth", F.xxhash64("w", "lang"), "w", "lang").limit(fit_windows).collect()
-    if not got:
+    got = rows.mapInArrow(_cut, "lang string, w binary").toArrow()
+    if not got.num_rows:
         return None
-    got = sorted((r["lang"], bytes(r["w"])) for r in got)
-    languages = sorted({lang for lang, _ in got})
-    windows = np.zeros((len(got), TRAIN_BYTES), np.uint8)
-    for i, (_, w) in enumerate(got):
-        windows[i, : len(w)] = np.frombuffer(w, np.uint8)
-    return _train_once(windows, np.array([len(w) for _, w in got]), np.array([languages.index(lang) for lang, _ in got]), languages)
+    got = got.sort_by([("lang", "ascending"), ("w", "ascending")])  # the same whatever order the tasks end in
+    names, raw = got.column("lang").combine_chunks().dictionary_encode(), got.column("w").combine_chunks()
+    languages = sorted(names.dictionary.to_pylist())
+    place = np.array([languages.index(x) for x in names.dictionary.to_pylist()])
+    length = np.diff(np.frombuffer(raw.buffers()[1], np.int64 if pa.types.is_large_binary(raw.type) else np.int32)[raw.offset : raw.offset + len(raw) + 1]).astype(np.int64)
+    windows = np.zeros((len(raw), TRAIN_BYTES), np.uint8)
+    windows[np.arange(TRAIN_BYTES)[None, :] < length[:, None]] = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+    return _train_once(windows, length, place[names.indices.to_numpy()], languages)
 
 
 def has_letter(text: str | None) -> bool:
