@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..operators import metrics, tagging
+from ..sources import tables
 from ..sources.scratch import work_folder
 from ..streaming.aggregate import RollupTable
 from .scan_queries import R, table
@@ -48,11 +49,49 @@ def metric_alert_transitions(spark, sf_dir):
     return metrics.alert_transitions(hours, rules).select("rule_id", "at", "state", "value")
 
 
-QUERIES = {f.__name__: f for f in (rollup_refreshed, rollup_percentiles, metric_alert_transitions)}
+def table_range(spark, sf_dir):
+    """Counts by user of January's first week, from a table in partitions of a day of which only that week's are read."""
+    at = f"{work_folder(spark)}/events"
+    tables.write_partitioned(table(spark, sf_dir, "events"), at, sort=("user_id", "ts"), lookup={"event_id": 10_000})
+    week = tables.between(spark.read.parquet(at), F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-08").cast("timestamp"))
+    return week.groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first"), R(F.sum("value")).alias("total"))
+
+
+#: Labels of words by their lengths: logits that no single label wins by far.
+KINDS = ("NAME", "PLACE")
+
+
+def anon_bio_constrained(spark, sf_dir):
+    """The best BIO labels of the words of each turn, whose logits follow from the words' lengths."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    labels = tagging.bio_labels(KINDS)
+    logit = lambda j: ((F.length("word") * (2 * j + 3) + F.col("pos") * (j + 1)) % 11) / F.lit(2.0)
+    tokens = words.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "pos", F.lit(0).alias("start"), F.lit(1).alias("end"), F.array(*map(logit, range(len(labels)))).alias("logits"))
+    told = tagging.constrained_labels(tokens, labels)
+    return told.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x.label), " ").alias("labels"))
+
+
+QUERIES = {f.__name__: f for f in (rollup_refreshed, rollup_percentiles, metric_alert_transitions, table_range, anon_bio_constrained)}
+
+_labels = tagging.bio_labels(KINDS)
+_logits = "[" + ", ".join(f"((length(word) * {2 * j + 3} + pos * {j + 1}) % 11) / 2.0::DOUBLE" for j in range(len(_labels))) + "]"
+_best = "list_position(s, list_max(s))"
+# the place before each label on the best way to it: anything before O and B, its own B or I before I
+_from = "[" + ", ".join(f"CASE WHEN s[{j}] >= s[{j + 1}] THEN {j} ELSE {j + 1} END" if x.startswith("I") else _best for j, x in enumerate(_labels)) + "]"
 
 _rules = ", ".join(f"('{i}', '{m}', '{op}', {t}, {k})" for i, m, op, t, k in RULES)
 
 ORACLES = {
+    "table_range": "SELECT user_id, count(*) AS n, min(ts) AS first, round(sum(value), 6) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-08' GROUP BY 1",
+    "anon_bio_constrained": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT conv_id || ':' || turn AS doc_id, string_split(text, ' ') AS w FROM conversations)),
+        l AS (SELECT doc_id, pos, {_logits} AS x FROM w),
+        v AS (
+            SELECT doc_id, pos, list_transform(x, lambda y, j: CASE WHEN j IN ({", ".join(str(j + 1) for j, x in enumerate(_labels) if x.startswith("I"))}) THEN '-inf'::DOUBLE ELSE y END) AS s, list_transform(range(1, {len(_labels) + 1}), lambda j: [j]) AS p FROM l WHERE pos = 0
+            UNION ALL
+            SELECT doc_id, pos, list_transform(b, lambda k, j: s[k] + x[j]), list_transform(b, lambda k, j: list_append(p[k], j)) FROM (SELECT l.doc_id, l.pos, x, s, p, {_from} AS b FROM v JOIN l ON l.doc_id = v.doc_id AND l.pos = v.pos + 1)
+        )
+        SELECT doc_id, array_to_string(list_transform(p[{_best}], lambda j: ({_labels})[j]), ' ') AS labels FROM v WHERE pos = (SELECT max(pos) FROM l WHERE l.doc_id = v.doc_id)""",
     "rollup_refreshed": "SELECT date_trunc('hour', ts) AS bucket, event_type, round(avg(value), 6) AS avg, max(value) AS max, min(value) AS min, count(*) AS n FROM events GROUP BY 1, 2",
     "rollup_percentiles": f"SELECT event_type, count(*) AS n, {', '.join(f'true AS {p}_within' for p in POINTS)} FROM events GROUP BY 1",
     "metric_alert_transitions": f"""

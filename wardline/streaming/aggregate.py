@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Names of time partitions.
-PARTITIONS = {"day": "yyyy-MM-dd", "hour": "yyyy-MM-dd-HH"}
+from ..sources.tables import drop_older, part_of
 
 
 class RollupTable:
@@ -33,7 +32,7 @@ class RollupTable:
         return self.spark.read.schema(self._schema).parquet(self.path)
 
     def _part(self, at: Column) -> Column:
-        return F.date_format(at, PARTITIONS[self.partition])
+        return part_of(at, self.partition)
 
     def rolled(self, events: DataFrame) -> DataFrame:
         """The states of ``events`` alone, a row for each bucket and keys."""
@@ -96,16 +95,5 @@ class RollupTable:
         return merged.select(*by, "n", *(F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(name) for name, q in points.items()))
 
     def retain(self, keep: str, now: Column) -> list[str]:
-        """Drop the partitions that end before ``now`` less ``keep``; their names.  Only folders are listed, no file is read."""
-        cut = self.spark.range(1).select(self._part(now - F.expr(f"INTERVAL {keep}"))).first()[0]
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        gone = []
-        for f in files.listStatus(root):
-            name = f.getPath().getName()
-            if name.startswith("part=") and name[5:] < cut:
-                files.delete(f.getPath(), True)
-                gone.append(name[5:])
-        return sorted(gone)
-
-
+        """Drop the partitions that end before ``now`` less ``keep``; their names."""
+        return drop_older(self.spark, self.path, keep, now, self.partition)
