@@ -339,6 +339,17 @@ def test_neighbours(spark, copies):
     assert hit / (10 * len(range(0, len(x), 20))) >= 0.9
 
 
+def test_mixing_by_groups_of_ranges(spark, monkeypatch):
+    """Prefix sums over ranges in groups are those over all ranges at once."""
+    rows = spark.range(5000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE string(id % 7) END AS source", "repeat('word ', cast(1 + id % 9 AS int)) AS text")
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 5)
+    out = []
+    for ranges in (10**9, 7):
+        monkeypatch.setattr(mixing, "GROUP_RANGES", ranges)
+        out.append(sorted(map(tuple, mixing.mix_sources(rows).collect())))
+    assert out[0] == out[1]
+
+
 def test_cuts_are_the_cheapest():
     rng = random.Random(10)
     for _ in range(200):

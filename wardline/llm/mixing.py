@@ -2,7 +2,8 @@
 
 Every row gets an exponential key scaled by its quality weight.  Within a source rows are taken in key order
 up to the source's budget of words: whole epochs first, then the rows of lowest key.  Prefix sums run over
-key ranges of bounded size, whose totals are summed first, so a source may hold any share of all rows.
+key ranges of bounded size, whose totals are summed first, in groups and then over groups, so a source may hold
+any share of all rows.
 
 An exponential variable of any scale has a density of 1/e at most over its natural logarithm, and so has every
 mixture of them.  Ranges of equal width in the key's logarithm, as many to a unit as RANGE_ROWS asks for, so hold
@@ -21,6 +22,8 @@ from .common import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source that one key range holds at most, about.
 RANGE_ROWS = 1000
+#: Ranges whose totals are summed together, before the sums of such groups.
+GROUP_RANGES = 1000
 #: Weight of a text without letters, and in general the least.
 LEAST_QUALITY = 0.05
 
@@ -78,8 +81,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs:
     to_a_unit = F.col("rows") / (math.e * RANGE_ROWS)
     rows = rows.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, ["none", "name"]).withColumn("range", F.floor(F.ln("key") * to_a_unit))
     totals = rows.groupBy("none", "name", "range").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("none", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("none", "name", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("words_before"))
+    # two levels, so that no task sorts all ranges of a source
+    totals = totals.withColumn("group", F.floor(F.col("range") / GROUP_RANGES))
+    before = lambda level, by: F.coalesce(F.sum("words").over(Window.partitionBy("none", "name", *level).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = totals.groupBy("none", "name", "group").agg(F.sum("words").alias("words")).select("none", "name", "group", before([], "group").alias("groups_before"))
+    totals = totals.withColumn("within", before(["group"], "range")).join(groups, ["none", "name", "group"])
+    totals = totals.select("none", "name", "range", (F.col("within") + F.col("groups_before")).alias("words_before"))
     here = Window.partitionBy("none", "name", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("prefix", F.coalesce(F.sum("size").over(here), F.lit(0))).join(totals, ["none", "name", "range"])
     left = F.greatest(F.lit(0), F.col("rest") - F.col("prefix") - F.col("words_before"))
