@@ -7,7 +7,7 @@ one's ``docs``.  All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.common import fresh, materialize
@@ -31,13 +31,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A document is a row's id and text together, so ids may be null or repeated: of rows that agree in both one
     stays, rows of one id whose texts aren't linked all stay.  Documents without words stay.
     """
-    node, i, one, n = fresh(docs, "node", "id", "one", "n")
+    node, i, one, more = fresh(docs, "node", "id", "one", "more")
     keyed = docs.withColumn(node, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     linked = ngram_join(keyed.select(F.col(node).alias("doc_id"), "text"), k=5, num=4, den=5).select(F.col("doc_id").alias(node), F.col("component_id").alias(i)).distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(node).alias("node")))
     kept = materialize(keyed.select("doc_id", node).distinct().join(linked, node).groupBy(i).agg(first.alias(one)).select(F.col(f"{one}.node").alias(node)))
-    rows = keyed.join(kept, node, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(node).orderBy(F.xxhash64(*docs.columns))))
-    return rows.filter(F.col(n) == 1).select(*docs.columns)
+    # a second hash tells apart what shares a node by chance; copies of a row shrink to one a task before they travel
+    rows = keyed.join(kept, node, "left_semi").withColumn(more, F.xxhash64(F.lit(1), F.col("text").cast("string"), F.col("doc_id").cast("long")))
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))
+    return rows.groupBy(node, more).agg(first.alias(one)).select(*(F.col(f"{one}.`{c}`").alias(c) for c in docs.columns))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
