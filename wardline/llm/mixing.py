@@ -24,13 +24,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 RANGE_ROWS = 1000
 #: Ranges whose totals are summed together, before the sums of such groups.
 GROUP_RANGES = 1000
+#: A to Z, a to z, and the Latin letters from U+00C0 to U+00FF with the two signs between them.
+LETTERS = "".join(chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)])
 #: Weight of a text without letters, and in general the least.
 LEAST_QUALITY = 0.05
 
 
 def text_quality(text: Column) -> Column:
     """Share of letters among the characters of a text, LEAST_QUALITY at least (null and empty too)."""
-    letters = F.length(F.regexp_replace(text, "[^A-Za-zÀ-ÿ]+", ""))
+    letters = F.length(text) - F.length(F.translate(text, LETTERS, ""))
     return F.greatest(F.lit(LEAST_QUALITY), F.coalesce(F.try_divide(letters.cast("double"), F.length(text).cast("double")), F.lit(0.0)))
 
 
