@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import lexicon as L
 from ..functions.phrases import phrases_masked
-from ..functions.text import EPSILON, Fields, band, best_weight, bound, count, entropy, extract, found, has, hits, let, once, total, with_fields, words
+from ..functions.text import EPSILON, band, best_weight, bound, count, extract, found, has, hits, let, once, text_entropy, total, with_fields, words
 
 Verdict = dict[str, Column]
 
@@ -112,8 +112,8 @@ def gibberish(text: Column, threshold: float = 0.7, min_bytes: int = 10) -> Verd
     shaped = F.transform(words(text), lambda w: F.regexp_replace(w, r"[^\p{IsAlphabetic}]+", ""))
     odd = lambda ws: F.size(F.filter(ws, lambda w: (F.octet_length(w) >= 2) & (w.rlike("[^aeiouAEIOU]{5,}") | ((F.octet_length(w) > 3) & ~w.rlike("[aeiouAEIOU]")))))
     measured = let(
-        {"l": letters, "w": shaped, "r": F.aggregate(runs, F.lit(0.0), lambda a, x: a + x), "bytes": F.octet_length(text), "m": bound(text, lambda b: hits(b.low, L.GIBBERISH_MASHING))},
-        lambda x: F.struct(F.least(entropy(x.l) / 4.7, F.lit(1.0)).alias("e"), F.regexp_count(x.l, F.lit("[aeiou]")).cast("double").alias("v"), F.length(x.l).alias("n"), odd(x.w).alias("o"), F.size(x.w).alias("k"), x.r.alias("r"), x.bytes.alias("bytes"), x.m.alias("m")),
+        {"l": letters, "e": text_entropy(letters), "w": shaped, "r": F.aggregate(runs, F.lit(0.0), lambda a, x: a + x), "bytes": F.octet_length(text), "m": bound(text, lambda b: hits(b.low, L.GIBBERISH_MASHING))},
+        lambda x: F.struct(F.least(x.e / 4.7, F.lit(1.0)).alias("e"), F.regexp_count(x.l, F.lit("[aeiou]")).cast("double").alias("v"), F.length(x.l).alias("n"), odd(x.w).alias("o"), F.size(x.w).alias("k"), x.r.alias("r"), x.bytes.alias("bytes"), x.m.alias("m")),
     )
 
     def scored(x):
