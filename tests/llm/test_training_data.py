@@ -183,6 +183,17 @@ def test_lm_scores(spark, monkeypatch, blocks):
         assert r.n_words == len(words[r.doc_id]) and (r.lm_score is None if want is None else abs(r.lm_score - want) < 1e-9)
 
 
+def test_blocks_hold_the_same_rows_in_whatever_order_they_came(spark):
+    rows = [(i % 7 if i % 5 else None, f"text {i % 3}" if i % 11 else None) for i in range(400)]
+
+    def dealt(rows):
+        docs = spark.sparkContext.parallelize(rows, 1).toDF("doc_id long, text string")
+        return collections.Counter(map(tuple, lm._dealt(docs, 13).collect()))
+
+    there, back = dealt(rows), dealt(rows[::-1])
+    assert there == back and len({b for _, b, _ in there}) == 13
+
+
 def test_pii_base_spans():
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     valid = {"email": lambda v, d: True, "ip": lambda v, d: all(int(x) <= 255 for x in v.split(".")), "card": lambda v, d: 12 <= len(d) <= 19 and pii.luhn(d), "phone": lambda v, d: 9 <= len(d) <= 15}

@@ -250,6 +250,16 @@ def _sizes(batches):
     yield pa.RecordBatch.from_arrays([pa.array([nbytes]), pa.array([words])], ["bytes", "words"])
 
 
+def _dealt(base: DataFrame, blocks: int) -> DataFrame:
+    """(doc_id, block, text) of rows (doc_id, text), rows that agree in all in several blocks.
+
+    Their place counts among a task's rows in order, whatever order they came in, so a task that runs again after a
+    shuffle sends each block the same texts.
+    """
+    place = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
+    return base.sortWithinPartitions("doc_id", "text").select("doc_id", F.pmod(place, F.lit(blocks)).alias("block"), "text")
+
+
 def score_texts(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """(doc_id, n_words, n_top, log_score, lm_score) of every row of ``docs`` (doc_id, text).
 
@@ -272,10 +282,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -
     parts = -(-blocks_n // PART_BLOCKS)
     buckets = max(1, -(-words * order // (BUCKET_GRAMS * parts)))
     n, m = (max(partitions_for(docs), min(k, TASKS)) for k in (blocks_n, buckets * parts))
-    # rows that agree in all go to several blocks by their place in the input
-    place = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
-    keyed = base.select("doc_id", F.pmod(place, F.lit(blocks_n)).alias("block"), "text")
-    blocks = compressed(keyed).repartition(n, "block")
+    blocks = compressed(_dealt(base, blocks_n)).repartition(n, "block")
     # all columns, as below: one exchange of the texts serves both
     sent = blocks.sortWithinPartitions("block").mapInArrow(_explode(order, buckets), "n long, bucket long, block long, keys binary, counts binary")
     by = ["n", "bucket", "part"]
