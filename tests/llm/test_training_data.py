@@ -664,6 +664,24 @@ def test_op6_many_rows_of_one_id(spark):
     assert collections.Counter(r.edited_sha256 for r in fingerprints.fingerprint_documents(df, 4).collect()) == want
 
 
+def test_op6_many_rows_of_one_id_and_text(spark):
+    """Rows that agree in id and text fill no bucket, and each has its result: all but the last are followed by their like."""
+    many = [(None, "404 not found on this server")] * 12_000 + [(7, "moved for good to a new place")] * 900 + [(7, None)] * 700
+    rows = many + [(7, f"text {i} of seven") for i in range(30)] + [(None, f"text {i} of none") for i in range(30)] + [(i, f"own {i}") for i in range(8, 200)]
+    df = frame(spark, rows).repartition(3)
+    base = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    assert fingerprints._in_order(base).groupBy("bucket").count().agg(F.max("count")).first()[0] < 900
+    order = base.orderBy(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text")).collect()
+    want, alike = collections.Counter(), 0
+    for r, after in zip(order, [*order[1:], order[0]]):
+        t, n = r.text, len(r.text) // 2
+        want[r.doc_id, len(t), hashlib.sha256((t[: len(t) - n] + after.text[:n]).encode()).hexdigest()] += 1
+        alike += t == after.text
+    got = fingerprints.fingerprint_documents(df, 4).collect()
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    assert sum(r.near_next == 1.0 for r in got) >= alike > 13_000
+
+
 def test_shared_folder_must_be_told_on_a_cluster():
     class Session:
         class conf:

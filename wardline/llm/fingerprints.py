@@ -8,11 +8,12 @@ texts agree in a sample with probability sum of least weights over sum of greate
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import materialize, partitions_for
 
 SPACE = r"[\x20\x09-\x0D]+"
 SAMPLES = 32
@@ -55,11 +56,38 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when((a == "") | (b == ""), (a == b).cast("double")).otherwise(same / float(samples))
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with repeats (long): rows of one id and text that are a large part of all stand twice, last with repeats 1.
+
+    Each but the last of such rows is followed by its like, so one of them speaks for all, and only the last meets
+    another text.  Groups of over a bucket's share of rows are settled so; they are fewer than buckets.
+    """
+    n = partitions_for(docs) * 4
+    hashes = [F.col("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    names = ["hid", "h1", "h2"]
+    least = max(2, docs.count() // n)
+    heavy = docs.groupBy(*(h.alias(x) for h, x in zip(hashes, names))).agg(F.count("*").alias("c")).filter(F.col("c") > least)
+    heavy = materialize(heavy)  # below n rows, read twice
+    same = reduce(lambda a, b: a & b, (h.eqNullSafe(F.col(x)) for h, x in zip(hashes, names)))
+    few = docs.join(F.broadcast(heavy), same, "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("repeats"))
+    many = docs.join(F.broadcast(heavy), same).groupBy(*names).agg(F.min("text").alias("text"), F.max("c").alias("c"))
+    both = many.select(F.col("hid").alias("doc_id"), "text", F.explode(F.array(F.col("c") - 1, F.lit(1).cast("long"))).alias("repeats"))
+    return few.unionByName(both)
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as its repeats say, made by several tasks where they are over 10,000."""
+    lots = F.sequence(F.lit(0).cast("long"), F.floor((F.col("repeats") - 1) / 10_000))
+    dealt = rows.withColumn("lot", F.explode(lots)).repartition(partitions_for(rows), "doc_id", "lot")
+    left = F.least(F.col("repeats") - F.col("lot") * 10_000, F.lit(10_000)).cast("int")
+    return dealt.withColumn("one", F.explode(F.array_repeat(F.lit(1), left))).drop("repeats", "lot", "one")
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
-    """(bucket, ghost, doc_id, text): ranges of ascending ids, each with the row that follows it as a ghost.
+    """(bucket, ghost, doc_id, text), and repeats if some id is hot: ranges of ascending ids, each with the row that follows it as a ghost.
 
     Bounds are quantiles of the ids, as many as there are shuffle partitions, four times.  Rows of one id, or of none,
-    are split by a hash of the text where they are many; only rows of one id and text stay together.
+    are split by a hash of the text where they are many, and what agrees in both is told apart by `_told_apart`.
     """
     n = partitions_for(docs) * 4
     place = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
@@ -69,16 +97,17 @@ def _in_order(docs: DataFrame) -> DataFrame:
     share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for x in sum(hot.items(), ())]), place), F.lit(1)) if hot else F.lit(1)
     part = F.least(share - 1, F.floor((F.xxhash64("text").cast("double") / 2.0**64 + 0.5) * share))
     bucket = F.size(F.filter(F.array(*map(F.lit, sorted({*told}))).cast("array<long>"), lambda b: b < place)).cast("long") * n + part
-    docs = docs.withColumn("bucket", bucket)
+    docs = (_told_apart(docs) if hot else docs).withColumn("bucket", bucket)
+    own = [c for c in docs.columns if c != "bucket"]
     # a bucket's first row, nulls last; the next bucket of the last is the first
     first = docs.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"))).alias("first"))
     last = Window.partitionBy(F.lit(1)).orderBy("bucket")
     first = first.select(F.col("bucket").alias("fb"), F.col("first.doc_id").alias("fid"), F.col("first.h").alias("fh"), F.coalesce(F.lag("bucket").over(last), F.max("bucket").over(Window.partitionBy(F.lit(1)))).alias("previous"))
     # at most as many rows as buckets
-    tagged = docs.join(F.broadcast(first), (F.col("bucket") == F.col("fb")) & F.col("doc_id").eqNullSafe(F.col("fid")) & (F.xxhash64("text") == F.col("fh")), "left").select("doc_id", "text", "bucket", "previous")
+    tagged = docs.join(F.broadcast(first), (F.col("bucket") == F.col("fb")) & F.col("doc_id").eqNullSafe(F.col("fid")) & (F.xxhash64("text") == F.col("fh")), "left").select(*own, "bucket", "previous")
     none = F.array().cast("array<struct<bucket:long,ghost:int>>")
     both = F.concat(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost"))), F.when(F.col("previous").isNotNull(), F.array(F.struct(F.col("previous").alias("bucket"), F.lit(1).alias("ghost")))).otherwise(none))
-    return tagged.select("doc_id", "text", F.explode(both).alias("x")).select("x.bucket", "x.ghost", "doc_id", "text").repartition(n, "bucket")
+    return tagged.select(*own, F.explode(both).alias("x")).select("x.bucket", "x.ghost", *own).repartition(n, "bucket")
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -92,11 +121,12 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = _in_order(base)
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
+    repeats = ["repeats"] if "repeats" in rows.columns else []
+    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), *map(F.desc, repeats))
     n, m = F.length("text"), F.floor(F.length("text") / PART).cast("int")
-    rows = rows.select("bucket", "ghost", "doc_id", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next"))
+    rows = rows.select("bucket", "ghost", "doc_id", "text", *repeats, F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next"))
     edited = F.concat(F.substring("text", F.lit(1), n - m), F.substring(F.coalesce("next", "text"), F.lit(1), m))
-    about = rows.filter("ghost = 0").select("bucket", "rn", "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
+    about = rows.filter("ghost = 0").select("bucket", "rn", "doc_id", *repeats, n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
     # the words of both forms: those before the last space ahead of the cut, and either's rest
     stem = F.regexp_extract(F.substring("text", F.lit(1), n - m), r"(?s)^(.*[\x20\x09-\x0D])", 1)
     split = rows.select("bucket", "rn", "ghost", "text", edited.alias("edited"), F.when(F.col("ghost") == 0, stem).otherwise("").alias("stem"))
@@ -109,8 +139,9 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     counted = terms.groupBy("bucket", "rn", "term").agg(F.count(F.when(F.col("part") != 2, 1)).alias("w0"), F.count(F.when(F.col("part") != 1, 1)).alias("w1"))
     pair = fingerprint_terms(counted, ["bucket", "rn"], {"fingerprint": "w0", "edited_fingerprint": "w1"}, samples)
     pair = pair.withColumn("after", F.coalesce(F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("rn")), "fingerprint"))
-    return about.join(pair, ["bucket", "rn"]).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    done = about.join(pair, ["bucket", "rn"]).select(
+        "doc_id", *repeats, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("after"), samples).alias("near_next"),
     )
+    return _repeated(done) if repeats else done
