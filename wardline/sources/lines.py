@@ -67,11 +67,12 @@ def places(text: Column, pattern: str) -> Column:
     return F.when(some, found).otherwise(F.array().cast("array<struct<match:string,at:int>>"))
 
 
-def scan_lines(files: DataFrame) -> DataFrame:
+def scan_lines(files: DataFrame, counts: bool = False) -> DataFrame:
     """Findings in ``files``, rows of (file, text) or of (file, line, s) as :func:`read_lines` gives.
 
     Every match of a secret or of personal data counts; of injection and abusive language the first in a line, at
     the place where its text first stands there.  Lines and columns are numbered from 1, columns in code points.
+    With ``counts``, rows without a line's text stay, as one row each, and so does the column ``start`` (see ``parts``).
     """
     if "line" not in files.columns:
         files = files.select("file", F.posexplode(F.split("text", "\n")).alias("n", "s")).select("file", (F.col("n") + 1).alias("line"), "s")
@@ -88,7 +89,11 @@ def scan_lines(files: DataFrame) -> DataFrame:
     rules += [rows(t, "secret", severity, p, short(20)) for t, severity, p in B.LINE_SECRETS]
     rules += [rows(t, "pii", severity, p, short(4)) for t, severity, p in B.LINE_PII]
     rules += [rows("Potentially Toxic Content", "toxicity", "medium", p, lambda m: m, True) for p in B.LINE_TOXICITY]
-    return files.select("file", "line", F.explode(F.flatten(F.array(*rules))).alias("x")).select("file", "line", "x.column", "x.type", "x.category", "x.severity", "x.preview")
+    keys = ["file", "start", "line"] if counts else ["file", "line"]
+    found = files.select(*keys, (F.explode_outer if counts else F.explode)(F.flatten(F.array(*rules))).alias("x"), *(["s"] if counts else []))
+    if counts:
+        found = found.filter("x is not null or s is null")
+    return found.select(*keys, "x.column", "x.type", "x.category", "x.severity", "x.preview")
 
 
 def summary(findings: DataFrame) -> DataFrame:
