@@ -71,3 +71,49 @@ def test_code_risk(spark):
     rows = frame(spark, "```int x```", "plain words here", "", None).withColumn("c", A.code_risk(F.col("text"))).orderBy("doc_id").collect()
     assert rows[0].c.risk_score == pytest.approx(1.0) and rows[1].c.risk_score == 0 and rows[2].c.n == 0 and rows[3].c.n is None
     assert re.search("x", "x")
+
+
+def _sample(tree, rng, groups=None) -> str:
+    """A string that a parsed pattern is likely to match."""
+    out = ""
+    for op, of in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(of)
+        elif name in ("NOT_LITERAL", "ANY"):
+            out += "~"
+        elif name == "IN":
+            kind, x = rng.choice(of)
+            known = {"LITERAL": lambda x: chr(x), "RANGE": lambda x: chr(rng.randint(*x)), "CATEGORY": lambda x: {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " "}.get(str(x), "w")}
+            out += known[str(kind)](x) if str(of[0][0]) != "NEGATE" else "~"
+        elif name == "BRANCH":
+            out += _sample(rng.choice(of[1]), rng)
+        elif name == "SUBPATTERN":
+            out += _sample(of[3], rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(_sample(of[2], rng) for _ in range(rng.randint(of[0], min(of[1], of[0] + 2))))
+    return out
+
+
+def test_what_a_pattern_needs_stands_in_all_that_it_matches():
+    import random
+    import re
+    from re import _parser
+
+    from wardline.functions.text import needs
+
+    rng, unseen = random.Random(5), []
+    rules = [*S.ENTITIES, S._LITERAL, *S.pii_rules(countries=("us", "uk", "eu")), *S.redaction_rules()]
+    patterns = [r.pattern for r in rules] + [r"a?b+(?:c|de){2}", r"(?i:AB)c", r"x(?=yz)", r"(?i)Σ?K\d\d-?\d", r"(\d)\1{3}", r"[^\d]\d{2}3[4-6]?", r"(?:ab|c?)d*", r"(?!no)\d{2}|[a-f]{3}", "(?x) a b"]
+    for p in patterns:
+        compiled, (folded, strings, digits), held = re.compile(p, re.ASCII), needs(p), 0
+        for _ in range(300):
+            text = _sample(_parser.parse(p), rng)
+            text = rng.choice(("", "x ", "(", "x")) + (text.swapcase() if folded and rng.random() < 0.5 else text) + rng.choice(("", " y", "."))
+            if m := compiled.search(text):
+                held += 1
+                told = m.group().lower() if folded else m.group()
+                assert all(any(x in told for x in c) for c in strings), (p, text)
+                assert digits <= max(map(len, re.findall("[0-9]+", told)), default=0), (p, text)
+        unseen += [] if held else [p]
+    assert len(unseen) < 4, unseen

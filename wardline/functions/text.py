@@ -162,6 +162,79 @@ def clauses(pattern: str) -> tuple[tuple[str, ...], ...]:
     return tuple(dict.fromkeys([*([one] if one else []), *(c for c in more if all(len(x) > 2 for x in c))]))
 
 
+_DIGITS = frozenset(range(48, 58))
+
+
+def _is_digit(op, of) -> bool:
+    """Whether an element of a parsed pattern matches one digit and nothing else."""
+    name = str(op)
+    if name == "LITERAL":
+        return of in _DIGITS
+    if name != "IN":
+        return False
+    one = {"LITERAL": lambda x: x in _DIGITS, "RANGE": lambda x: x[0] in _DIGITS and x[1] in _DIGITS, "CATEGORY": lambda x: str(x) == "CATEGORY_DIGIT"}
+    return all(str(o) in one and one[str(o)](x) for o, x in of)
+
+
+def _needs(tree) -> tuple[list[tuple[str, ...]], int]:
+    known: list[tuple[str, ...]] = []
+    most, digits, run = 0, 0, ""
+    for op, of in [*tree, (None, None)]:
+        name = str(op)
+        least, inner = 1, None
+        if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            least, _, inner = of
+        if _is_digit(op, of):
+            digits += 1
+        elif inner is not None and len(inner) == 1 and least and _is_digit(*inner[0]):
+            digits += least
+        elif name != "AT":
+            digits = 0
+        most = max(most, digits)
+        if name == "LITERAL":
+            run += chr(of)
+            continue
+        if name == "AT":
+            continue
+        if run:
+            known.append((run,))
+        run = ""
+        within: tuple[list[tuple[str, ...]], int] = ([], 0)
+        if inner is not None and least:
+            within = _needs(inner)
+        elif name == "SUBPATTERN" and not of[1] and not of[2]:
+            within = _needs(of[3])
+        elif name == "ATOMIC_GROUP":
+            within = _needs(of)
+        elif name == "BRANCH":
+            each = [_needs(x) for x in of[1]]
+            best = [max(strings, key=lambda c: min(map(len, c)), default=None) for strings, _ in each]
+            within = ([tuple(dict.fromkeys(x for c in best for x in c))] if all(best) else [], min(n for _, n in each))
+        known += within[0]
+        most = max(most, within[1])
+    return known, most
+
+
+def needs(pattern: str) -> tuple[bool, tuple[tuple[str, ...], ...], int]:
+    """(folded, strings, digits): a match, in lower case if ``folded``, holds one string of each tuple and a run of so many digits.
+
+    For Python's patterns with ASCII classes; what isn't understood asks for nothing.
+    """
+    import warnings
+    from re import _parser
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        tree = _parser.parse(pattern)
+    if tree.state.flags & re.VERBOSE:
+        return False, (), 0
+    folded = bool(tree.state.flags & re.IGNORECASE)
+    strings, digits = _needs(tree)
+    if folded:  # beyond ASCII the lower case of a letter depends on its neighbours
+        strings = [tuple(x.lower() for x in c) for c in strings if all(map(str.isascii, c))]
+    return folded, tuple(dict.fromkeys(strings)), digits
+
+
 class Gate:
     """A text and the phrases that it holds, for patterns that run only where all that they require stands."""
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import patterns as P
+from ..functions.text import needs
+from ..sources.scratch import work_folder
 
 SPAN = "struct<kind:string,category:string,severity:string,start:int,end:int,confidence:double,value:string>"
 SPANS = f"array<{SPAN}>"
@@ -95,16 +97,20 @@ def resolve_overlaps(spans: Column) -> Column:
 
 
 def spans_udf(rules: list[Rule], settle: Callable | None = leftmost, least: float = 0.0):
-    """text -> array of spans.  Patterns are ASCII in their classes, as the catalogs mean them."""
+    """text -> array of spans.  Patterns are ASCII in their classes, as the catalogs mean them, and run only on texts with what they need."""
+    wanted = [needs(r.pattern) for r in rules]
 
     @F.pandas_udf(SPANS)
     def find(texts: pd.Series) -> pd.Series:
         compiled = [re.compile(r.pattern, re.ASCII) for r in rules]
+        run = re.compile("[0-9]+")
 
         def one(text):
             if text is None:
                 return None
-            found = [s for r, c in zip(rules, compiled) for s in r.matches(c, text) if s[5] >= least]
+            lower, digits = text.lower(), max(map(len, run.findall(text)), default=0)
+            here = [n <= digits and all(any(x in (lower if folded else text) for x in c) for c in strings) for folded, strings, n in wanted]
+            found = [s for r, c, yes in zip(rules, compiled, here) if yes for s in r.matches(c, text) if s[5] >= least]
             return [dict(zip(("kind", "category", "severity", "start", "end", "confidence", "value"), s)) for s in (settle(found) if settle else sorted(found, key=lambda s: s[3]))]
 
         return texts.map(one)
@@ -253,7 +259,7 @@ def replace_spans(text: str, spans, numbers: dict[str, int]) -> tuple[str, list[
     return "".join([*out, text[at:]]), mapping
 
 
-def anonymise(df: DataFrame, session: str, text: str = "text", ttl_seconds: int = 3600, order: tuple[str, ...] = (), now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def anonymise(df: DataFrame, session: str, text: str = "text", ttl_seconds: int = 3600, order: tuple[str, ...] = (), now: Column | None = None, stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """(``df`` with anonymised, mapping rows).  Placeholders are [KIND_n], n counting a session's entities of a kind from 1.
 
     What looks like a placeholder already becomes one of kind LITERAL, so restoring gives every text back as it was.
@@ -261,9 +267,14 @@ def anonymise(df: DataFrame, session: str, text: str = "text", ttl_seconds: int
     A session's texts follow one another by the columns of ``order`` and then by a hash of the text; rows that agree
     in all of these are one text.  Mapping: session_id, placeholder, entity_type, original_value, confidence,
     ttl_seconds, and with ``now`` expires_at.  A null session is a session.  Only counts are ordered, not texts.
+    With ``stored``, texts and their entities are written once to the shared folder, and what both outcomes read is that.
     """
     name, h, found, shift = "__s", "__h", "__e", "__o"
     rows = df.withColumn(name, F.col(session)).withColumn(h, F.xxhash64(text)).withColumn(found, marked_entities(F.col(text)))
+    if stored:
+        folder, schema = work_folder(df.sparkSession), rows.schema
+        rows.write.option("compression", "zstd").parquet(folder)
+        rows = df.sparkSession.read.schema(schema).parquet(folder)
     keys = [name, *order, h]
     kinds = rows.select(*keys, F.explode(F.col(f"{found}.kind")).alias("kind"))
     # rows that agree are one text: their number divides the counts again

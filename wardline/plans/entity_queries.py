@@ -86,7 +86,7 @@ def anon_literal_roundtrip(spark, sf_dir):
     """Texts that hold strings like placeholders, anonymised and restored: each comes back as it was."""
     t = F.concat(F.lit("see [EMAIL_1], [[PERSON_2]] and "), F.col("text"), F.lit(" [X_[EMAIL_3]]"))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("session"), t.alias("text"))
-    done, mapping = spans.anonymise(docs, "session", order=("doc_id",))
+    done, mapping = spans.anonymise(docs, "session", order=("doc_id",), stored=True)
     return spans.deanonymise(done, mapping, "session").select("doc_id", F.sha2("restored", 256).alias("restored"), F.contains("anonymised", F.lit("[LITERAL_")).alias("marked"))
 
 
