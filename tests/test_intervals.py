@@ -38,6 +38,15 @@ def test_overlaps_against_all_pairs(spark, monkeypatch, longest):
     assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, (x for x in a if not any(within(x, y) for y in b))))
 
 
+@pytest.mark.parametrize("query", ["detect_span_overlaps", "detect_spans_beside"])
+def test_found_spans_are_not_broadcast(spark, query):
+    """The files seem small enough to broadcast, the spans found in them aren't."""
+    from wardline.plans import QUERIES
+
+    plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_a_span_stands_in_few_bins(spark):
     df = spark.createDataFrame([(1, 0, 40_000_000)], "doc int, start int, end int")
     assert intervals._binned(df, intervals.WIDTH, ("start", "end", "l", "b")).groupBy("l").count().agg(F.max("count")).first()[0] <= intervals.SPREAD + 1

@@ -41,7 +41,8 @@ def overlapping(left: DataFrame, right: DataFrame, on: tuple[str, ...], prefix:
     later = F.greatest(F.col("start"), F.col(f"{prefix}start"))
     here = F.floor(later / F.pow(F.lit(float(SPREAD)), F.col("__la")) / width).cast("long") == F.col("__bin")
     level = F.col("__la") == F.greatest("__la_own", "__lb_own")
-    met = a.join(b, [*same, F.col("__la") == F.col("__lb"), F.col("__bin") == F.col("__other_bin")])
+    # merged, never broadcast: Spark judges the spans' size by that of the files they were found in
+    met = a.join(b.hint("merge"), [*same, F.col("__la") == F.col("__lb"), F.col("__bin") == F.col("__other_bin")])
     kept = met.filter(level & here & (F.col("start") < F.col(f"{prefix}end")) & (F.col(f"{prefix}start") < F.col("end")))
     return kept.select(*left.columns, *(prefix + c for c in right.columns))
 
