@@ -224,6 +224,33 @@ def test_graph_recall_and_widening(spread):
     assert len(q) >= 0.999 * due and len(set(zip(q.tolist(), c.tolist()))) == len(q)
 
 
+def test_graph_prunes_seldom_and_own_links_need_no_beam(monkeypatch):
+    """A node's edges are chosen anew a few times, not with each edge back; a shard's own links are found from each node's own place."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x[:600] = x[600:1200] + rng.normal(size=(600, 16)) * 0.2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    chosen, diverse = [], near_vectors.diverse
+    monkeypatch.setattr(near_vectors, "diverse", lambda x, of, *rest: chosen.append(len(of)) or diverse(x, of, *rest))
+    graph = near_vectors.Graph(x.astype(np.float32))
+    assert sum(chosen) < 6 * len(x)
+    monkeypatch.setattr(near_vectors, "beam", None)
+    got = {(a, b) for q, c in near_vectors.found_links(x, x, graph, 0.93, own=True) for a, b in zip(q.tolist(), c.tolist())}
+    assert got == set(zip(*(i.tolist() for i in np.nonzero(x @ x.T >= 0.93)))) and len(got) > 3600
+
+
+def test_dense_shards_by_products(monkeypatch):
+    """Where a query has many links, and where a shard has too many to hold, products tell the same counts."""
+    x = np.random.default_rng(10).normal(size=(400, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    part = (np.arange(400), np.ones(400, np.int64), x)
+    want = (x @ x.T >= 0.93).sum(1) - 1
+    for name, value in (("MANY", near_vectors.MANY), ("MANY", 100), ("DENSE", 1)):
+        monkeypatch.setattr(near_vectors, name, value)
+        got = near_vectors._Shard([part], 0.93).own().to_pylist()
+        assert {r["node"]: r["links"] for r in got if r["other"] is None} == dict(enumerate(want.tolist()))
+
+
 def test_forest_keeps_components():
     rng = random.Random(2)
     for _ in range(50):
